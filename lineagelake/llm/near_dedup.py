@@ -12,22 +12,31 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches_of, connected_components, shingle_set, stored
+from .common import batches_of, connected_components, mixed, shingle_set, stored
 
-#: Coordinates of a signature, and collisions that a pair needs to be looked at.  A pair of
-#: Jaccard 0.8 has fewer than 9 collisions of 24 with a probability of about 2e-6.
-COORDINATES, COLLISIONS = 24, 9
+#: Coordinates of a signature, and collisions that a pair needs to be looked at: a pair of
+#: Jaccard 0.8 has fewer than 14 collisions of 32 with a probability of about 1e-6.
+COORDINATES, COLLISIONS = 32, 14
+#: 64-bit words of the parity sketch of a set.
+WORDS = 16
 _rng = np.random.default_rng(20240601)
 _XOR = _rng.integers(0, 2**63, COORDINATES, dtype=np.uint64)
 _MUL = _rng.integers(0, 2**63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def _signature(shingles: np.ndarray) -> np.ndarray:
-    out = np.zeros(COORDINATES, np.uint32)
+    """A 64-bit name of each (coordinate, value) pair."""
+    out = np.zeros(COORDINATES, np.uint64)
     if len(shingles):
         for k in range(COORDINATES):
-            out[k] = ((shingles ^ _XOR[k]) * _MUL[k]).min() >> np.uint64(32)
-    return out.view(np.int32)
+            out[k] = ((shingles ^ _XOR[k]) * _MUL[k]).min()
+    return mixed(out + np.arange(COORDINATES, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
+
+
+def _parity(shingles: np.ndarray) -> np.ndarray:
+    """Bit i tells whether an odd number of shingles fell into bin i."""
+    bins = np.bincount((mixed(shingles + np.uint64(1)) % np.uint64(WORDS * 64)).astype(np.int64), minlength=WORDS * 64) & 1
+    return np.packbits(bins.astype(np.uint8)).view(np.int64)
 
 
 def _print(shingles: np.ndarray) -> bytes:
@@ -35,50 +44,51 @@ def _print(shingles: np.ndarray) -> bytes:
 
 
 def signatures(docs: DataFrame, words: int) -> DataFrame:
-    """``(doc_id, n_shingles, fp, sig)`` of every row: set size, 128-bit fingerprint of the
-    whole set, MinHash coordinates."""
+    """``(doc_id, n_shingles, fp, sig, parity)`` of every row: set size, 128-bit fingerprint
+    of the whole set, named MinHash coordinates, parity sketch."""
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches_of(rows, 500):
             sets = [shingle_set(t, words) for t in b.column(1).to_pylist()]
-            sig = np.concatenate([_signature(s) for s in sets]) if sets else np.empty(0, np.int32)
+            many = [np.concatenate([f(s) for s in sets]) if sets else np.empty(0, np.int64) for f in (_signature, _parity)]
+            lists = [pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * n, pa.int32()), pa.array(v)) for v, n in zip(many, (COORDINATES, WORDS), strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [
-                    b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([_print(s) for s in sets], pa.binary()),
-                    pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * COORDINATES, pa.int32()), pa.array(sig)),
-                ],
-                names=["doc_id", "n_shingles", "fp", "sig"],
+                [b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([_print(s) for s in sets], pa.binary()), *lists],
+                names=["doc_id", "n_shingles", "fp", "sig", "parity"],
             )
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, fp binary, sig array<int>")
-
-
-def _collisions(a: str, b: str) -> Column:
-    return reduce(add, [(F.col(f"{a}.sig")[k] == F.col(f"{b}.sig")[k]).cast("int") for k in range(COORDINATES)])
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, fp binary, sig array<long>, parity array<long>")
 
 
 def _alike(percent: int) -> Column:
-    """Sizes that allow the similarity, and enough equal coordinates."""
+    """Enough equal coordinates between rows a and b, and a similarity that their sizes and
+    parity sketches allow.
+
+    Every bit in which the sketches differ is due to a shingle of just one of the sets, so
+    the number of those bits is at most that of such shingles; Jaccard p/100 allows at most
+    (100 - p) * (|A| + |B|) / (100 + p) of them.  This bound never turns a link away.
+    """
+    equal = reduce(add, [(F.col("a.sig")[k] == F.col("b.sig")[k]).cast("int") for k in range(COORDINATES)])
+    differ = reduce(add, [F.bit_count(F.col("a.parity")[k].bitwiseXOR(F.col("b.parity")[k])) for k in range(WORDS)])
     small, large = F.least("a.n", "b.n"), F.greatest("a.n", "b.n")
-    return (small * 100 >= large * percent) & (_collisions("a", "b") >= COLLISIONS)
+    return (small * 100 >= large * percent) & (differ * (100 + percent) <= (small + large) * (100 - percent)) & (equal >= COLLISIONS)
 
 
 def _postings(classes: DataFrame) -> DataFrame:
-    """``(token, rep, n, fp, sig)``: each class under the coordinate-value pairs of its prefix.
+    """``(token, rep, weight)``: each class under the coordinate-value pairs of its prefix.
 
     Pairs with COLLISIONS equal coordinates share one of the first (held - COLLISIONS + 1)
     of the coordinate-value pairs that a class holds with any other, in one order for all,
     rarest first; so the long lists are merged only for classes that have nothing rarer.
+    ``weight`` sums how common all its pairs are: the middle of a group has the most.
     """
-    tokens = classes.select("rep", F.posexplode("sig").alias("k", "v")).select(
-        "rep", (F.shiftleft(F.col("k").cast("long"), 32) + F.col("v").cast("long") + F.lit(2**31)).alias("token")
-    )
+    tokens = classes.select("rep", F.explode("sig").alias("token"))
     common = tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
-    held = tokens.join(common, "token").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("held"))
-    prefix = held.where(F.size("held") >= COLLISIONS).select(
-        "rep", F.explode(F.slice("held", F.lit(1), F.size("held") - (COLLISIONS - 1))).alias("t")
+    held = tokens.join(common, "token").groupBy("rep").agg(F.sum("df").alias("weight"), F.sort_array(F.collect_list(F.struct("df", "token"))).alias("held"))
+    prefix = held.where(F.size("held") >= COLLISIONS)
+    return prefix.select("rep", "weight", F.explode(F.slice("held", F.lit(1), F.size("held") - (COLLISIONS - 1))).alias("t")).select(
+        F.col("t.token").alias("token"), "rep", "weight"
     )
-    return prefix.select("rep", F.col("t.token").alias("token")).join(classes, "rep").select("token", "rep", "n", "fp", "sig")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
@@ -123,8 +133,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     Documents with equal sets are one class.  Each class is posted under the rarest of its
     (coordinate, value) pairs; collisions are counted on the whole signatures, and every
     link is confirmed on the full sets.  A first round tests each list's members against
-    its smallest one, which joins large groups without their inner pairs; a second round
-    tests every pair of one list whose members are still apart.
+    the one in its middle, which joins large groups without their inner pairs; a second
+    round tests every pair of one list whose members are still apart.
 
     Null or blank texts have an empty set and link with nothing.  Rows without doc_id take
     no part: component_id null, kept true.  Rows that repeat a doc_id are one document.
@@ -132,29 +142,33 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     """
     docs = docs.select("doc_id", "text")
     sigs = stored(signatures(docs, words), "signatures")
-    classes = sigs.where("n_shingles > 0 and doc_id is not null").groupBy("fp").agg(
-        F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig")
+    usable = sigs.where("n_shingles > 0 and doc_id is not null")
+    classes = usable.groupBy("fp").agg(
+        F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"), F.first("parity").alias("parity")
     )
+    classes = stored(classes, "classes")
     postings = stored(_postings(classes), "postings")
+    members = [F.col("a.rep").alias("a"), F.col("a.fp").alias("fa"), F.col("b.rep").alias("b"), F.col("b.fp").alias("fb")]
 
-    first = postings.groupBy("token").agg(F.min(F.struct("rep", "n", "fp", "sig")).alias("p")).select("token", "p.*")
-    columns = [F.col("a.rep").alias("a"), F.col("a.fp").alias("fa"), F.col("b.rep").alias("b"), F.col("b.fp").alias("fb")]
-    near = first.alias("a").join(postings.alias("b"), (F.col("a.token") == F.col("b.token")) & (F.col("a.fp") != F.col("b.fp")) & _alike(percent))
-    tested = stored(near.select(*columns).distinct(), "pairs")
-    same = sigs.where("n_shingles > 0 and doc_id is not null").join(classes.select("fp", "rep"), "fp").select(F.col("doc_id").alias("src"), F.col("rep").alias("dst"))
+    middle = postings.groupBy("token").agg(F.min(F.struct(-F.col("weight"), "rep")).alias("m")).select("token", F.col("m.rep").alias("pivot"))
+    star = postings.join(middle, "token").where("rep <> pivot").select("pivot", "rep").distinct()
+    star = star.join(classes.alias("a"), star["pivot"] == F.col("a.rep")).join(classes.alias("b"), star["rep"] == F.col("b.rep")).where(_alike(percent))
+    tested = stored(star.select(*members), "pairs")
     links = stored(_verified(tested, docs, words, percent), "links")
-    found = connected_components(links)
-
-    label = F.coalesce("component", "rep").alias("comp")
-    placed = postings.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("token", "rep", "n", "fp", "sig", label)
-    placed = stored(placed, "placed")
-    apart = placed.alias("a").join(placed.alias("b"), (F.col("a.token") == F.col("b.token")) & (F.col("a.comp") < F.col("b.comp")) & _alike(percent))
-    apart = apart.select(*columns).distinct()
-    seen = tested.select("a", "fa", "b", "fb").union(tested.select(F.col("b").alias("a"), F.col("fb").alias("fa"), F.col("a").alias("b"), F.col("fa").alias("fb")))
-    more = stored(_verified(stored(apart.join(seen, ["a", "fa", "b", "fb"], "left_anti"), "pairs"), docs, words, percent), "links")
-    groups = connected_components(links.union(more).union(same.where("src <> dst")))
-
-    return sigs.join(groups.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(
+    found = connected_components(links).withColumnRenamed("node", "rep")
+
+    placed = stored(postings.join(found, "rep", "left").select("token", "rep", F.coalesce("component", "rep").alias("comp")), "placed")
+    mixed_lists = placed.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("token")
+    open_ = placed.join(mixed_lists, "token").join(classes, "rep")
+    open_ = stored(open_.select("token", "rep", "comp", "n", "fp", "sig", "parity"), "open")
+    apart = open_.alias("a").join(open_.alias("b"), (F.col("a.token") == F.col("b.token")) & (F.col("a.comp") < F.col("b.comp")) & _alike(percent))
+    seen = tested.union(tested.select("b", "fb", "a", "fa"))
+    apart = stored(apart.select(*members).distinct().join(seen, ["a", "fa", "b", "fb"], "left_anti"), "pairs")
+    more = stored(_verified(apart, docs, words, percent), "links")
+    repeated = usable.join(classes.select("fp", "rep"), "fp").where("doc_id <> rep").select(F.col("doc_id").alias("src"), F.col("rep").alias("dst"))
+    groups = connected_components(links.union(more).union(repeated)).withColumnRenamed("node", "doc_id")
+
+    return sigs.select("doc_id", "n_shingles").join(groups, "doc_id", "left").select(
         "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"),
         F.coalesce(F.coalesce("component", "doc_id") == F.col("doc_id"), F.lit(True)).alias("kept"),
     )
