@@ -7,7 +7,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -47,17 +46,17 @@ class Model:
         at, weights, bias = self.buckets, self.weights, self.bias
         table: list[np.ndarray] = []
 
-        @F.pandas_udf("double")
-        def score(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        @F.arrow_udf("double")
+        def score(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
             if not table:
                 table.append(np.full(1 << BITS, -1, np.int32))
                 table[0][at] = np.arange(len(at))
             for s in texts:
                 out = np.empty(len(s))
                 for i, t in enumerate(s):
-                    k = table[0][_buckets(t)]
+                    k = table[0][_buckets(t.as_py())]
                     out[i] = bias + weights[np.unique(k[k >= 0])].sum()
-                yield pd.Series(1 / (1 + np.exp(-np.clip(out, -40, 40))))
+                yield pa.array(1 / (1 + np.exp(-np.clip(out, -40, 40))))
 
         return score
 
@@ -124,9 +123,12 @@ def train(
     def chosen(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.full(1 << BITS, -1, np.int32)
         table[buckets] = np.arange(len(buckets))
-        for b in batches_of(rows, 1000):
-            kept = [k[k >= 0] for x in b.column(1).to_pylist() if (k := table[np.array(x, np.int32)]) is not None]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([k.tobytes() for k in kept], pa.binary())], names=["toxic", "at"])
+        for b in rows:
+            lists = b.column(1)
+            ends = np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))
+            k = table[lists.flatten().to_numpy(zero_copy_only=False)]
+            kept = [x[x >= 0].tobytes() for x in np.split(k, ends[:-1])] if len(ends) else []
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(kept, pa.binary())], names=["toxic", "at"])
 
     sampled = rows.mapInArrow(chosen, "toxic int, at binary").toPandas()
     w, bias = _fit([np.frombuffer(x, np.int32) for x in sampled["at"]], sampled.toxic.to_numpy(float), ratios, l2, rounds)
