@@ -6,7 +6,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 Q, WINDOW, STRIDE, EDITS, SHORTEST, BLOCK = 12, 64, 32, 0.0625, 24, 2_000_000
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 _BITS = 22
+_ARROW = pa.list_(pa.struct([("item_id", pa.int64()), ("start", pa.int32()), ("end", pa.int32()), ("edits", pa.int32())]))
 MATCHES = "array<struct<item_id:long,start:int,end:int,edits:int>>"
 
 
@@ -184,13 +185,16 @@ def with_matches(docs: DataFrame, benchmark: DataFrame, column: str = "matches")
         shared = docs.sparkSession.sparkContext.broadcast(items)
         index: list[Index] = []
 
-        @F.pandas_udf(MATCHES)
-        def search(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        @F.arrow_udf(MATCHES)
+        def search(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
             if not index:
                 index.append(Index(shared.value))
             for s in texts:
-                found = [(t, index[0].matches(normal(t))) for t in s]
-                yield pd.Series([[dict(zip(("item_id", "start", "end", "edits"), m, strict=True)) for m in _original(t, f)] if f else [] for t, f in found])
+                out = []
+                for t in map(pa.Scalar.as_py, s):
+                    found = index[0].matches(normal(t))
+                    out.append([dict(zip(("item_id", "start", "end", "edits"), m, strict=True)) for m in _original(t, found)] if found else [])
+                yield pa.array(out, _ARROW)
 
         out = out.withColumn(column, F.concat(column, search("text")))
     return out
