@@ -191,7 +191,7 @@ def with_matches(docs: DataFrame, benchmark: DataFrame, column: str = "matches")
                 index.append(Index(shared.value))
             for s in texts:
                 out = []
-                for t in map(pa.Scalar.as_py, s):
+                for t in (x.as_py() for x in s):
                     found = index[0].matches(normal(t))
                     out.append([dict(zip(("item_id", "start", "end", "edits"), m, strict=True)) for m in _original(t, found)] if found else [])
                 yield pa.array(out, _ARROW)
