@@ -1,10 +1,424 @@
-"""Registered queries by name, and their SQL equivalents."""
+"""Registered queries by name, and their SQL equivalents, over the derived relations."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+from lineagelake.functions import expressions as X
+from lineagelake.functions import kernels as K
+from lineagelake.operators import abundance, clones, collapse, counting, matrix, simulate, stats
+from lineagelake.plans import relations as R
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
+FLANKED = f"{R.LEFT}*{R.RIGHT}"
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    """Registers a function under its name, with its SQL."""
+
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _good(alias: str, code: str, pct: int) -> str:
+    return f"100.0 * length(regexp_replace({alias}, '[^{code}-~]', '', 'g')) / length({alias}) >= {pct}"
+
+
+def _tally(source: str, barcode: str, ctes: str, where: str = "true") -> str:
+    return f"WITH {ctes} SELECT sample, {barcode} AS barcode, count(*) AS counts FROM {source} WHERE {where} AND length({barcode}) > 0 AND NOT contains({barcode}, 'N') GROUP BY 1, 2"
+
+
+# -- the flagship ----------------------------------------------------------------------
+
+
+def _counted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality filter, extraction, length gate and counts per sample."""
+    rows = R.reads(spark, sf_dir).where(X.qc_pass(F.col("qual"), 20, 70))
+    found = counting.with_barcode(rows, X.extract(F.col("seq"), FLANKED), X.length_gate(F.col("barcode"), True, 32))
+    return counting.count_reads(found, ["sample"])
+
+
+_COUNTED = R.READS + f""", counted AS (
+  SELECT sample, regexp_extract(seq, '{R.LEFT}(.*){R.RIGHT}', 1) AS barcode, count(*) AS counts FROM reads
+  WHERE {_good('qual', '5', 70)} AND length(regexp_extract(seq, '{R.LEFT}(.*){R.RIGHT}', 1)) = 32 GROUP BY 1, 2
+), share AS (SELECT *, counts / sum(counts) OVER (PARTITION BY sample) * 100 AS pct FROM counted),
+flagship AS (SELECT sample, barcode, counts FROM share WHERE pct >= 0.01)"""
+
+
+@query(f"WITH {_COUNTED} SELECT * FROM flagship")
+def extract_dna_long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return abundance.filter_abundance(_counted(spark, sf_dir), relative=0.01)
+
+
+# -- quality ---------------------------------------------------------------------------
+
+
+def _passing(spark: SparkSession, sf_dir: str, ok: Column) -> DataFrame:
+    return R.reads(spark, sf_dir).where(ok).groupBy("sample").agg(F.count("*").alias("n_reads"))
+
+
+@query(f"WITH {R.READS} SELECT sample, count(*) AS n_reads FROM reads WHERE {_good('qual', '5', 70)} GROUP BY 1")
+def qc_filter_phred33(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _passing(spark, sf_dir, X.qc_pass(F.col("qual"), 20, 70))
+
+
+@query(f"WITH {R.READS} SELECT sample, count(*) AS n_reads FROM reads WHERE {_good('qual', 'B', 40)} GROUP BY 1")
+def qc_filter_phred64(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _passing(spark, sf_dir, X.qc_pass(F.col("qual"), 2, 40, phred33=False))
+
+
+@query(f"WITH {R.BAM} SELECT coalesce(contig, '*') AS contig, count(*) AS n_reads FROM bam WHERE {_good('q', '5', 70)} GROUP BY 1")
+def qc_filter_int_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = R.bam_like(spark, sf_dir).where(X.qc_pass_ints(F.col("qual"), 20, 70))
+    return rows.groupBy(F.coalesce("contig", F.lit("*")).alias("contig")).agg(F.count("*").alias("n_reads"))
+
+
+# -- patterns --------------------------------------------------------------------------
+
+
+def _extracted(rows: DataFrame, barcode: Column) -> DataFrame:
+    return counting.count_reads(counting.with_barcode(rows, barcode))
+
+
+@query(_tally("reads", "regexp_extract(seq, 'ATCCTACTTG', 0)", R.READS))
+def extract_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _extracted(R.reads(spark, sf_dir), X.extract(F.col("seq"), "ATCCTACTTG"))
+
+
+@query(_tally("reads_n", "regexp_extract(seq, 'ACTTGAT.{32}ATCC', 0)", R.READS_N))
+def extract_n_pattern(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _extracted(R.reads_with_n(spark, sf_dir), X.extract(F.col("seq"), "ACTTGAT" + "N" * 32 + "ATCC"))
+
+
+@query(_tally("reads", "right(regexp_extract(seq, '(.*)ATCCTACTTG', 1), 32)", R.READS))
+def extract_left(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _extracted(R.reads(spark, sf_dir), X.extract(F.col("seq"), f"*{R.RIGHT}", max_read_length=32))
+
+
+@query(_tally("reads", "regexp_extract(seq, '(.{32})ATCCTACTTG', 1)", R.READS))
+def extract_left_fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _extracted(R.reads(spark, sf_dir), X.extract(F.col("seq"), f"*{R.RIGHT}", read_length=32))
+
+
+@query(_tally("reads", "regexp_extract(seq, 'GCTACTTGAT(.*)', 1)", R.READS))
+def extract_right(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _extracted(R.reads(spark, sf_dir), X.extract(F.col("seq"), f"{R.LEFT}*"))
+
+
+@query(_tally("reads", "left(regexp_extract(seq, 'GCTACTTGAT(.*)', 1), 32)", R.READS))
+def extract_right_trim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _extracted(R.reads(spark, sf_dir), X.extract(F.col("seq"), f"{R.LEFT}*", max_read_length=32))
+
+
+@query(_tally("reads", f"regexp_extract(seq, '{R.LEFT}(.*){R.RIGHT}', 1)", R.READS))
+def extract_both(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _extracted(R.reads(spark, sf_dir), X.extract(F.col("seq"), FLANKED))
+
+
+@query(f"WITH {R.READS}, m AS (SELECT sample, regexp_extract(seq, 'ACG(.*)ATCCTACTTG', 1) AS b FROM reads) SELECT sample, count(*) AS n_reads FROM m WHERE length(b) BETWEEN 20 AND 40 AND NOT contains(b, 'N') GROUP BY 1")
+def length_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = counting.with_barcode(R.reads(spark, sf_dir), X.extract(F.col("seq"), "ACG*ATCCTACTTG"), X.length_gate(F.col("barcode"), True, 0, 20, 40))
+    return found.groupBy("sample").agg(F.count("*").alias("n_reads"))
+
+
+@query(f"WITH {R.READS_N} SELECT sample, count(*) AS n_reads FROM reads_n WHERE NOT contains(seq, 'N') GROUP BY 1")
+def reject_n(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.reads_with_n(spark, sf_dir).where(X.no_n(F.col("seq"))).groupBy("sample").agg(F.count("*").alias("n_reads"))
+
+
+# -- counting --------------------------------------------------------------------------
+
+
+@query(f"WITH {R.READS} SELECT sample, barcode_true AS barcode, count(*) AS counts FROM reads GROUP BY 1, 2")
+def count_barcodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return counting.count_reads(R.reads(spark, sf_dir).withColumnRenamed("barcode_true", "barcode"))
+
+
+def _cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return counting.count_umis(R.reads(spark, sf_dir).withColumnRenamed("barcode_true", "barcode"))
+
+
+_CELLS = R.READS + ", cells AS (SELECT sample, cell, barcode_true AS barcode, count(DISTINCT umi) AS counts FROM reads GROUP BY 1, 2, 3)"
+
+
+@query(f"WITH {_CELLS} SELECT * FROM cells")
+def umi_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _cells(spark, sf_dir)
+
+
+@query(f"WITH {R.READS} SELECT sample, cell, barcode_true AS barcode, count(*) AS counts FROM reads GROUP BY 1, 2, 3")
+def read_counts_per_cell(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return counting.count_reads(R.reads(spark, sf_dir).withColumnRenamed("barcode_true", "barcode"), ["sample", "cell"])
+
+
+_WHITE = f"white AS (SELECT DISTINCT substr({R._dna('s_suppkey')}, 1, 16) AS cell FROM supplier WHERE s_suppkey % 2 = 0)"
+
+
+@query(f"WITH {R.READS}, {_WHITE} SELECT cell, count(*) AS n_reads FROM reads WHERE cell IN (SELECT cell FROM white) GROUP BY 1")
+def cell_whitelist_semi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    white = R.table(spark, sf_dir, "supplier").where("s_suppkey % 2 = 0").select(F.substring(R.dna(F.col("s_suppkey")), 1, 16).alias("cell")).distinct()
+    return counting.whitelisted(R.reads(spark, sf_dir), white).groupBy("cell").agg(F.count("*").alias("n_reads"))
+
+
+@query(f"WITH {R.PAIRS} SELECT ord, r1 || r2 AS seq, substr(r1, 1, 16) || '-1' AS cell, substr(r1, 17, 8) AS umi FROM pairs")
+def paired_concat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    one, two = R.read_pairs(spark, sf_dir)
+    pair = counting.paired(one, two, ["ord"])
+    return pair.select("ord", F.concat("r1.seq", "r2.seq").alias("seq"), X.with_suffix(X.cell_of_read(F.col("r1.seq")), "1").alias("cell"), X.umi_of_read(F.col("r1.seq")).alias("umi"))
+
+
+@query(f"WITH {R.BAM} SELECT cb AS cell, count(*) AS n_reads, count(DISTINCT ub) AS n_umis FROM bam WHERE contig IS NULL AND ub IS NOT NULL GROUP BY 1")
+def parse_cell_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = R.bam_like(spark, sf_dir).where("contig is null").select(X.cell_of_name(F.col("qname")).alias("cell"), F.col("tags")["UB"].alias("umi")).dropna()
+    return rows.groupBy("cell").agg(F.count("*").alias("n_reads"), F.countDistinct("umi").alias("n_umis"))
+
+
+@query("SELECT CAST(user_id AS VARCHAR) || '_' || CAST(event_id % 7 AS VARCHAR) AS cell, count(*) AS n_reads FROM events GROUP BY 1")
+def coordinate_cell_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cell = X.cell_of_coordinates(F.col("user_id"), F.col("event_id") % 7)
+    return R.table(spark, sf_dir, "events").groupBy(cell.alias("cell")).agg(F.count("*").alias("n_reads"))
+
+
+@query(f"WITH {R.READS} SELECT cell || '_' || sample AS cell, count(*) AS n_reads FROM reads GROUP BY 1")
+def cell_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.reads(spark, sf_dir).groupBy(F.concat_ws("_", "cell", "sample").alias("cell")).agg(F.count("*").alias("n_reads"))
+
+
+# -- abundance -------------------------------------------------------------------------
+
+
+@query(f"WITH {_COUNTED} SELECT * FROM counted WHERE counts >= 20")
+def filter_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return abundance.filter_abundance(_counted(spark, sf_dir), raw=20, relative=99)
+
+
+@query(f"WITH {_COUNTED} SELECT sample, barcode, counts, round(pct, 6) AS relative_abundance FROM share WHERE pct >= 0.5")
+def filter_rel_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = abundance.with_share(_counted(spark, sf_dir)).where("relative_abundance >= 0.5")
+    return out.withColumn("relative_abundance", F.round("relative_abundance", 6))
+
+
+@query(f"""WITH {_COUNTED}, r AS (SELECT *, substr(sample, 1, 1) AS replicate FROM counted),
+s AS (SELECT *, sum(counts) OVER (PARTITION BY replicate, barcode) / sum(counts) OVER (PARTITION BY replicate) * 100 AS pct FROM r)
+SELECT sample, barcode, counts, replicate FROM s WHERE pct >= 0.5""")
+def filter_rel_replicate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = _counted(spark, sf_dir).withColumn("replicate", F.substring("sample", 1, 1))
+    return abundance.filter_abundance(counts, relative=0.5, within="replicate")
+
+
+@query(f"WITH {_COUNTED} SELECT sample, barcode, counts FROM counted")
+def drop_all_null_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = _counted(spark, sf_dir)
+    sheet = counts.select("sample").distinct().withColumns({"replicate": F.lit(" "), "condition": F.lit("")})
+    return counting.without_empty_columns(counting.with_metadata(counts, sheet)).select("sample", "barcode", "counts")
+
+
+@query(f"WITH {_CELLS} SELECT sample, cell, barcode, counts FROM cells")
+def explode_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nested = _cells(spark, sf_dir).groupBy("sample", "cell").agg(F.collect_list(F.struct("barcode", "counts")).alias("x"))
+    return counting.exploded(nested.select("sample", "cell", F.col("x.barcode").alias("barcode"), F.col("x.counts").alias("counts")))
+
+
+# -- similarity and collapse -----------------------------------------------------------
+
+
+def _distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _counted(spark, sf_dir).select("barcode").distinct()
+
+
+_HAM = "hamming(a.barcode, b.barcode)"
+_DISTINCT = _COUNTED + ", d AS (SELECT DISTINCT barcode FROM counted)"
+
+
+@query(f"""WITH {_DISTINCT}, g AS (SELECT DISTINCT barcode, substr(barcode, CAST(i AS BIGINT), 10) AS gram FROM d, range(1, 24) AS r(i))
+SELECT DISTINCT a.barcode AS a, b.barcode AS b FROM g a JOIN g b ON a.gram = b.gram AND a.barcode < b.barcode""")
+def ngram_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    grams = _distinct(spark, sf_dir).select("barcode", F.explode(X.ngrams(F.col("barcode"), 10)).alias("gram"))
+    return grams.withColumnRenamed("barcode", "a").join(grams.withColumnRenamed("barcode", "b"), "gram").where("a < b").select("a", "b").distinct()
+
+
+def _pairs(spark: SparkSession, sf_dir: str, equal: bool) -> DataFrame:
+    near = collapse.near_pairs(_distinct(spark, sf_dir).withColumn("block", F.lit("")), 2, equal)
+    return near.where("src < dst").select(F.col("src").alias("a"), F.col("dst").alias("b"), F.col("dist").cast("long").alias("dist"))
+
+
+@query(f"WITH {_DISTINCT} SELECT a.barcode AS a, b.barcode AS b, CAST({_HAM} AS BIGINT) AS dist FROM d a JOIN d b ON a.barcode < b.barcode AND {_HAM} <= 2")
+def hamming_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _pairs(spark, sf_dir, True)
+
+
+@query(f"WITH {_DISTINCT} SELECT a.barcode AS a, b.barcode AS b, CAST(levenshtein(a.barcode, b.barcode) AS BIGINT) AS dist FROM d a JOIN d b ON a.barcode < b.barcode AND levenshtein(a.barcode, b.barcode) <= 2")
+def levenshtein_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _pairs(spark, sf_dir, False)
+
+
+_CLUSTERED = _COUNTED + f""", m AS (SELECT barcode, max(counts) AS c FROM flagship GROUP BY 1),
+clusters AS (SELECT a.barcode, arg_min(b.barcode, (-b.c, b.barcode)) AS cluster FROM m a JOIN m b ON {_HAM} <= 2 GROUP BY 1),
+tops AS (SELECT cluster, max(counts) AS top, arg_min(f.barcode, (-f.counts, f.barcode)) AS main FROM flagship f JOIN clusters USING (barcode) GROUP BY 1)"""
+
+
+def _collapsed_sql(ratio: int) -> str:
+    return f"""WITH {_CLUSTERED} SELECT sample, CASE WHEN top >= counts * {ratio} THEN main ELSE f.barcode END AS barcode, CAST(sum(counts) AS BIGINT) AS counts
+FROM flagship f JOIN clusters c ON f.barcode = c.barcode JOIN tops USING (cluster) GROUP BY 1, 2"""
+
+
+@query(f"WITH {_CLUSTERED} SELECT barcode, cluster FROM clusters")
+def cluster_barcodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collapse.cluster(extract_dna_long(spark, sf_dir), 2)
+
+
+@query(_collapsed_sql(1))
+def collapse_barcodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collapse.collapse(extract_dna_long(spark, sf_dir), 2)
+
+
+@query(_collapsed_sql(50))
+def collapse_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collapse.collapse(extract_dna_long(spark, sf_dir), 2, 50)
+
+
+# -- matrix ----------------------------------------------------------------------------
+
+_FIVE = R.parent_list()[:5]
+
+
+@query(f"WITH {_COUNTED} SELECT sample, " + ", ".join(f"CAST(coalesce(sum(CASE WHEN barcode = '{b}' THEN counts END), 0) AS BIGINT) AS \"{b}\"" for b in _FIVE) + " FROM counted GROUP BY 1")
+def pivot_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return matrix.wide(_counted(spark, sf_dir), _FIVE)
+
+
+@query(f"""WITH {_COUNTED}, grid AS (SELECT sample, barcode FROM (SELECT DISTINCT sample FROM counted) a, (SELECT unnest([{', '.join(f"'{b}'" for b in _FIVE)}]) AS barcode) b)
+SELECT g.sample, g.barcode, coalesce(counts, 0) AS counts FROM grid g LEFT JOIN counted c ON g.sample = c.sample AND g.barcode = c.barcode""")
+def long_complete_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return matrix.complete(_counted(spark, sf_dir), _FIVE)
+
+
+@query(f"""WITH {_CELLS} SELECT cell, count(*) AS n_barcodes_by_counts, CAST(sum(counts) AS BIGINT) AS total_counts,
+round(ln(1 + count(*)), 6) AS log1p_n_barcodes_by_counts, round(ln(1 + sum(counts)), 6) AS log1p_total_counts FROM cells GROUP BY 1""")
+def qc_metrics_obs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = matrix.qc_obs(_cells(spark, sf_dir), "cell")
+    return out.withColumns({c: F.round(c, 6) for c in out.columns if c.startswith("log1p")})
+
+
+@query(f"""WITH {_CELLS}, n AS (SELECT count(DISTINCT cell) AS n FROM cells)
+SELECT barcode, count(DISTINCT cell) AS n_cells_by_counts, CAST(sum(counts) AS BIGINT) AS total_counts, round(sum(counts) / any_value(n), 6) AS mean_counts,
+round(ln(1 + sum(counts) / any_value(n)), 6) AS log1p_mean_counts, round((1 - count(DISTINCT cell) / any_value(n)) * 100, 6) AS pct_dropout_by_counts,
+round(ln(1 + sum(counts)), 6) AS log1p_total_counts FROM cells, n GROUP BY 1""")
+def qc_metrics_var(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = matrix.qc_var(_cells(spark, sf_dir), "cell")
+    return out.withColumns({c: F.round(c, 6) for c, t in out.dtypes if t == "double"})
+
+
+# -- references and adapters -----------------------------------------------------------
+
+
+@query(f"WITH {R.READS_N}, {R.parents()} SELECT sample, p.seq AS barcode, count(*) AS counts FROM reads_n r JOIN parents p ON contains(r.seq, p.seq) WHERE NOT contains(r.seq, 'N') GROUP BY 1, 2")
+def reference_exact_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _extracted(R.reads_with_n(spark, sf_dir), X.find_listed(F.col("seq"), R.parent_list()))
+
+
+@query(f"WITH {R.READS_N}, {R.parents()} SELECT sample, p.name AS barcode, count(*) AS counts FROM reads_n r JOIN parents p ON contains(r.seq, p.seq) WHERE NOT contains(r.seq, 'N') GROUP BY 1, 2")
+def reference_exact_dict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = {s: f"clone_{k}" for k, s in enumerate(R.parent_list())}
+    return _extracted(R.reads_with_n(spark, sf_dir), X.named(K.find_listed(F.col("seq"), list(names)), names))
+
+
+@query(f"WITH {R.READS}, {R.parents()} SELECT sample, p.name AS barcode, count(*) AS counts FROM reads r JOIN parents p ON hamming(r.barcode_true, p.seq) <= 1 GROUP BY 1, 2")
+def reference_approx(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = {s: f"clone_{k}" for k, s in enumerate(R.parent_list())}
+    return _extracted(R.reads(spark, sf_dir), X.named(K.find_near(F.col("seq"), list(names), 1), names))
+
+
+@query()
+def adapter_trim_3p(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _extracted(R.reads(spark, sf_dir), K.trim(F.col("seq"), f"*{R.RIGHT}", 0.1, max_read_length=32))
+
+
+@query()
+def adapter_trim_5p(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _extracted(R.reads(spark, sf_dir), K.trim(F.col("seq"), f"{R.LEFT}*", 0.1, max_read_length=32))
+
+
+@query()
+def adapter_linked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _extracted(R.reads(spark, sf_dir), K.trim(F.col("seq"), FLANKED, 0.1))
+
+
+# -- clones and plot tables ------------------------------------------------------------
+
+_CLONES = R.parents() + ", clone AS (SELECT CAST(ord // 5 AS INTEGER) AS ord, 'clone_' || CAST(ord // 5 AS VARCHAR) AS clone, seq AS barcode FROM parents)"
+_ASSIGNED = f"""{R.READS}, cells AS (SELECT umi AS cell, barcode_true AS barcode, count(*) AS counts FROM reads GROUP BY 1, 2), {_CLONES}, size AS (SELECT ord, clone, count(*) AS size FROM clone GROUP BY 1, 2),
+known AS (SELECT DISTINCT cell, barcode FROM cells WHERE barcode IN (SELECT barcode FROM clone)), n AS (SELECT cell, count(*) AS n FROM known GROUP BY 1),
+k AS (SELECT cell, ord, clone, count(*) AS k FROM known JOIN clone USING (barcode) GROUP BY 1, 2, 3),
+best AS (SELECT cell, arg_min(k.clone, (-(k * 1.0 / size), k.ord)) AS clone FROM k JOIN size USING (ord) JOIN n USING (cell) WHERE n <= size AND k * 1.0 / size >= 0.2 GROUP BY 1),
+obs AS (SELECT cell, coalesce(clone, 'Unassigned') AS clone FROM (SELECT DISTINCT cell FROM cells) LEFT JOIN best USING (cell))"""
+
+
+
+
+def _mapping(spark: SparkSession) -> DataFrame:
+    p = R.parent_list()
+    return clones.mapping_table(spark, {f"clone_{i}": p[i * 5 : i * 5 + 5] for i in range(10)})
+
+
+@query(f"WITH {_ASSIGNED} SELECT cell, clone FROM obs")
+def assign_clones(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = R.reads(spark, sf_dir).select(F.col("umi").alias("cell"), F.col("barcode_true").alias("barcode"))
+    return clones.assign_clones(counting.count_reads(rows, ["cell"]), _mapping(spark), 0.2)
+
+
+_LINES = "SELECT l_returnflag AS grp, l_linestatus AS key, l_extendedprice AS value FROM lineitem"
+
+
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = R.table(spark, sf_dir, "lineitem")
+    return t.select(F.col("l_returnflag").alias("grp"), F.col("l_linestatus").alias("key"), F.col("l_extendedprice").alias("value"))
+
+
+@query(f"SELECT grp, count(*) AS count, round(count(*) / sum(count(*)) OVER () * 100, 6) AS percentage FROM ({_LINES}) GROUP BY 1")
+def category_percent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.category_percent(_lines(spark, sf_dir), "grp").withColumn("percentage", F.round("percentage", 6))
+
+
+@query(f"SELECT grp, key, count(*) AS count, round(count(*) / sum(count(*)) OVER (PARTITION BY grp) * 100, 6) AS percentage FROM ({_LINES}) GROUP BY 1, 2")
+def crosstab_percent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.crosstab_percent(_lines(spark, sf_dir), "grp", "key").withColumn("percentage", F.round("percentage", 6))
+
+
+@query(f"""WITH t AS ({_LINES}), q AS (SELECT grp, count(*) AS n, quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.5) AS median, quantile_cont(value, 0.75) AS q3 FROM t GROUP BY 1)
+SELECT t.grp, any_value(n) AS n, round(any_value(q1), 6) AS q1, round(any_value(median), 6) AS median, round(any_value(q3), 6) AS q3,
+min(value) FILTER (value >= q1 - 1.5 * (q3 - q1)) AS whisker_low, max(value) FILTER (value <= q3 + 1.5 * (q3 - q1)) AS whisker_high FROM t JOIN q ON t.grp = q.grp GROUP BY 1""")
+def box_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.box_stats(_lines(spark, sf_dir), "value", "grp").withColumns({c: F.round(c, 6) for c in ("q1", "median", "q3")})
+
+
+@query(f"""WITH {_CLUSTERED} SELECT f.sample, f.barcode, c.cluster, f.counts, CAST(sum(f.counts) OVER (PARTITION BY f.sample, c.cluster) AS BIGINT) AS total_count
+FROM flagship f JOIN clusters c ON f.barcode = c.barcode""")
+def pcr_cluster_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = extract_dna_long(spark, sf_dir)
+    return simulate.with_totals(counts.join(collapse.cluster(counts, 2), "barcode"), ["sample", "cluster"], "counts").select("sample", "barcode", "cluster", "counts", "total_count")
+
+
+@query(f"WITH {_COUNTED} SELECT sample, barcode, counts, round(100 * counts / sum(counts) OVER (PARTITION BY sample), 6) AS frequency FROM counted")
+def frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simulate.with_frequency(_counted(spark, sf_dir), ["sample"], "counts").withColumn("frequency", F.round("frequency", 6))
+
+
+@query()
+def simulate_dna(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simulate.dna_ground_truth(spark, samples=["s1", "s2"], barcodes=10, length=16, counts=simulate.Counts("random"), chimeras=2, fraction=0.1, seed=7)
+
+
+@query()
+def simulate_sc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simulate.sc_molecules(spark, samples=["s1"], cells=20, clones=4, length=16, umis_per_cell=5, chimeras=2, fraction=0.2, seed=7)
