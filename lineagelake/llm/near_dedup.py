@@ -60,18 +60,23 @@ def signatures(docs: DataFrame, words: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, fp binary, sig array<long>, parity array<long>")
 
 
-def _alike(percent: int) -> Column:
-    """Enough equal coordinates between rows a and b, and a similarity that their sizes and
-    parity sketches allow.
+def _possible(percent: int) -> Column:
+    """A similarity of rows a and b that their sizes and parity sketches allow.
 
     Every bit in which the sketches differ is due to a shingle of just one of the sets, so
     the number of those bits is at most that of such shingles; Jaccard p/100 allows at most
     (100 - p) * (|A| + |B|) / (100 + p) of them.  This bound never turns a link away.
     """
-    equal = reduce(add, [(F.col("a.sig")[k] == F.col("b.sig")[k]).cast("int") for k in range(COORDINATES)])
     differ = reduce(add, [F.bit_count(F.col("a.parity")[k].bitwiseXOR(F.col("b.parity")[k])) for k in range(WORDS)])
     small, large = F.least("a.n", "b.n"), F.greatest("a.n", "b.n")
-    return (small * 100 >= large * percent) & (differ * (100 + percent) <= (small + large) * (100 - percent)) & (equal >= COLLISIONS)
+    return (small * 100 >= large * percent) & (differ * (100 + percent) <= (small + large) * (100 - percent))
+
+
+def _colliding(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """Those of ``pairs(a, fa, b, fb)`` with enough equal coordinates in their signatures."""
+    side = lambda x: classes.select(F.col("rep").alias(x), F.col("fp").alias(f"f{x}"), F.col("sig").alias(f"s{x}"))
+    equal = F.size(F.array_intersect("sa", "sb"))  # names of different coordinates differ
+    return pairs.join(side("a"), ["a", "fa"]).join(side("b"), ["b", "fb"]).where(equal >= COLLISIONS).select("a", "fa", "b", "fb")
 
 
 def _postings(classes: DataFrame) -> DataFrame:
@@ -80,17 +85,28 @@ def _postings(classes: DataFrame) -> DataFrame:
     Pairs with COLLISIONS equal coordinates share one of the first (held - COLLISIONS + 1)
     of the coordinate-value pairs that a class holds with any other, in one order for all,
     rarest first; so the long lists are merged only for classes that have nothing rarer.
-    ``weight`` sums how common all its pairs are: the middle of a group has the most.
+    ``weight`` sums the logarithms of how common all its pairs are: the middle of a group has
+    the most, while one very common pair counts little.
     """
     tokens = classes.select("rep", F.explode("sig").alias("token"))
     common = tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
-    held = tokens.join(common, "token").groupBy("rep").agg(F.sum("df").alias("weight"), F.sort_array(F.collect_list(F.struct("df", "token"))).alias("held"))
+    held = tokens.join(common, "token").groupBy("rep").agg(F.sum(F.log("df")).alias("weight"), F.sort_array(F.collect_list(F.struct("df", "token"))).alias("held"))
     prefix = held.where(F.size("held") >= COLLISIONS)
     return prefix.select("rep", "weight", F.explode(F.slice("held", F.lit(1), F.size("held") - (COLLISIONS - 1))).alias("t")).select(
         F.col("t.token").alias("token"), "rep", "weight"
     )
 
 
+def _open(postings: DataFrame, comps: DataFrame | None) -> DataFrame:
+    """The lists whose members are not all in one component, as ``token, rep, weight, comp`` and
+    ``main``, the component most frequent in the list."""
+    if comps is None:
+        return postings.withColumns({"comp": F.col("rep"), "main": F.lit(None).cast("long")})
+    placed = postings.join(comps, "rep", "left").select("token", "rep", "weight", F.coalesce("component", "rep").alias("comp"))
+    several = placed.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.mode("comp").alias("main")).where("lo < hi").select("token", "main")
+    return placed.join(several, "token")
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
     """Those of ``pairs(a, fa, b, fb)`` whose full shingle sets reach the similarity."""
 
@@ -133,8 +149,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     Documents with equal sets are one class.  Each class is posted under the rarest of its
     (coordinate, value) pairs; collisions are counted on the whole signatures, and every
     link is confirmed on the full sets.  A first round tests each list's members against
-    the one in its middle, which joins large groups without their inner pairs; a second
-    round tests every pair of one list whose members are still apart.
+    the one in its middle, a second against one by chance, which joins large groups without
+    their inner pairs; a last round tests every pair of one list that is still apart.
 
     Null or blank texts have an empty set and link with nothing.  Rows without doc_id take
     no part: component_id null, kept true.  Rows that repeat a doc_id are one document.
@@ -150,20 +166,26 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     postings = stored(_postings(classes), "postings")
     members = [F.col("a.rep").alias("a"), F.col("a.fp").alias("fa"), F.col("b.rep").alias("b"), F.col("b.fp").alias("fb")]
 
-    middle = postings.groupBy("token").agg(F.min(F.struct(-F.col("weight"), "rep")).alias("m")).select("token", F.col("m.rep").alias("pivot"))
-    star = postings.join(middle, "token").where("rep <> pivot").select("pivot", "rep").distinct()
-    star = star.join(classes.alias("a"), star["pivot"] == F.col("a.rep")).join(classes.alias("b"), star["rep"] == F.col("b.rep")).where(_alike(percent))
-    tested = stored(star.select(*members), "pairs")
-    links = stored(_verified(tested, docs, words, percent), "links")
-    found = connected_components(links).withColumnRenamed("node", "rep")
-
-    placed = stored(postings.join(found, "rep", "left").select("token", "rep", F.coalesce("component", "rep").alias("comp")), "placed")
-    mixed_lists = placed.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("token")
-    open_ = placed.join(mixed_lists, "token").join(classes, "rep")
-    open_ = stored(open_.select("token", "rep", "comp", "n", "fp", "sig", "parity"), "open")
-    apart = open_.alias("a").join(open_.alias("b"), (F.col("a.token") == F.col("b.token")) & (F.col("a.comp") < F.col("b.comp")) & _alike(percent))
+    sketches = classes.select("rep", "n", "fp", "parity")
+    tested = links = comps = None
+    for order in (-F.col("weight"), F.xxhash64("rep").cast("double")):
+        placed = stored(_open(postings, comps), "placed")
+        pivot = placed.groupBy("token").agg(F.min(F.struct(order.alias("o"), "rep", "comp")).alias("p")).select("token", F.col("p.rep").alias("pivot"), F.col("p.comp").alias("own"))
+        star = placed.join(pivot, "token").where("comp <> own").select("pivot", "rep").distinct()
+        star = star.join(sketches.alias("a"), star["pivot"] == F.col("a.rep")).join(sketches.alias("b"), star["rep"] == F.col("b.rep")).where(_possible(percent))
+        pairs = stored(_colliding(star.select(*members), classes), "pairs")
+        found = stored(_verified(pairs, docs, words, percent), "links")
+        tested, links = (pairs, found) if links is None else (tested.union(pairs), links.union(found))
+        comps = connected_components(links).withColumnRenamed("node", "rep")
+
+    rest = _open(postings, comps).join(sketches, "rep").select("token", "rep", "comp", "main", "n", "fp", "parity")
+    rest = stored(rest, "open")
+    minor = rest.where("comp <> main")
+    each = (F.col("a.comp") != F.col("b.comp")) & ((F.col("b.comp") == F.col("b.main")) | (F.col("a.comp") < F.col("b.comp")))
+    apart = minor.alias("a").join(rest.alias("b"), (F.col("a.token") == F.col("b.token")) & each & _possible(percent))
     seen = tested.union(tested.select("b", "fb", "a", "fa"))
-    apart = stored(apart.select(*members).distinct().join(seen, ["a", "fa", "b", "fb"], "left_anti"), "pairs")
+    apart = apart.select(*members).distinct().join(seen, ["a", "fa", "b", "fb"], "left_anti")
+    apart = stored(_colliding(apart, classes), "pairs")
     more = stored(_verified(apart, docs, words, percent), "links")
     repeated = usable.join(classes.select("fp", "rep"), "fp").where("doc_id <> rep").select(F.col("doc_id").alias("src"), F.col("rep").alias("dst"))
     groups = connected_components(links.union(more).union(repeated)).withColumnRenamed("node", "doc_id")
