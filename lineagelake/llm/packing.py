@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -92,20 +92,65 @@ def best_two_fit(counts: dict[int, int], capacity: int) -> list[Segment]:
     return plan
 
 
-class _Words(dict):
-    """White-space separated part of a text to its ids; forgets everything once it is large."""
+#: Letters, then signs that no rule of the tokenizer joins to letters: two pieces for it.
+_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,%#*&$!?;:|/()-]*)")
+
+
+class _Words:
+    """Ids of white-space separated words, as little-endian 32-bit bytes, remembered by word
+    and by piece.  Both memories are emptied once they are large."""
+
+    MOST, MARK = 400_000, "<|startoftext|>"
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-
-    def __missing__(self, word: str) -> list[int]:
-        if len(self) > 300_000:
-            self.clear()
-        self[word] = ids = self.tokenizer.encode(word, add_special_tokens=False).ids
-        return ids
+        self.mark = self.tokenizer.token_to_id(self.MARK)
+        self.words: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {"": b""}
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of whole texts."""
+        split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
+        if len(self.words) > self.MOST:
+            self.words.clear()
+        found = [list(map(self.words.get, parts)) for parts in split]
+        if new := {w for ids, parts in zip(found, split, strict=True) if None in ids for w, x in zip(parts, ids, strict=True) if x is None}:
+            self._learn(new)
+            found = [list(map(self.words.get, parts)) if None in ids else ids for ids, parts in zip(found, split, strict=True)]
+        return [b"".join(ids) for ids in found]
+
+    def _learn(self, words: set[str]) -> None:
+        if len(self.pieces) > self.MOST:
+            self.pieces = {"": b""}
+        cut = {}
+        for w in words:
+            m = _PLAIN.fullmatch(w)
+            if m:
+                letters = m[1].lower() if m[1].isascii() else m[1]
+                cut[w] = letters, m[2]
+            else:
+                cut[w] = w, ""
+        new = {p for pair in cut.values() for p in pair} - self.pieces.keys()
+        rest = []
+        for p in new:
+            if p.isascii() and p.isalpha():  # lower case already: nothing to normalise or to split
+                self.pieces[p] = np.array([t.id for t in self.tokenizer.model.tokenize(p)], "<u4").tobytes()
+            elif self.mark is None or "<|" in p:
+                self.pieces[p] = np.array(self.tokenizer.encode(p, add_special_tokens=False).ids, "<u4").tobytes()
+            else:
+                rest.append(p)
+        for i in range(0, len(rest), 4000):  # together, a special token between them
+            some = rest[i : i + 4000]
+            ids = np.array(self.tokenizer.encode_batch_fast([self.MARK.join(some)], add_special_tokens=False)[0].ids, "<u4")
+            for p, own in zip(some, np.split(ids, np.flatnonzero(ids == self.mark)), strict=True):
+                self.pieces[p] = (own[1:] if len(own) and own[0] == self.mark else own).tobytes()
+        for w, (a, b) in cut.items():
+            self.words[w] = self.pieces[a] + self.pieces[b]
+
+
+_words: dict[str, _Words] = {}
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 1) -> DataFrame:
@@ -117,13 +162,13 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int =
     """
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = _Words(tokenizer)
+        if tokenizer not in _words:
+            _words[tokenizer] = _Words(tokenizer)
+        words = _words[tokenizer]
         for b in batches_of(rows, 500):
-            ids, out = b.column(0).to_pylist(), []
-            for doc, text in zip(ids, b.column(1).to_pylist(), strict=True):
-                parts = (text or "").replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-                tokens = np.fromiter(chain.from_iterable(map(words.__getitem__, parts)), "<u4")
-                tokens = np.append(tokens, np.uint32(end_id)).astype("<u4")
+            out = []
+            for doc, ids in zip(b.column(0).to_pylist(), words.encode([t or "" for t in b.column(1).to_pylist()]), strict=True):
+                tokens = np.append(np.frombuffer(ids, "<u4"), np.uint32(end_id)).astype("<u4")
                 for k, start in enumerate(range(0, len(tokens), capacity)):
                     cut = tokens[start : start + capacity]
                     out.append((doc, k, start, len(cut), zlib.crc32(cut.tobytes())))
