@@ -82,12 +82,26 @@ def _good(kind: str) -> Column:
     return F.filter(F.col(f"__s_{kind}"), lambda s, i: _holds(kind, F.get(F.col(f"__m_{kind}"), i)))
 
 
+def _around(span: Column, inst: Column, gaps: Column, i: Column, known: bool) -> Column:
+    """A candidate: place, text, and the ends of the gaps on its left and right."""
+    return F.struct(
+        span["start"].alias("start"), span["end"].alias("end"), inst.alias("inst"), F.right(F.get(gaps, i), F.lit(80)).alias("left"),
+        F.left(F.get(gaps, i + 1), F.lit(40)).alias("right"), F.lit(known).alias("known"),
+    )
+
+
+def _seen(kind: str) -> Column:
+    all_ = F.transform(F.col(f"__s_{kind}"), lambda s, i: _around(s, F.get(F.col(f"__m_{kind}"), i), F.col(f"__g_{kind}"), i, True))
+    return F.filter(all_, lambda x: _holds(kind, x["inst"]))
+
+
 def _count(kind: str) -> Column:
     return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
 
 
-def with_base(docs: DataFrame) -> DataFrame:
-    """``docs`` (with a column text) and ``base``: the base entities by start, then kind."""
+def with_base(docs: DataFrame, contexts: bool = False) -> DataFrame:
+    """``docs`` (with a column text) and ``base``: the base entities by start, then kind.
+    ``contexts`` adds ``seen``: the entities with their text and what stands around them."""
     out = docs
     none = F.array().cast("array<string>")
     for kind in KINDS:
@@ -96,31 +110,36 @@ def with_base(docs: DataFrame) -> DataFrame:
         out = out.withColumns({f"__m_{kind}": F.when(may, matches).otherwise(none), f"__g_{kind}": F.when(may, gaps).otherwise(none)})
     out = out.withColumns({f"__s_{kind}": _placed(F.col(f"__m_{kind}"), F.col(f"__g_{kind}"), i, kind) for i, kind in enumerate(KINDS)})
     out = out.withColumn("base", F.array_sort(F.concat(*[_good(kind) for kind in KINDS])))
+    if contexts:
+        out = out.withColumn("seen", F.concat(*[_seen(kind) for kind in KINDS]))
     return out.drop(*[f"__{x}_{kind}" for x in "mgs" for kind in KINDS])
 
 
 def _candidates(based: DataFrame) -> DataFrame:
-    """Tokens with a digit or @ at their places, their contexts as patterns, and whether a
-    base entity lies in them: ``(doc, h, start, end, inst, known, patterns)``."""
+    """What patterns may extract, with its contexts as patterns: base entities (known), and
+    tokens of four digits or more that no base entity touches:
+    ``(doc, h, start, end, inst, known, patterns)``."""
     matches, gaps = _found(F.col("text"), _CANDIDATE)
-    rows = based.where(F.col("text").rlike("[0-9@]")).select("doc", "h", "base", matches.alias("m"), gaps.alias("g"))
-    rows = rows.select("doc", "h", "base", "m", "g", _placed(F.col("m"), F.col("g"), 0, OTHER).alias("s"))
-    rows = rows.where(F.size("m") > 0).select("doc", "h", "base", "g", F.posexplode(F.arrays_zip("m", "s")).alias("i", "x"))
+    rows = based.where(F.col("text").rlike("[0-9@]")).select("doc", "h", "base", "seen", matches.alias("m"), gaps.alias("g"))
+    rows = rows.select("doc", "h", "base", "seen", "m", "g", _placed(F.col("m"), F.col("g"), 0, OTHER).alias("s"))
+    free = lambda x: ~F.exists("base", lambda b: (b["start"] < x["end"]) & (b["end"] > x["start"]))
+    tokens = F.filter(
+        F.transform("s", lambda s, i: _around(s, F.get("m", i), F.col("g"), i, False)), lambda x: (F.length(_digits(x["inst"])) >= 4) & free(x)
+    )
+    rows = rows.select("doc", "h", F.explode(F.concat("seen", tokens)).alias("x")).select("doc", "h", "x.*")
     word = lambda side: F.lower(F.regexp_replace(side, r"[^\p{L}=:#_]", ""))
-    left = F.split(F.trim(F.regexp_replace(F.right(F.get("g", F.col("i")), F.lit(80)), r"\s+", " ")), " ")
-    right = F.split(F.trim(F.regexp_replace(F.left(F.get("g", F.col("i") + 1), F.lit(40)), r"\s+", " ")), " ")
-    lead = F.regexp_extract(F.col("x.m"), r"^[^A-Za-z0-9+@]*", 0)
-    inst = F.regexp_replace(F.col("x.m"), r"^[^A-Za-z0-9+@]+|[^A-Za-z0-9]+$", "")
-    start = F.col("x.s.start") + F.length(lead)
+    parts = lambda side: F.split(F.trim(F.regexp_replace(side, r"\s+", " ")), " ")
+    lead = F.when(F.col("known"), 0).otherwise(F.length(F.regexp_extract("inst", r"^[^A-Za-z0-9+@]*", 0)))
+    inst = F.when(F.col("known"), F.col("inst")).otherwise(F.regexp_replace("inst", r"^[^A-Za-z0-9+@]+|[^A-Za-z0-9]+$", ""))
+    start = F.col("start") + lead
     rows = rows.select(
-        "doc", "h", start.alias("start"), (start + F.length(inst)).alias("end"), inst.alias("inst"), "base",
-        word(F.try_element_at(left, F.lit(-1))).alias("l1"), word(F.try_element_at(left, F.lit(-2))).alias("l2"), word(F.get(right, F.lit(0))).alias("r1"),
-    )
-    rows = rows.where((F.length("inst") >= 6) & (F.length(_digits(F.col("inst"))) >= 4))
-    known = F.exists("base", lambda b: (b["start"] < F.col("end")) & (b["end"] > F.col("start")))
+        "doc", "h", start.alias("start"), (start + F.length(inst)).alias("end"), inst.alias("inst"), "known",
+        word(F.try_element_at(parts(F.col("left")), F.lit(-1))).alias("l1"), word(F.try_element_at(parts(F.col("left")), F.lit(-2))).alias("l2"),
+        word(F.get(parts(F.col("right")), F.lit(0))).alias("r1"),
+    ).where(F.col("known") | (F.length("inst") >= 6))
     pattern = lambda kind, *c: F.when(reduce(lambda a, b: a & b, [F.length(x) > 0 for x in c]), F.concat_ws(" ", F.lit(kind), *c))
     patterns = F.array_compact(F.array(pattern("L", F.col("l1")), pattern("LL", F.col("l2"), F.col("l1")), pattern("LR", F.col("l1"), F.col("r1"))))
-    return rows.select("doc", "h", "start", "end", "inst", known.alias("known"), patterns.alias("patterns"))
+    return rows.select("doc", "h", "start", "end", "inst", "known", patterns.alias("patterns"))
 
 
 def discovered(candidates: DataFrame, rounds: int = ROUNDS) -> DataFrame:
@@ -158,7 +177,7 @@ def find_spans(docs: DataFrame) -> DataFrame:
     """``doc_id, base, more`` per row: base entities and discovered identifiers as arrays of
     structs ``start, ord, kind, end`` (code points, end exclusive).  Null and empty texts have
     none; repeated rows each have theirs; other columns are ignored."""
-    based = with_base(_keyed(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))))
+    based = with_base(_keyed(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))), contexts=True)
     candidates = stored(_candidates(based), "candidates")
     hits = candidates.where("not known").join(discovered(candidates), "inst").select("doc", "h", F.struct("start", F.lit(len(KINDS)).alias("ord"), F.lit(OTHER).alias("kind"), "end").alias("s"))
     more = hits.groupBy("doc", "h").agg(F.collect_set("s").alias("more"))
@@ -188,7 +207,7 @@ def redact(docs: DataFrame) -> DataFrame:
     """``docs`` with personal data replaced by [EMAIL], [IP], [CARD], [PHONE] and [ID] in
     ``text``; all other columns and rows stay.  Null texts stay null."""
     keyed = _keyed(docs)
-    candidates = stored(_candidates(with_base(keyed.select("doc_id", "doc", "h", F.coalesce("text", F.lit("")).alias("text")))), "candidates")
+    candidates = stored(_candidates(with_base(keyed.select("doc_id", "doc", "h", F.coalesce("text", F.lit("")).alias("text")), contexts=True)), "candidates")
     hits = candidates.where("not known").join(discovered(candidates), "inst")
     more = hits.groupBy("doc", "h").agg(F.array_distinct(F.collect_list(F.struct((-F.col("start")).alias("o"), "end"))).alias("__more"))
     out = keyed.join(more, ["doc", "h"], "left")
