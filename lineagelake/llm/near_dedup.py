@@ -79,8 +79,8 @@ def _colliding(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return pairs.join(side("a"), ["a", "fa"]).join(side("b"), ["b", "fb"]).where(equal >= COLLISIONS).select("a", "fa", "b", "fb")
 
 
-def _postings(classes: DataFrame) -> DataFrame:
-    """``(token, rep, weight)``: each class under the coordinate-value pairs of its prefix.
+def _prefixes(classes: DataFrame) -> DataFrame:
+    """``(rep, weight, prefix)``: the coordinate-value pairs under which a class is posted.
 
     Pairs with COLLISIONS equal coordinates share one of the first (held - COLLISIONS + 1)
     of the coordinate-value pairs that a class holds with any other, in one order for all,
@@ -91,10 +91,8 @@ def _postings(classes: DataFrame) -> DataFrame:
     tokens = classes.select("rep", F.explode("sig").alias("token"))
     common = tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
     held = tokens.join(common, "token").groupBy("rep").agg(F.sum(F.log("df")).alias("weight"), F.sort_array(F.collect_list(F.struct("df", "token"))).alias("held"))
-    prefix = held.where(F.size("held") >= COLLISIONS)
-    return prefix.select("rep", "weight", F.explode(F.slice("held", F.lit(1), F.size("held") - (COLLISIONS - 1))).alias("t")).select(
-        F.col("t.token").alias("token"), "rep", "weight"
-    )
+    first = F.slice("held", F.lit(1), F.size("held") - (COLLISIONS - 1))
+    return held.where(F.size("held") >= COLLISIONS).select("rep", "weight", F.transform(first, lambda t: t["token"]).alias("prefix"))
 
 
 def _open(postings: DataFrame, comps: DataFrame | None) -> DataFrame:
@@ -107,7 +105,16 @@ def _open(postings: DataFrame, comps: DataFrame | None) -> DataFrame:
     return placed.join(several, "token")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+def _texts(docs: DataFrame, prefixes: DataFrame) -> DataFrame:
+    """``(id, text)`` of the documents that stand for posted classes: the only shuffle of all
+    texts; the rounds read what is left of them.  The ids grow with the corpus, so they are
+    never broadcast."""
+    text = docs.select(F.col("doc_id").cast("long").alias("id"), "text").where("id is not null and text is not null")
+    posted = prefixes.select(F.col("rep").alias("id")).hint("merge")
+    return stored(text.join(posted, "id", "left_semi").dropDuplicates(["id", "text"]), "posted-texts")
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
     """Those of ``pairs(a, fa, b, fb)`` whose full shingle sets reach the similarity."""
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,9 +135,8 @@ def _verified(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> Da
                     out.append(i)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(out, pa.int64())), batch.column(3).take(pa.array(out, pa.int64()))], names=["src", "dst"])
 
-    text = docs.select(F.col("doc_id").cast("long").alias("id"), "text").where("id is not null and text is not null")
     wanted = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    text = stored(text.join(wanted, "id", "left_semi").dropDuplicates(["id", "text"]), "texts")
+    text = stored(texts.join(wanted, "id", "left_semi"), "texts")
     both = (
         pairs.join(text.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
         .join(text.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
@@ -163,10 +169,12 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
         F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"), F.first("parity").alias("parity")
     )
     classes = stored(classes, "classes")
-    postings = stored(_postings(classes), "postings")
+    prefixes = stored(_prefixes(classes), "prefixes")
+    postings = prefixes.select("rep", "weight", F.explode("prefix").alias("token"))
+    texts = _texts(docs, prefixes)
     members = [F.col("a.rep").alias("a"), F.col("a.fp").alias("fa"), F.col("b.rep").alias("b"), F.col("b.fp").alias("fb")]
 
-    sketches = classes.select("rep", "n", "fp", "parity")
+    sketches = classes.select("rep", "n", "fp", "parity").join(prefixes.select("rep", "prefix"), "rep")
     tested = links = comps = None
     for order in (-F.col("weight"), F.xxhash64("rep").cast("double")):
         placed = stored(_open(postings, comps), "placed")
@@ -174,19 +182,20 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
         star = placed.join(pivot, "token").where("comp <> own").select("pivot", "rep").distinct()
         star = star.join(sketches.alias("a"), star["pivot"] == F.col("a.rep")).join(sketches.alias("b"), star["rep"] == F.col("b.rep")).where(_possible(percent))
         pairs = stored(_colliding(star.select(*members), classes), "pairs")
-        found = stored(_verified(pairs, docs, words, percent), "links")
+        found = stored(_verified(pairs, texts, words, percent), "links")
         tested, links = (pairs, found) if links is None else (tested.union(pairs), links.union(found))
         comps = connected_components(links).withColumnRenamed("node", "rep")
 
-    rest = _open(postings, comps).join(sketches, "rep").select("token", "rep", "comp", "main", "n", "fp", "parity")
+    rest = _open(postings, comps).join(sketches, "rep").select("token", "rep", "comp", "main", "n", "fp", "parity", "prefix")
     rest = stored(rest, "open")
     minor = rest.where("comp <> main")
     each = (F.col("a.comp") != F.col("b.comp")) & ((F.col("b.comp") == F.col("b.main")) | (F.col("a.comp") < F.col("b.comp")))
-    apart = minor.alias("a").join(rest.alias("b"), (F.col("a.token") == F.col("b.token")) & each & _possible(percent))
+    once = F.array_min(F.array_intersect("a.prefix", "b.prefix")) == F.col("a.token")  # of all lists that hold both
+    apart = minor.alias("a").join(rest.alias("b"), (F.col("a.token") == F.col("b.token")) & each & _possible(percent) & once)
     seen = tested.union(tested.select("b", "fb", "a", "fa"))
     apart = apart.select(*members).distinct().join(seen, ["a", "fa", "b", "fb"], "left_anti")
     apart = stored(_colliding(apart, classes), "pairs")
-    more = stored(_verified(apart, docs, words, percent), "links")
+    more = stored(_verified(apart, texts, words, percent), "links")
     repeated = usable.join(classes.select("fp", "rep"), "fp").where("doc_id <> rep").select(F.col("doc_id").alias("src"), F.col("rep").alias("dst"))
     groups = connected_components(links.union(more).union(repeated)).withColumnRenamed("node", "doc_id")
 
