@@ -2,43 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lineagelake.functions.storage import shared_dir, stored
 
-_own: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir`` where the
-    cluster names one, else a temporary folder (single machine, as in tests)."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        app = spark.sparkContext.applicationId
-        if app not in _own:
-            _own[app] = "file://" + tempfile.mkdtemp(prefix="lineagelake-")
-        named = _own[app]
-    return named.rstrip("/")
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it back: the lineage ends
-    there, so a lost executor costs a re-read, and every reader prunes columns.  Spark
-    removes the files when the application ends."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
-    hpath = jvm.org.apache.hadoop.fs.Path(path)
-    hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hpath)
-    schema = df.schema
-    df.write.parquet(path)
-    return spark.read.schema(schema).parquet(path)
+__all__ = ["batches_of", "connected_components", "mixed", "shared_dir", "shingle_set", "stored"]
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -75,17 +48,6 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     )
 
 
-class _Hashes(dict):
-    """Word to 64-bit hash; forgets everything once it is large."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
-            self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
-_hashes = _Hashes()
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -108,7 +70,7 @@ def shingle_set(text: str | None, words: int) -> np.ndarray:
     n = len(parts)
     if not n:
         return np.empty(0, np.uint64)
-    h = np.fromiter(map(_hashes.__getitem__, parts), np.uint64, n)
+    h = np.fromiter(map(xxhash.xxh3_64_intdigest, parts), np.uint64, n)
     width = min(words, n)
     out = np.full(n - width + 1, width, np.uint64)
     for i in range(width):

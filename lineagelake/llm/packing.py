@@ -100,7 +100,7 @@ class _Words:
     """Ids of white-space separated words, as little-endian 32-bit bytes, remembered by word
     and by piece.  Both memories are emptied once they are large."""
 
-    MOST, MARK = 400_000, "<|startoftext|>"
+    MOST, MARK = 250_000, "<|startoftext|>"
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
