@@ -78,6 +78,12 @@ def test_sheet_validation(spark):
         Config.of({"nonsense": 1})
 
 
+def test_missing_files(spark):
+    sheet = spark.createDataFrame([("s", "/nowhere/x.fastq")], "sample string, fastq_path_r1 string")
+    with pytest.raises(ValidationError, match="nothing at"):
+        extract(spark, sheet, Config(reference="ACGT*"))
+
+
 def test_simulated_reads_give_the_ground_truth_back(spark, tmp_path):
     conf = {
         "general": {"output_path": str(tmp_path), "samples": ["s1"], "simulation_type": "dna", "seed": 4},
