@@ -105,13 +105,17 @@ def _open(postings: DataFrame, comps: DataFrame | None) -> DataFrame:
     return placed.join(several, "token")
 
 
-def _texts(docs: DataFrame, prefixes: DataFrame) -> DataFrame:
-    """``(id, text)`` of the documents that stand for posted classes: the only shuffle of all
-    texts; the rounds read what is left of them.  The ids grow with the corpus, so they are
-    never broadcast."""
+def _texts(pairs: DataFrame, docs: DataFrame, known: DataFrame | None) -> DataFrame:
+    """``(id, text)`` of all documents that ``pairs`` or earlier rounds look at.  Only texts
+    that no earlier round has fetched are read again: the first round fetches nearly all
+    that are ever wanted, later ones a few.  Whether the ids wanted are broadcast is left to
+    Spark's check of their size; beyond it, the texts are shuffled, once for the first round."""
+    wanted = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
+    if known is not None:
+        wanted = wanted.join(known.select("id"), "id", "left_anti")
     text = docs.select(F.col("doc_id").cast("long").alias("id"), "text").where("id is not null and text is not null")
-    posted = prefixes.select(F.col("rep").alias("id")).hint("merge")
-    return stored(text.join(posted, "id", "left_semi").dropDuplicates(["id", "text"]), "posted-texts")
+    more = stored(text.join(wanted, "id", "left_semi").dropDuplicates(["id", "text"]), "texts")
+    return more if known is None else known.union(more)
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
@@ -135,11 +139,9 @@ def _verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> D
                     out.append(i)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(out, pa.int64())), batch.column(3).take(pa.array(out, pa.int64()))], names=["src", "dst"])
 
-    wanted = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    text = stored(texts.join(wanted, "id", "left_semi"), "texts")
     both = (
-        pairs.join(text.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
-        .join(text.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
+        pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
+        .join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
         .select("a", "fa", "ta", "b", "fb", "tb")
     )
     return both.mapInArrow(run, "src long, dst long")
@@ -171,17 +173,17 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     classes = stored(classes, "classes")
     prefixes = stored(_prefixes(classes), "prefixes")
     postings = prefixes.select("rep", "weight", F.explode("prefix").alias("token"))
-    texts = _texts(docs, prefixes)
     members = [F.col("a.rep").alias("a"), F.col("a.fp").alias("fa"), F.col("b.rep").alias("b"), F.col("b.fp").alias("fb")]
 
     sketches = classes.select("rep", "n", "fp", "parity").join(prefixes.select("rep", "prefix"), "rep")
-    tested = links = comps = None
+    tested = links = comps = texts = None
     for order in (-F.col("weight"), F.xxhash64("rep").cast("double")):
         placed = stored(_open(postings, comps), "placed")
         pivot = placed.groupBy("token").agg(F.min(F.struct(order.alias("o"), "rep", "comp")).alias("p")).select("token", F.col("p.rep").alias("pivot"), F.col("p.comp").alias("own"))
         star = placed.join(pivot, "token").where("comp <> own").select("pivot", "rep").distinct()
         star = star.join(sketches.alias("a"), star["pivot"] == F.col("a.rep")).join(sketches.alias("b"), star["rep"] == F.col("b.rep")).where(_possible(percent))
         pairs = stored(_colliding(star.select(*members), classes), "pairs")
+        texts = _texts(pairs, docs, texts)
         found = stored(_verified(pairs, texts, words, percent), "links")
         tested, links = (pairs, found) if links is None else (tested.union(pairs), links.union(found))
         comps = connected_components(links).withColumnRenamed("node", "rep")
@@ -195,7 +197,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     seen = tested.union(tested.select("b", "fb", "a", "fa"))
     apart = apart.select(*members).distinct().join(seen, ["a", "fa", "b", "fb"], "left_anti")
     apart = stored(_colliding(apart, classes), "pairs")
-    more = stored(_verified(apart, texts, words, percent), "links")
+    more = stored(_verified(apart, _texts(apart, docs, texts), words, percent), "links")
     repeated = usable.join(classes.select("fp", "rep"), "fp").where("doc_id <> rep").select(F.col("doc_id").alias("src"), F.col("rep").alias("dst"))
     groups = connected_components(links.union(more).union(repeated)).withColumnRenamed("node", "doc_id")
 
