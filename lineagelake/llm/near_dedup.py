@@ -108,11 +108,11 @@ def _open(postings: DataFrame, comps: DataFrame | None) -> DataFrame:
 def _texts(pairs: DataFrame, docs: DataFrame, known: DataFrame | None) -> DataFrame:
     """``(id, text)`` of all documents that ``pairs`` or earlier rounds look at.  Only texts
     that no earlier round has fetched are read again: the first round fetches nearly all
-    that are ever wanted, later ones a few.  Whether the ids wanted are broadcast is left to
-    Spark's check of their size; beyond it, the texts are shuffled, once for the first round."""
+    that are ever wanted, later ones a few.  The ids of the first round grow with the corpus:
+    they are never broadcast, and all texts are shuffled that once.  For the few later ones
+    Spark decides by their size."""
     wanted = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    if known is not None:
-        wanted = wanted.join(known.select("id"), "id", "left_anti")
+    wanted = wanted.hint("merge") if known is None else wanted.join(known.select("id"), "id", "left_anti")
     text = docs.select(F.col("doc_id").cast("long").alias("id"), "text").where("id is not null and text is not null")
     more = stored(text.join(wanted, "id", "left_semi").dropDuplicates(["id", "text"]), "texts")
     return more if known is None else known.union(more)
