@@ -19,10 +19,15 @@ def wide(counts: DataFrame, barcodes: list[str] | None = None) -> DataFrame:
     return counts.groupBy(*keys).pivot("barcode", barcodes).agg(F.sum("counts")).na.fill(0).orderBy(*keys)
 
 
-def complete(counts: DataFrame, barcodes: list[str]) -> DataFrame:
-    """Long counts with 0 for each of ``barcodes`` that a key lacks."""
+def complete(counts: DataFrame, barcodes: list[str] | None = None) -> DataFrame:
+    """Long counts with 0 for each of ``barcodes`` that a key lacks; without a list, for each
+    distinct barcode of ``counts``."""
     keys = keys_of(counts)
-    grid = counts.select(*keys).distinct().withColumn("barcode", F.explode(F.array(*map(F.lit, barcodes))))
+    grid = counts.select(*keys).distinct()
+    if barcodes is None:
+        grid = grid.crossJoin(counts.select("barcode").distinct())
+    else:
+        grid = grid.withColumn("barcode", F.explode(F.array(*map(F.lit, barcodes))))
     return grid.join(counts.groupBy(*keys, "barcode").agg(F.sum("counts").alias("counts")), [*keys, "barcode"], "left").na.fill(0, ["counts"])
 
 

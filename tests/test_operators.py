@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lineagelake.operators import abundance, clones, counting, matrix, simulate, stats
+from lineagelake.plans import catalog
 
 
 def test_abundance(spark):
@@ -33,6 +34,18 @@ def test_matrix_round_trip(spark):
     assert {r.cell for r in names.collect()} == {"x", "x-1"}
 
 
+def test_matrix_queries_hold_every_barcode(spark):
+    path = "/root/testdata/sf0.001"
+    want = {(r["sample"], r.barcode): r.counts for r in catalog.QUERIES["frequency"](spark, path).collect()}
+    samples, barcodes = {s for s, _ in want}, {b for _, b in want}
+    wide = catalog.QUERIES["pivot_counts"](spark, path).collect()
+    assert len(barcodes) > 50
+    assert {(r["sample"], b): r[b] for r in wide for b in r.asDict() if b != "sample"} == {(s, b): want.get((s, b), 0) for s in samples for b in barcodes}
+    grid = catalog.QUERIES["long_complete_grid"](spark, path).collect()
+    assert len(grid) == len(samples) * len(barcodes)
+    assert {(r["sample"], r.barcode): r.counts for r in grid} == {(s, b): want.get((s, b), 0) for s in samples for b in barcodes}
+
+
 def test_clones(spark):
     counts = spark.createDataFrame([("1", "A", 1), ("1", "C", 1), ("2", "A", 1), ("3", "Z", 1), ("4", "A", 0)], "cell string, barcode string, counts long")
     table = clones.mapping_table(spark, {"one": ["A", "C"], "two": "A", "three": ["A"]})
