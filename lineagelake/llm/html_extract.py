@@ -6,10 +6,11 @@ and the text is what remains in the template's main slot (after Arasu and Garcia
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from html import unescape
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -115,12 +116,14 @@ def walk(html: str) -> Iterator[tuple[str, str]]:
 
 
 def tokens_of(html: str) -> dict[str, list[int]]:
-    """Occurrences of each path, and the characters of text below it that are not set aside."""
+    """Occurrences of each path, the characters of text below it that are not set aside, and a
+    hash of the text directly in it, white space aside (0 if there is none)."""
     out: dict[str, list[int]] = {}
+    own: dict[str, list[str]] = {}
     stack: list[str] = []
     for kind, value in walk(html):
         if kind in ("open", "aside"):
-            out.setdefault(value, [0, 0])[0] += 1
+            out.setdefault(value, [0, 0, 0])[0] += 1
             stack.append(value)
         elif kind == "close":
             stack.pop()
@@ -128,26 +131,35 @@ def tokens_of(html: str) -> dict[str, list[int]]:
             n = len(value) - value.count(" ")
             for path in stack:
                 out[path][1] += n
+            if stack and n and not value.isspace():
+                own.setdefault(stack[-1], []).append(value)
+    for path, texts in own.items():
+        out[path][2] = xxhash.xxh3_64_intdigest("".join("".join(texts).split()).encode("utf-8", "surrogatepass")) >> 1
     return out
 
 
-def main_text(html: str | None, slot: str | None) -> str:
-    """The text of the slot ``slot`` of a page, block by block; of its article, main or whole
-    body if the page lacks that slot."""
+def main_text(html: str | None, slot: str | None, fixed: Iterable[str] = ()) -> str:
+    """The text of the slot ``slot`` of a page, block by block, without what stands directly in
+    the paths ``fixed``; of its article, main or whole body if the page lacks that slot."""
     if not html:
         return ""
     events = list(walk(html))
     opened = [v for k, v in events if k == "open"]
     if slot not in opened:
         slot = next((p for tag in ("article", "main") for p in opened if re.fullmatch(rf"{tag}(\..*)?", p.rsplit("/", 1)[-1])), None)
+    fixed, stack = set(fixed), []
     depth, parts, blocks = 0, [], []
     for kind, value in events:
+        if kind in ("open", "aside"):
+            stack.append(value)
+        elif kind == "close":
+            stack.pop()
         if kind == "open" and value == slot:
             depth += 1
         elif kind == "close" and value == slot:
             depth -= 1
         inside = slot is None or depth > 0
-        if kind == "text" and inside:
+        if kind == "text" and inside and not (stack and stack[-1] in fixed):
             parts.append(value)
         elif kind == "break" and parts:
             blocks.append(" ".join(unescape("".join(parts)).split()))
@@ -162,36 +174,53 @@ def _host(url: Column) -> Column:
 
 
 def occurrences(pages: DataFrame) -> DataFrame:
-    """``(host, page, token, n, chars)``: each path of each page; the token "" for the page."""
+    """``(host, page, token, n, chars, own)``: each path of each page, ``own`` the hash of the
+    text directly in it; the token "" for the page."""
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches_of(rows, 200):
             out = []
             for host, page, html in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                out.append((host, page, "", 1, 0))
-                out += [(host, page, t, n, c) for t, (n, c) in tokens_of(html or "").items()]
-            kinds = [pa.string(), pa.int64(), pa.string(), pa.int32(), pa.int64()]
-            columns = list(zip(*out, strict=True)) or [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["host", "page", "token", "n", "chars"])
+                out.append((host, page, "", 1, 0, 0))
+                out += [(host, page, t, n, c, o) for t, (n, c, o) in tokens_of(html or "").items()]
+            kinds = [pa.string(), pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.int64()]
+            columns = list(zip(*out, strict=True)) or [[]] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["host", "page", "token", "n", "chars", "own"])
 
     page = F.xxhash64("page_id", "url", F.length("html"))
-    return pages.select(_host(F.col("url")).alias("host"), page.alias("page"), "html").mapInArrow(run, "host string, page long, token string, n int, chars long")
+    return pages.select(_host(F.col("url")).alias("host"), page.alias("page"), "html").mapInArrow(run, "host string, page long, token string, n int, chars long, own long")
+
+
+def _named(token: Column, name: str) -> Column:
+    """The part of a path up to its outermost element ``name``; "" if it has none."""
+    return F.regexp_extract(token, rf"^(?:.*?/)??{name}(?:\.[^/]*)?(?=/|$)", 0)
+
+
+def _under(token: Column, top: Column) -> Column:
+    return F.startswith(F.concat(token, F.lit("/")), F.concat(top, F.lit("/")))
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """``(host, slot)``: the main slot of each host's template; host "*" for all together.
+    """``(host, slot, fixed)``: the main slot of each host's template, and the paths in it whose
+    text is the template's; host "*" for all together.
 
     A token's occurrence vector over the pages of its host is known by a sum of hashes of
     (page, occurrences); tokens of equal vectors are one class.  Classes of two tokens or
     more on half of the pages are valid; their tokens, which are paths, nest into the
-    template.  Its main slot is the deepest token that is once on each page and holds most
-    of the text that is not set aside.
+    template.  Its dense slot is the deepest token that is once on each page and holds most
+    of the text that is not set aside.  The main slot is the template's main or article around
+    the dense slot; without one, the lowest token of the template, once on each page, that holds
+    all text that is not the same on all pages.  Outside the article or, if there is none, the
+    main or the dense slot, text that is the same on half of the pages or more, and differs on
+    none, is the template's.  "*" has no text of its own, so that its slot climbs to main or
+    article only.
     """
     found = occurrences(pages)
-    each = found.select(F.explode(F.array("host", F.lit("*"))).alias("host"), "page", "token", "n", "chars")
+    each = found.select(F.explode(F.array("host", F.lit("*"))).alias("host"), "page", "token", "n", "chars", "own")
     vectors = stored(
         each.groupBy("host", "token").agg(
-            F.sum(F.xxhash64("page", "n").cast("decimal(38,0)")).alias("vector"), F.count("*").alias("pages"), F.max("n").alias("most"), F.sum("chars").alias("chars")
+            F.sum(F.xxhash64("page", "n").cast("decimal(38,0)")).alias("vector"), F.count("*").alias("pages"), F.max("n").alias("most"), F.sum("chars").alias("chars"),
+            F.min("own").alias("own"), F.max("own").alias("last"),
         ),
         "vectors",
     )
@@ -202,7 +231,29 @@ def templates(pages: DataFrame) -> DataFrame:
     template = valid.join(classes, ["host", "vector"]).join(body, "host")
     slots = template.where((F.col("most") == 1) & (F.col("chars") > 0) & (F.col("chars") >= F.col("text") * SHARE) & ((F.col("all") >= FEW_PAGES) | (F.col("host") == "*")))
     depth = F.size(F.split("token", "/"))
-    return slots.groupBy("host").agg(F.max(F.struct(depth.alias("d"), "chars", "token")).alias("s")).select("host", F.col("s.token").alias("slot"))
+    dense = slots.groupBy("host").agg(F.max(F.struct(depth.alias("d"), "chars", "token")).alias("s")).select("host", F.col("s.token").alias("dense"))
+    dense = dense.withColumns({"main": _named(F.col("dense"), "main"), "article": _named(F.col("dense"), "article")})
+
+    # The path that two paths share is shared by all in between, so the first and the last one
+    # with text that is not the template's give the node that holds all of them.
+    texts = vectors.where("token <> '' and last <> 0").join(hosts, "host").join(dense, "host")
+    is_fixed = (F.col("own") == F.col("last")) & (F.col("pages") >= F.col("all") * SUPPORT)
+    ends = texts.where(~is_fixed).groupBy("host").agg(F.min(F.concat("token", F.lit("/"))).alias("a"), F.max(F.concat("token", F.lit("/"))).alias("b"))
+    around = dense.join(ends, "host", "left")
+    whole = F.concat("dense", F.lit("/"))
+    around = around.select("host", "dense", "main", "article", F.least("a", whole).alias("a"), F.greatest("b", whole).alias("b"))
+    nodes = template.where("most = 1").select("host", "token")
+    holds = around.join(nodes, "host").where(F.startswith("a", F.concat("token", F.lit("/"))) & F.startswith("b", F.concat("token", F.lit("/"))))
+    lowest = holds.groupBy("host").agg(F.max_by("token", depth).alias("lowest"))
+    named = lambda c: F.when(F.col(c) != "", F.col(c))
+    low = F.when(F.col("host") == "*", F.col("dense")).otherwise(F.coalesce("lowest", F.lit("")))
+    chosen = dense.join(lowest, "host", "left").select(
+        "host", F.coalesce(named("main"), named("article"), low).alias("slot"), F.coalesce(named("article"), named("main"), F.col("dense")).alias("core")
+    )
+    rest = texts.where(is_fixed & (F.col("host") != "*")).select("host", "token").join(chosen, "host")
+    rest = rest.where(((F.col("slot") == "") | _under(F.col("token"), F.col("slot"))) & ~_under(F.col("token"), F.col("core")))
+    fixed = rest.groupBy("host").agg(F.collect_set("token").alias("fixed"))
+    return chosen.join(fixed, "host", "left").select("host", "slot", F.coalesce("fixed", F.array().cast("array<string>")).alias("fixed"))
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -221,9 +272,9 @@ def extract(pages: DataFrame) -> DataFrame:
     slots = F.broadcast(slots) if slots.count() <= BROADCAST_HOSTS else slots
 
     @F.arrow_udf("string")
-    def text(html: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        for pages, slots in html:
-            yield pa.array([main_text(h.as_py(), s.as_py()) for h, s in zip(pages, slots, strict=True)], pa.string())
+    def text(html: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for pages, slots, fixed in html:
+            yield pa.array([main_text(h.as_py(), s.as_py(), f.as_py() or ()) for h, s, f in zip(pages, slots, fixed, strict=True)], pa.string())
 
     placed = pages.withColumn("host", _host(F.col("url"))).join(slots, "host", "left").withColumn("slot", F.coalesce("slot", F.lit(common).cast("string")))
-    return placed.select("page_id", "url", text("html", "slot").alias("text")).withColumn("n_chars", F.length("text").cast("long"))
+    return placed.select("page_id", "url", text("html", "slot", "fixed").alias("text")).withColumn("n_chars", F.length("text").cast("long"))

@@ -39,6 +39,23 @@ def test_main_slot_without_article_element(spark):
     assert all(r.text.startswith("Body") and "Foot" not in r.text and "Logo" not in r.text for r in got)
 
 
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ("<html><body><article><h1>Head {0}</h1><p class=lead>Lead {1}</p><div class=body>{2}</div></article></body></html>", "Head {0}\nLead {1}\n{2}"),
+        ("<html><body><main><h1>Head {0}</h1><article><p>By</p><p>{2}</p></article></main></body></html>", "Head {0}\nBy\n{2}"),
+        ("<html><body><div class=hd>Logo</div><div class=top><h1>Head {0}</h1></div><div class=txt><p>{2}</p></div><div class=ft>Foot</div></body></html>", "Head {0}\n{2}"),
+        ("<html><body><div class=hd>Logo</div><div class=w><h1>Head {0}</h1><p>{2}</p></div><p>Foot</p></body></html>", "Head {0}\n{2}"),
+    ],
+)
+def test_main_slot_holds_text_beside_the_densest(spark, page, want):
+    rng = random.Random(2)
+    parts = [(i, f"lead{i}", " ".join(rng.choices(["alpha", "beta", "gamma"], k=80))) for i in range(5)]
+    rows = [(p[0], f"http://d.net/{p[0]}", page.format(*p)) for p in parts]
+    got = html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r.page_id: r.text for r in got} == {p[0]: want.format(*p) for p in parts}
+
+
 def test_broken_and_long_pages():
     assert html_extract.main_text("<p>a" * 20_000, None).count("\n") == 19_999
     assert html_extract.main_text("<div>" * 3_000 + "x", None) == "x"
