@@ -3,6 +3,7 @@ overlapping diagonal bands, bands within the edit budget verified by banded alig
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,9 +12,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Characters of a q-gram and of a benchmark window, distance of two windows' starts, share
-#: of a window's characters that edits may touch, shortest item that is searched for, and
+#: of a window's characters that edits may touch, shortest item that may be edited, and
 #: characters of benchmark text that one pass broadcasts.
-Q, WINDOW, STRIDE, EDITS, SHORTEST, BLOCK = 12, 64, 32, 0.0625, 24, 2_000_000
+Q, WINDOW, STRIDE, EDITS, SHORTEST, BLOCK = 12, 64, 1, 0.0625, 24, 2_000_000
+#: Of windows found side by side one is returned at this distance, and the last; neighbouring
+#: bands verified together.
+APART, TOGETHER = 32, 4
+_TOKEN = re.compile(r"\w+|[^\w\s]")
+_NONE = np.uint32(0xFFFFFFFF)
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 _BITS = 22
 _ARROW = pa.list_(pa.struct([("item_id", pa.int64()), ("start", pa.int32()), ("end", pa.int32()), ("edits", pa.int32())]))
@@ -52,39 +58,55 @@ def _dense(pos: np.ndarray, need: int) -> np.ndarray:
 
 
 class Index:
-    """The q-grams of a bounded block of benchmark items, cut into windows."""
+    """The q-grams of a bounded block of benchmark items, and its shortest items as strings."""
 
     def __init__(self, items: list[tuple[int, str]]):
-        self.item, self.text, self.budget = [], [], []
-        grams, window, at = [], [], []
+        self.item, self.text, self.codes = [], [], []
+        self.short: dict[str, list[tuple[int, str]]] = {}
+        grams, owner, at = [], [], []
         for item, raw in items:
             text = normal(raw)
             if len(text) < SHORTEST:
+                if text:
+                    self.short.setdefault(_TOKEN.match(text).group(), []).append((item, text))
                 continue
-            last = max(0, len(text) - WINDOW)
-            for start in sorted({*range(0, last + 1, STRIDE), last}):
-                piece = text[start : start + WINDOW]
-                g = _grams(_codes(piece))
-                grams.append(g)
-                window.append(np.full(len(g), len(self.text)))
-                at.append(np.arange(len(g)))
-                self.item.append(item)
-                self.text.append(piece)
-                self.budget.append(min(int(EDITS * len(piece)), (len(g) - 1) // Q))
+            codes = _codes(text)
+            g = _grams(codes)
+            grams.append(g)
+            owner.append(np.full(len(g), len(self.text)))
+            at.append(np.arange(len(g)))
+            self.item.append(item)
+            self.text.append(text)
+            self.codes.append(codes)
         g = np.concatenate(grams) if grams else np.empty(0, np.uint64)
         order = np.argsort(g, kind="stable")
-        self.window = (np.concatenate(window) if window else np.empty(0, int))[order]
+        self.owner = (np.concatenate(owner) if owner else np.empty(0, int))[order]
         self.at = (np.concatenate(at) if at else np.empty(0, int))[order]
         self.grams, self.first = np.unique(g[order], return_index=True)
         self.last = np.append(self.first[1:], len(g)).astype(int)
         self.seen = np.zeros(1 << _BITS, bool)
         self.seen[self.grams >> np.uint64(64 - _BITS)] = True
-        self.edits = np.array(self.budget, int)
-        self.need = np.array([len(t) - Q + 1 for t in self.text], int) - Q * self.edits
+        self.length = np.array([len(t) for t in self.text], int)
+        self.width = np.minimum(self.length, WINDOW)
+        self.edits = np.minimum((EDITS * self.width).astype(int), (self.width - Q) // Q)
+        self.need = self.width - Q + 1 - Q * self.edits
         self.least = int(self.need.min()) if self.text else 1
 
     def matches(self, text: str) -> list[tuple[int, int, int, int]]:
-        """``(item, start, end, edits)`` in the normalised text, one for each window found."""
+        """``(item, start, end, edits)`` in the normalised text: windows found, and items of
+        under ``SHORTEST`` characters that stand in it as whole words."""
+        return self._whole(text) + self._windows(text)
+
+    def _whole(self, text: str) -> list[tuple[int, int, int, int]]:
+        out = []
+        for m in _TOKEN.finditer(text) if self.short else ():
+            for item, short in self.short.get(m.group(), ()):
+                end = m.start() + len(short)
+                if text.startswith(short, m.start()) and not re.match(r"\w\w", text[end - 1 : end + 1]):
+                    out.append((item, m.start(), end, 0))
+        return out
+
+    def _windows(self, text: str) -> list[tuple[int, int, int, int]]:
         codes = _codes(text)
         g = _grams(codes)
         pos = _dense(np.flatnonzero(self.seen[g >> np.uint64(64 - _BITS)]), self.least)
@@ -97,47 +119,98 @@ class Index:
             return []
         many = self.last[k] - self.first[k]
         into = np.repeat(self.first[k], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-        w, at, pos = self.window[into], self.at[into], np.repeat(pos, many)
+        v, at, pos = self.owner[into], self.at[into], np.repeat(pos, many)
         # A match within e edits keeps its q-grams within 2e+1 neighbouring diagonals, which
         # one of the bands of twice that width, placed at that distance, holds whole.
-        step = 2 * self.edits[w] + 1
-        band = (pos - at + WINDOW) // step
-        w2, band2, at2 = np.concatenate([w, w]), np.concatenate([band, band - 1]), np.concatenate([at, at])
-        key = np.unique(((w2 * (1 << 34) + (band2 + 1)) << np.int64(7)) + at2) >> np.int64(7)
-        bands, count = np.unique(key, return_counts=True)
-        win = bands >> np.int64(34)
-        out, done = [], set()
-        for x in np.flatnonzero(count >= self.need[win]):
-            v = int(win[x])
-            e, piece = self.budget[v], self.text[v]
-            low = (int(bands[x] & ((1 << 34) - 1)) - 1) * (2 * e + 1) - WINDOW
-            lo, hi = max(0, low - e), min(len(codes), low + 2 * (2 * e + 1) + len(piece) + e)
-            found = _aligned(piece, text[lo:hi], e)
-            if found and (v, lo + found[1]) not in done:
-                done.add((v, lo + found[1]))
-                out.append((self.item[v], lo + found[0], lo + found[1], found[2]))
-        return out
+        band = (pos - at) // (2 * self.edits[v] + 1)
+        v, band, at = np.concatenate([v, v]), np.concatenate([band, band - 1]), np.concatenate([at, at])
+        order = np.lexsort((at, band, v))
+        v, band, at = v[order], band[order], at[order]
+        new = np.append(True, (v[1:] != v[:-1]) | (band[1:] != band[:-1]) | (at[1:] != at[:-1]))
+        v, band, at = v[new], band[new], at[new]
+        # Windows of the item that hold as many q-grams of one band as a match leaves.
+        room = self.width[v] - Q
+        there = np.arange(len(v)) + self.need[v] - 1
+        far = np.minimum(there, len(v) - 1)
+        enough = np.flatnonzero((there < len(v)) & (v[far] == v) & (band[far] == band) & (at[far] - at <= room))
+        if not len(enough):
+            return []
+        low, high = np.maximum(0, at[far] - room)[enough], np.minimum(at, self.length[v] - self.width[v])[enough]
+        v, band = v[enough], band[enough]
+        out, i = [], 0
+        while i < len(v):
+            j = i
+            while j < len(v) and v[j] == v[i] and band[j] - band[i] < TOGETHER and (j == i or band[j] - band[j - 1] <= 1):
+                j += 1
+            edge = np.zeros(int(high[i:j].max()) + 2, int)
+            np.add.at(edge, low[i:j], 1)
+            np.add.at(edge, high[i:j] + 1, -1)
+            step = 2 * int(self.edits[v[i]]) + 1
+            out += self._verified(int(v[i]), np.flatnonzero(np.cumsum(edge) > 0), text, codes, int(band[i]) * step, (int(band[j - 1] - band[i]) + 2) * step)
+            i = j
+        return sorted(set(out))
+
+    def _verified(self, v: int, starts: np.ndarray, text: str, codes: np.ndarray, diagonal: int, across: int) -> Iterator[tuple[int, int, int, int]]:
+        """The windows of item ``v`` at ``starts`` that occur within the budget of edits on the
+        ``across`` diagonals from ``diagonal`` on, one for each ``APART`` and the last."""
+        e, w = int(self.edits[v]), int(self.width[v])
+        size = w + across + 2 * e
+
+        def exact(s: int) -> tuple[int, int, int] | None:
+            lo = max(0, diagonal + s - e)
+            at = text.find(self.text[v][s : s + w], lo, max(0, diagonal + s - e + size))
+            return (at, at + w, 0) if at >= 0 else None
+
+        def aligned(chunk: np.ndarray) -> list[tuple[int, tuple[int, int, int]]]:
+            where = (diagonal + chunk - e)[:, None] + np.arange(size)
+            inside = (where >= 0) & (where < len(codes))
+            region = np.where(inside, codes[np.clip(where, 0, len(codes) - 1)], _NONE)
+            found = _aligned(self.codes[v][chunk[:, None] + np.arange(w)], region, e)
+            clip = lambda x: min(max(x, 0), len(codes))
+            return [(n, (clip(int(where[n, 0]) + a), clip(int(where[n, 0]) + b), c)) for n, a, b, c in found]
+
+        k, matched = 0, False
+        while k < len(starts):
+            # The first window found, then the farthest that is no more than APART away.
+            end = int(np.searchsorted(starts, starts[k - 1] + APART, "right")) if matched else min(len(starts), k + APART)
+            if end == k:
+                matched = False
+                continue
+            n = end - 1 if matched else k
+            hit = exact(int(starts[n]))
+            if hit is None and (found := aligned(starts[k:end])):
+                n, hit = found[-1 if matched else 0]
+                n += k
+            if hit:
+                yield (self.item[v], *hit)
+                k, matched = n + 1, True
+            else:
+                k, matched = end, False
 
 
-def _aligned(piece: str, region: str, budget: int) -> tuple[int, int, int] | None:
-    """Start, end and edits of the best occurrence of ``piece`` in ``region`` with at most
-    ``budget`` edits; the region is as wide as the band."""
-    if (i := region.find(piece)) >= 0:
-        return i, i + len(piece), 0
-    a, b = _codes(piece), _codes(region)
-    steps = np.arange(len(b) + 1)
-    row, start = np.zeros(len(b) + 1, int), steps.copy()
-    for i, c in enumerate(a, 1):
-        diag, up = row[:-1] + (b != c), row[1:] + 1
-        best = np.concatenate([[i], np.minimum(diag, up)])
-        frm = np.concatenate([[0], np.where(diag <= up, start[:-1], start[1:])])
-        left = np.minimum.accumulate(best - steps)
-        src = np.maximum.accumulate(np.where(best - steps == left, steps, 0))
-        row, start = left + steps, frm[src]
-        if row.min() > budget:
-            return None
-    end = int(row.argmin())
-    return (int(start[end]), end, int(row[end])) if row[end] <= budget else None
+def _aligned(pieces: np.ndarray, regions: np.ndarray, budget: int) -> list[tuple[int, int, int, int]]:
+    """``(row, start, end, edits)`` of the best occurrence of each row of ``pieces`` in the same
+    row of ``regions``, for rows with one of at most ``budget`` edits."""
+    alive = np.arange(len(pieces))
+    steps = np.arange(regions.shape[1] + 1, dtype=np.int32)
+    row = np.zeros((len(pieces), len(steps)), np.int32)
+    start = np.repeat(steps[None], len(pieces), 0)
+    for i in range(pieces.shape[1]):
+        diag, up = row[:, :-1] + (regions != pieces[:, i : i + 1]), row[:, 1:] + 1
+        best, frm = np.empty_like(row), np.empty_like(start)
+        best[:, 0], frm[:, 0] = i + 1, 0
+        best[:, 1:], frm[:, 1:] = np.minimum(diag, up), np.where(diag <= up, start[:, :-1], start[:, 1:])
+        best -= steps
+        left = np.minimum.accumulate(best, 1)
+        src = np.maximum.accumulate(np.where(best == left, steps, 0), 1)
+        row, start = left + steps, np.take_along_axis(frm, src, 1)
+        keep = row.min(1) <= budget
+        if not keep.all():
+            alive, pieces, regions, row, start = alive[keep], pieces[keep], regions[keep], row[keep], start[keep]
+            if not len(alive):
+                return []
+    ends = row.argmin(1)
+    return [(int(n), int(start[x, end]), int(end), int(row[x, end])) for x, (n, end) in enumerate(zip(alive, ends, strict=True))]
 
 
 def _original(text: str, spans: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int]]:
@@ -174,11 +247,12 @@ def with_matches(docs: DataFrame, benchmark: DataFrame, column: str = "matches")
     """``docs`` and a column of the benchmark windows found in each whole text, as structs
     ``item_id, start, end`` (code points of the text, end exclusive) and ``edits``.
 
-    Items are cut into windows of 64 characters, 32 apart, so that an excerpt of 96
-    characters is found; a window matches with up to a sixteenth of its characters edited, case
-    and white space aside.  Items of under 24 characters are not searched for: they occur by
-    chance.  Null and short texts match nothing.  A larger benchmark takes more passes over
-    the texts, never a larger broadcast.  Nothing is shuffled.
+    Every stretch of 64 characters of an item, or the whole of a shorter one, is a window; it
+    matches with up to a sixteenth of its characters edited, case and white space aside.  Items
+    of under 24 characters match whole, unedited and between word boundaries.  Of windows
+    found side by side the first, one for each 32 characters and the last are returned.  Null
+    texts match nothing.  A larger benchmark takes more passes over the texts, never a larger
+    broadcast.  Nothing is shuffled.
     """
     out = docs.withColumn(column, F.array().cast(MATCHES))
     for items in blocks(benchmark):

@@ -115,6 +115,27 @@ def test_decontamination_spans_and_edges(spark):
     assert D.contaminated(df, bench.limit(0)).count() == 0 and D.contaminated(df.limit(0), bench).count() == 0
 
 
+@pytest.mark.parametrize("edits", [0, 4])
+def test_every_excerpt_of_a_window_is_found(edits):
+    rng = random.Random(6)
+    item = words(rng, 60)
+    index = D.Index([(7, item)])
+    for start in range(len(item) - 63):
+        excerpt = list(item[start : start + 64])
+        for i in rng.sample(range(2, 62), edits):
+            excerpt[i] = "z"
+        before = words(rng, 30) + " "
+        got = index.matches(D.normal(before + "Q" + "".join(excerpt) + "Q"))
+        assert {i for i, *_ in got} == {7}, start
+        assert all(abs(s - len(before) - 1) <= 16 and n <= 4 for _, s, _, n in got)
+
+
+def test_short_items_match_as_whole_words():
+    index = D.Index([(1, "Who wrote Emma?"), (2, "art of war"), (3, "  ")])
+    assert index.matches(D.normal("So:  who WROTE\temma? The art of wars, part of war; art of war.")) == [(1, 4, 19, 0), (2, 50, 60, 0)]
+    assert index.matches("") == [] and D.Index([]).matches("a" * 100) == []
+
+
 def test_benchmark_in_several_blocks(spark, monkeypatch):
     rng = random.Random(8)
     items = [(k, words(rng, 12)) for k in range(20)]
