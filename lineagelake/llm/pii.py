@@ -21,11 +21,13 @@ EXPRESSIONS = {
 }
 OTHER = "id"
 _CANDIDATE = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+"
+_GROUP = r"[^\s\p{L}0-9@]*+[0-9][^\s\p{L}@]*+(?!\S)"
+_GROUPS = rf"(?<!\S){_GROUP}(?:\x20{_GROUP})++"
 _SPANS = "array<struct<start:int,ord:int,kind:string,end:int>>"
 
 #: A pattern is trusted with so many distinct known entities among what it extracts, and such
-#: a share of them; an instance is accepted from such a score on.  Rounds of bootstrapping.
-LEAST_KNOWN, LEAST_SHARE, LEAST_SCORE, ROUNDS = 5, 0.9, 0.9, 3
+#: a share of them; an instance is accepted from such a score on.
+LEAST_KNOWN, LEAST_SHARE, LEAST_SCORE = 5, 0.9, 0.9
 
 
 def _digits(m: Column) -> Column:
@@ -117,38 +119,43 @@ def with_base(docs: DataFrame, contexts: bool = False) -> DataFrame:
 
 def _candidates(based: DataFrame) -> DataFrame:
     """What patterns may extract, with its contexts as patterns: base entities (known), and
-    tokens of four digits or more that no base entity touches:
-    ``(doc, h, start, end, inst, known, patterns)``."""
+    tokens with a digit or @ and runs of groups of digits that no base entity touches:
+    ``(doc, h, start, end, inst, known, patterns)``.  Groups of under four digits in a run are
+    no candidates of their own."""
     matches, gaps = _found(F.col("text"), _CANDIDATE)
-    rows = based.where(F.col("text").rlike("[0-9@]")).select("doc", "h", "base", "seen", matches.alias("m"), gaps.alias("g"))
-    rows = rows.select("doc", "h", "base", "seen", "m", "g", _placed(F.col("m"), F.col("g"), 0, OTHER).alias("s"))
-    free = lambda x: ~F.exists("base", lambda b: (b["start"] < x["end"]) & (b["end"] > x["start"]))
+    runs, between = _found(F.col("text"), _GROUPS)
+    rows = based.where(F.col("text").rlike("[0-9@]")).select("doc", "h", "base", "seen", matches.alias("m"), gaps.alias("g"), runs.alias("rm"), between.alias("rg"))
+    rows = rows.select("doc", "h", "base", "seen", "m", "g", "rm", "rg", _placed(F.col("m"), F.col("g"), 0, OTHER).alias("s"), _placed(F.col("rm"), F.col("rg"), 0, OTHER).alias("rs"))
+    free = lambda x, of="base": ~F.exists(of, lambda b: (b["start"] < x["end"]) & (b["end"] > x["start"]))
     tokens = F.filter(
-        F.transform("s", lambda s, i: _around(s, F.get("m", i), F.col("g"), i, False)), lambda x: (F.length(_digits(x["inst"])) >= 4) & free(x)
+        F.transform("s", lambda s, i: _around(s, F.get("m", i), F.col("g"), i, False)), lambda x: ((F.length(_digits(x["inst"])) >= 4) | free(x, "rs")) & free(x)
     )
-    rows = rows.select("doc", "h", F.explode(F.concat("seen", tokens)).alias("x")).select("doc", "h", "x.*")
+    grouped = F.filter(F.transform("rs", lambda s, i: _around(s, F.get("rm", i), F.col("rg"), i, False)), lambda x: free(x))
+    rows = rows.select("doc", "h", F.explode(F.concat("seen", tokens, grouped)).alias("x")).select("doc", "h", "x.*")
     word = lambda side: F.lower(F.regexp_replace(side, r"[^\p{L}=:#_]", ""))
     parts = lambda side: F.split(F.trim(F.regexp_replace(side, r"\s+", " ")), " ")
-    lead = F.when(F.col("known"), 0).otherwise(F.length(F.regexp_extract("inst", r"^[^A-Za-z0-9+@]*", 0)))
-    inst = F.when(F.col("known"), F.col("inst")).otherwise(F.regexp_replace("inst", r"^[^A-Za-z0-9+@]+|[^A-Za-z0-9]+$", ""))
+    lead = F.when(F.col("known"), 0).otherwise(F.length(F.regexp_extract("inst", r"^[^\p{L}0-9+@]*", 0)))
+    inst = F.when(F.col("known"), F.col("inst")).otherwise(F.regexp_replace("inst", r"^[^\p{L}0-9+@]+|[^\p{L}0-9]+$", ""))
     start = F.col("start") + lead
     rows = rows.select(
         "doc", "h", start.alias("start"), (start + F.length(inst)).alias("end"), inst.alias("inst"), "known",
         word(F.try_element_at(parts(F.col("left")), F.lit(-1))).alias("l1"), word(F.try_element_at(parts(F.col("left")), F.lit(-2))).alias("l2"),
         word(F.get(parts(F.col("right")), F.lit(0))).alias("r1"),
-    ).where(F.col("known") | (F.length("inst") >= 6))
+    ).where(F.col("known") | F.col("inst").rlike("[0-9@]"))
     pattern = lambda kind, *c: F.when(reduce(lambda a, b: a & b, [F.length(x) > 0 for x in c]), F.concat_ws(" ", F.lit(kind), *c))
     patterns = F.array_compact(F.array(pattern("L", F.col("l1")), pattern("LL", F.col("l2"), F.col("l1")), pattern("LR", F.col("l1"), F.col("r1"))))
     return rows.select("doc", "h", "start", "end", "inst", "known", patterns.alias("patterns"))
 
 
-def discovered(candidates: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """``(inst)``: identifiers that trusted patterns extract and no base entity covers.
+def discovered(candidates: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(inst)``: identifiers that trusted patterns extract and no base entity covers; and
+    ``(pattern)``: the trusted patterns.
 
     Round by round over the pattern-instance graph: a pattern's confidence is the share of
     known instances among the distinct ones that it extracts; an instance's score is one
     minus the product of (1 - confidence) over its trusted patterns; accepted instances count
-    as known in the next round.
+    as known in the next round.  More known instances never lower a score, so the rounds end
+    when none is newly accepted.
     """
     graph = stored(
         candidates.select("inst", "known", F.explode("patterns").alias("pattern")).groupBy("pattern", "inst").agg(F.max("known").alias("seed")), "graph"
@@ -157,16 +164,36 @@ def discovered(candidates: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     graph = stored(graph.drop("seed").join(seeds, "inst"), "graph")
     accepted = None
     size = 0
-    for _ in range(rounds):
+    while True:
         now = graph.withColumn("known", F.col("seed")) if accepted is None else graph.join(accepted.withColumn("new", F.lit(True)), "inst", "left").withColumn("known", F.col("seed") | F.coalesce("new", F.lit(False))).drop("new")
         trusted = now.groupBy("pattern").agg(F.count_if("known").alias("k"), F.count("*").alias("n")).where((F.col("k") >= LEAST_KNOWN) & (F.col("k") >= F.col("n") * LEAST_SHARE))
-        trusted = trusted.select("pattern", ((F.col("k") - 0.5) / F.col("n")).alias("conf"))
+        trusted = stored(trusted.select("pattern", ((F.col("k") - 0.5) / F.col("n")).alias("conf")), "trusted")
         score = 1 - F.exp(F.sum(F.log(1 - F.col("conf"))))
         accepted = stored(graph.where("not seed").join(trusted, "pattern").groupBy("inst").agg(score.alias("score")).where(F.col("score") >= LEAST_SCORE).select("inst"), "accepted")
-        if (n := accepted.count()) == size:
-            break
+        if (n := accepted.count()) <= size:
+            return accepted, trusted.select("pattern")
         size = n
-    return accepted
+
+
+def _hits(candidates: DataFrame) -> DataFrame:
+    """``(doc, h, more)``: where discovered identifiers stand, as structs ``start, end`` by
+    start, overlapping ones as one.  An identifier of six characters or more with four digits
+    or @ counts wherever it stands; others, which occur by chance, under a trusted pattern."""
+    accepted, trusted = discovered(candidates)
+    found = candidates.where("not known").join(accepted, "inst")
+    distinct = (F.length("inst") >= 6) & ((F.length(_digits(F.col("inst"))) >= 4) | F.contains("inst", F.lit("@")))
+    under = found.where(~distinct).withColumn("pattern", F.explode("patterns")).join(trusted, "pattern", "left_semi")
+    spans = found.where(distinct).select("doc", "h", "start", "end").union(under.select("doc", "h", "start", "end"))
+    grouped = spans.groupBy("doc", "h").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("more"))
+    last = lambda acc: F.try_element_at(acc, F.lit(-1))
+    joined = F.aggregate(
+        "more", F.array().cast("array<struct<start:int,end:int>>"),
+        lambda acc, s: F.when(
+            last(acc)["end"] > s["start"],
+            F.array_append(F.slice(acc, F.lit(1), F.size(acc) - 1), F.struct(last(acc)["start"].alias("start"), F.greatest(last(acc)["end"], s["end"]).alias("end"))),
+        ).otherwise(F.array_append(acc, s)),
+    )
+    return grouped.withColumn("more", joined)
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -179,8 +206,8 @@ def find_spans(docs: DataFrame) -> DataFrame:
     none; repeated rows each have theirs; other columns are ignored."""
     based = with_base(_keyed(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))), contexts=True)
     candidates = stored(_candidates(based), "candidates")
-    hits = candidates.where("not known").join(discovered(candidates), "inst").select("doc", "h", F.struct("start", F.lit(len(KINDS)).alias("ord"), F.lit(OTHER).alias("kind"), "end").alias("s"))
-    more = hits.groupBy("doc", "h").agg(F.collect_set("s").alias("more"))
+    spans = F.transform("more", lambda s: F.struct(s["start"].alias("start"), F.lit(len(KINDS)).alias("ord"), F.lit(OTHER).alias("kind"), s["end"].alias("end")))
+    more = _hits(candidates).withColumn("more", spans)
     return based.select("doc_id", "doc", "h", "base").join(more, ["doc", "h"], "left").select("doc_id", "base", F.coalesce("more", F.array().cast(_SPANS)).alias("more"))
 
 
@@ -208,12 +235,11 @@ def redact(docs: DataFrame) -> DataFrame:
     ``text``; all other columns and rows stay.  Null texts stay null."""
     keyed = _keyed(docs)
     candidates = stored(_candidates(with_base(keyed.select("doc_id", "doc", "h", F.coalesce("text", F.lit("")).alias("text")), contexts=True)), "candidates")
-    hits = candidates.where("not known").join(discovered(candidates), "inst")
-    more = hits.groupBy("doc", "h").agg(F.array_distinct(F.collect_list(F.struct((-F.col("start")).alias("o"), "end"))).alias("__more"))
+    more = _hits(candidates).withColumnRenamed("more", "__more")
     out = keyed.join(more, ["doc", "h"], "left")
     cut = F.aggregate(
-        F.array_sort("__more"), F.col("text"),
-        lambda acc, s: F.concat(F.substring(acc, F.lit(1), -s["o"]), F.lit("[ID]"), F.substring(acc, s["end"] + 1, F.length(acc))),
+        F.reverse("__more"), F.col("text"),
+        lambda acc, s: F.concat(F.substring(acc, F.lit(1), s["start"]), F.lit("[ID]"), F.substring(acc, s["end"] + 1, F.length(acc))),
     )
     out = out.withColumn("text", F.when(F.col("__more").isNotNull(), cut).otherwise(F.col("text")))
     for kind in KINDS:

@@ -188,6 +188,28 @@ def test_patterns_discover_identifiers(spark):
     assert got[100] == "id:22:33" and got[101] == ""
 
 
+def test_patterns_discover_tokens_with_at_and_groups_of_digits(spark):
+    rng = random.Random(9)
+    rows = [(i, f"{words(rng, 4)} please call number +1 (132) 555-{1000 + i} {words(rng, 3)}") for i in range(60)]
+    rows += [(200 + i, f"{words(rng, 4)} kindly mail box user{i}@site.org {words(rng, 3)}") for i in range(60)]
+    rows += [(100, "so please call number 132 555 077 then"), (101, "so kindly mail box jane@intranet, then"), (102, "so kindly mail box jo7 then"), (103, "jo7 and joe@x and 132 556 077 went")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in pii.digest(df).collect()}
+    assert got[100] == "id:22:33" and got[101] == "id:19:32" and got[102] == "id:19:22" and got[103] == ""
+    text = {r.doc_id: r.text for r in pii.redact(df).collect()}
+    assert text[100] == "so please call number [ID] then" and text[101] == "so kindly mail box [ID], then"
+
+
+def test_patterns_are_followed_to_the_last_hop(spark):
+    # Each context holds the six new instances of the one before, and is trusted once they are known.
+    rows = []
+    for hop in range(6):
+        rows += [(f"k{i}", True, [f"L c{hop}"]) for i in range(86)]
+        rows += [(f"n{h}-{i}", False, [f"L c{hop}"]) for h in (hop - 1, hop) if h >= 0 for i in range(6)]
+    got, _ = pii.discovered(spark.createDataFrame(rows, "inst string, known boolean, patterns array<string>"))
+    assert {r.inst for r in got.collect()} == {f"n{hop}-{i}" for hop in range(6) for i in range(6)}
+
+
 # -- packing ---------------------------------------------------------------------------
 
 
