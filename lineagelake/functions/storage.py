@@ -37,6 +37,13 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over as many partitions as there are cores, if it has fewer: for rows of a few
+    large or compressed files that go through Python."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def free(*frames: DataFrame) -> None:
     """Delete the files of frames that ``stored`` returned and nothing reads any more."""
     for df in frames:

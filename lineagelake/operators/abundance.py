@@ -2,15 +2,29 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def with_sum(df: DataFrame, keys: list[str], name: str, of: str = "counts") -> DataFrame:
+    """``df`` with the sum of ``of`` by ``keys``: partial sums and a join, so that a key with
+    many rows is no single task.  Null keys have their own sum."""
+    own = [F.col(k).alias(f"__{k}") for k in keys]
+    sums = df.groupBy(*own).agg(F.sum(of).alias(name))
+    if not keys:
+        return df.crossJoin(sums)  # one row
+    same = [df[k].eqNullSafe(sums[f"__{k}"]) for k in keys]
+    return df.join(sums, same).select(*[df[c] for c in df.columns], name)
+
+
 def with_share(counts: DataFrame, within: str = "sample") -> DataFrame:
     """``counts`` with ``relative_abundance``, in percent: of the sample's reads, or, within
     ``replicate``, of the barcode's reads in the whole replicate."""
-    part = F.sum("counts").over(Window.partitionBy("replicate", "barcode")) if within == "replicate" else F.col("counts")
-    return counts.withColumn("relative_abundance", part / F.sum("counts").over(Window.partitionBy(within)) * 100)
+    out = with_sum(counts, [within], "__all")
+    part = F.col("counts")
+    if within == "replicate":
+        out, part = with_sum(out, ["replicate", "barcode"], "__part"), F.col("__part")
+    return out.select(*counts.columns, (part / F.col("__all") * 100).alias("relative_abundance"))
 
 
 def filter_abundance(counts: DataFrame, raw: int | None = None, relative: float | None = None, within: str = "sample") -> DataFrame:

@@ -3,7 +3,7 @@ abundance, as parallel rounds over joins and grouped aggregates."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lineagelake.functions.expressions import hamming, ngrams
@@ -15,21 +15,23 @@ def first_independent_set(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     out its neighbours.  ``nodes(node, prio)``, ``edges(src, dst)`` in both directions.
 
     A node whose earlier neighbours are all ruled out is picked; neighbours of picked nodes
-    are ruled out (Blelloch, Fineman and Shun, 2012: few rounds on average).
+    are ruled out (Blelloch, Fineman and Shun, 2012: few rounds on average).  Each round is one
+    written table of the edges between nodes not yet decided.
     """
-    order = nodes.select(F.col("node").alias("dst"), F.col("prio").alias("p"))
-    earlier = edges.join(order, "dst").join(nodes.withColumnRenamed("node", "src"), "src").where("p < prio").select("src", "dst")
-    earlier = stored(earlier, "earlier")
-    open_ = stored(nodes.select("node"), "open")
-    picked = None
+    prio = nodes.select(F.col("node").alias("dst"), F.col("prio").alias("p"))
+    open_ = edges.join(prio, "dst").join(nodes.withColumnRenamed("node", "src"), "src").where("prio < p").select("src", "dst")
+    rounds: list[DataFrame] = []
+    out = None
     while True:
-        waiting = earlier.join(open_.withColumnRenamed("node", "dst"), "dst", "left_semi").select(F.col("src").alias("node")).distinct()
-        new = stored(open_.join(waiting, "node", "left_anti"), "picked")
-        picked = new if picked is None else picked.union(new)
-        out = earlier.join(new.withColumnRenamed("node", "dst"), "dst", "left_semi").select(F.col("src").alias("node")).union(new).distinct()
-        open_ = stored(open_.join(out, "node", "left_anti"), "open")
-        if open_.isEmpty():
-            return picked
+        waiting = open_.select(F.col("dst").alias("src"), F.lit(True).alias("waits")).distinct()
+        # An edge from a node that waits for none rules its end out.
+        rounds.append(stored(open_.join(waiting, "src", "left").select("src", "dst", F.col("waits").isNull().alias("rules_out")), "round"))
+        new = rounds[-1].where("rules_out").select(F.col("dst").alias("node")).distinct()
+        out = new if out is None else out.union(new)
+        open_ = rounds[-1].where("not rules_out")
+        if not open_.count():
+            return nodes.select("node").join(out, "node", "left_anti")
+        open_ = open_.select("src", "dst").join(new.withColumnRenamed("node", "dst"), "dst", "left_anti").join(new.withColumnRenamed("node", "src"), "src", "left_anti")
 
 
 def blocks(barcodes: DataFrame, n: int) -> DataFrame:
@@ -37,21 +39,25 @@ def blocks(barcodes: DataFrame, n: int) -> DataFrame:
     its block, then the first of the rest, and so on.
 
     A barcode that is first in all its n-grams leads a block; who shares one with a leader is
-    taken.  So a round is two grouped minima over (n-gram, barcode), never pairs of barcodes.
+    taken.  So a round is grouped minima over (n-gram, barcode), never pairs of barcodes.
     Leaders share no n-gram, so each n-gram names one leader; of several, the first takes a
     barcode.  Barcodes shorter than ``n`` are blocks of their own.
     """
-    grams = stored(barcodes.select("barcode", "prio", F.explode(ngrams(F.col("barcode"), n)).alias("gram")), "grams")
-    rest, leaders = grams, None
-    while not rest.isEmpty():
+    rest = barcodes.select("barcode", "prio", F.explode(ngrams(F.col("barcode"), n)).alias("gram"))
+    grams, leaders = None, None
+    while True:
         first = rest.groupBy("gram").agg(F.min(F.struct("prio", "barcode")).alias("f"))
-        state = rest.join(first, "gram").groupBy("barcode").agg(F.bool_and(F.col("f.barcode") == F.col("barcode")).alias("leads"))
-        new = stored(state.where("leads").join(rest, "barcode").select("gram", F.col("barcode").alias("leader"), F.col("prio").alias("lead_prio")), "leaders")
+        led = rest.join(first, "gram").withColumn("leads", F.col("f.barcode") == F.col("barcode"))
+        leads = led.groupBy("barcode").agg(F.bool_and("leads").alias("leads")).where("leads")
+        own = led.where("leads").drop("leads").join(leads, "barcode").select("gram", F.col("barcode").alias("leader"), F.col("prio").alias("lead_prio"))
+        marked = stored(rest.join(own, "gram", "left"), "round")
+        grams = marked.select("barcode", "prio", "gram") if grams is None else grams
+        new = marked.where("barcode = leader").select("gram", "leader", "lead_prio")
         leaders = new if leaders is None else leaders.union(new)
-        gone = rest.join(new.select("gram"), "gram", "left_semi").select("barcode").distinct()
-        rest = stored(rest.join(gone, "barcode", "left_anti"), "rest")
-    if leaders is None:
-        return barcodes.select("barcode", "prio", F.col("barcode").alias("block"))
+        gone = marked.where("leader is not null").select("barcode").distinct()
+        rest = marked.select("barcode", "prio", "gram").join(gone, "barcode", "left_anti")
+        if rest.isEmpty():
+            break
     taken = grams.join(leaders, "gram").groupBy("barcode").agg(F.min(F.struct("lead_prio", "leader")).alias("b")).select("barcode", F.col("b.leader").alias("block"))
     return barcodes.join(taken, "barcode", "left").select("barcode", "prio", F.coalesce("block", "barcode").alias("block"))
 
@@ -99,7 +105,7 @@ def cluster(counts: DataFrame, threshold: int = 2, exact: bool = False) -> DataF
     placed = stored(placed, "blocks")
     pairs = stored(near_pairs(placed, threshold, low == high), "near")
     nodes = placed.select(F.col("barcode").alias("node"), "prio")
-    roots = stored(first_independent_set(pairs.select("src", "dst"), nodes), "roots")
+    roots = first_independent_set(pairs.select("src", "dst"), nodes)
     prio = nodes.withColumnRenamed("node", "dst").withColumnRenamed("prio", "root_prio")
     joined = pairs.join(roots.withColumnRenamed("node", "dst"), "dst", "left_semi").join(prio, "dst").join(nodes.withColumnRenamed("node", "src"), "src")
     member = joined.where("root_prio < prio").groupBy("src").agg(F.min(F.struct("dist", "root_prio", "dst")).alias("r")).select(F.col("src").alias("barcode"), F.col("r.dst").alias("root"))
@@ -111,16 +117,17 @@ def rewritten(counts: DataFrame, clusters: DataFrame, ratio: float | None = 1) -
     """``counts`` whose barcodes give way to their cluster's most counted one, where that has
     ``ratio`` times their count or more (ratios under 1 count as 1)."""
     ratio = max(1, ratio or 1)
-    w = Window.partitionBy("cluster")
-    top = F.min(F.struct((-F.col("counts")).alias("c"), "barcode")).over(w)
+    placed = counts.join(clusters, "barcode")
+    top = placed.groupBy("cluster").agg(F.min(F.struct((-F.col("counts")).alias("c"), "barcode")).alias("__top"))
     dominant: Column = -F.col("__top.c") >= F.col("counts") * ratio
-    out = counts.join(clusters, "barcode").withColumn("__top", top)
-    return out.withColumn("barcode", F.when(dominant, F.col("__top.barcode")).otherwise(F.col("barcode"))).drop("__top", "cluster")
+    out = placed.join(top, "cluster").withColumn("barcode", F.when(dominant, F.col("__top.barcode")).otherwise(F.col("barcode")))
+    return out.select(*counts.columns)
 
 
 def collapse(counts: DataFrame, threshold: int = 2, ratio: float | None = 1, keys: tuple[str, ...] = ("sample",), exact: bool = False) -> DataFrame:
     """Counts by ``keys`` and barcode after ``cluster`` and ``rewritten``; 0 merges nothing."""
     if not threshold:
         return counts
+    counts = stored(counts, "counts")  # read for the clusters and again for the rewriting
     merged = rewritten(counts, cluster(counts, threshold, exact), ratio)
     return merged.groupBy(*keys, "barcode").agg(F.sum("counts").alias("counts"))

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -26,6 +26,16 @@ def with_barcode(reads: DataFrame, barcode: Column, keep: Column | None = None)
     return out if keep is None else out.where(keep)
 
 
+def named(reads: DataFrame, names: DataFrame) -> DataFrame:
+    """``reads`` whose ``barcode`` is a sequence of ``names(sequence, name)``, by its name."""
+    return reads.join(names.select(F.col("sequence").alias("barcode"), "name"), "barcode").drop("barcode").withColumnRenamed("name", "barcode")
+
+
+def names_table(spark: SparkSession, names: Mapping[str, str]) -> DataFrame:
+    """``(sequence, name)`` of a mapping of sequence to name."""
+    return spark.createDataFrame(list(names.items()), "sequence string, name string")
+
+
 def count_reads(reads: DataFrame, keys: Sequence[str] = ("sample",)) -> DataFrame:
     """Reads by key and barcode."""
     return reads.groupBy(*keys, "barcode").agg(F.count("*").alias("counts"))

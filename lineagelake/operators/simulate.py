@@ -9,6 +9,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lineagelake.operators.abundance import with_sum
 from lineagelake.operators.collapse import first_independent_set, near_pairs
 
 
@@ -88,12 +89,12 @@ class Counts:
 
 def with_frequency(df: DataFrame, keys: Sequence[str], count: str = "count") -> DataFrame:
     """``df`` with ``frequency``, percent of the key's sum."""
-    return df.withColumn("frequency", 100 * F.col(count) / F.sum(count).over(Window.partitionBy(*keys)))
+    return with_sum(df, list(keys), "__sum", count).withColumn("frequency", 100 * F.col(count) / F.col("__sum")).drop("__sum")
 
 
 def with_totals(df: DataFrame, keys: Sequence[str], count: str = "count") -> DataFrame:
     """``df`` with ``total_count``, the key's sum."""
-    return df.withColumn("total_count", F.sum(count).over(Window.partitionBy(*keys)))
+    return with_sum(df, list(keys), "total_count", count)
 
 
 def mutated(seq: Column, substitutions: int, seed: int, *of: Column | str) -> Column:
@@ -140,8 +141,8 @@ def dna_ground_truth(
         raise ValueError("no sample is named")
     pop = frames.withColumn("count", counts.column(seed + 5, "sample", "barcode"))
     if counts.kind == "random" and counts.least_percent:
-        floor = F.floor(F.sum("count").over(Window.partitionBy("sample")) * counts.least_percent / 100).cast("long")
-        pop = pop.withColumn("count", F.greatest("count", floor))
+        floor = F.floor(F.col("__sum") * counts.least_percent / 100).cast("long")
+        pop = with_sum(pop, ["sample"], "__sum", "count").withColumn("count", F.greatest("count", floor)).drop("__sum")
     out = with_pcr_errors(pop, chimeras, fraction, substitutions, seed)
     return out if "cluster" in out.columns else with_frequency(out.drop("i"), ["sample"])
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lineagelake.operators.abundance import with_sum
+
 
 def _checked(df: DataFrame, *columns: str | None) -> None:
     for c in columns:
@@ -16,7 +18,7 @@ def category_percent(obs: DataFrame, groupby: str, order: list[str] | None = Non
     """``(groupby, count, percentage)``, by falling percentage, or in ``order``."""
     _checked(obs, groupby)
     out = obs.dropna(subset=[groupby]).groupBy(groupby).agg(F.count("*").alias("count"))
-    out = out.withColumn("percentage", F.col("count") / F.sum("count").over(Window.partitionBy(F.lit(1))) * 100)
+    out = with_sum(out, [], "__sum", "count").withColumn("percentage", F.col("count") / F.col("__sum") * 100).drop("__sum")
     if order:
         return out.where(F.col(groupby).isin(order)).orderBy(F.array_position(F.array(*map(F.lit, order)), F.col(groupby)))
     return out.orderBy(F.desc("percentage"), groupby)
@@ -28,7 +30,7 @@ def crosstab_percent(obs: DataFrame, groupby: str, key: str) -> DataFrame:
     _checked(obs, groupby, key)
     wide = obs.dropna(subset=[groupby, key]).withColumn(key, F.col(key).cast("string")).groupBy(groupby).pivot(key).count().na.fill(0)
     out = wide.unpivot([groupby], [c for c in wide.columns if c != groupby], key, "count")
-    return out.withColumn("percentage", F.col("count") / F.sum("count").over(Window.partitionBy(groupby)) * 100)
+    return with_sum(out, [groupby], "__sum", "count").withColumn("percentage", F.col("count") / F.col("__sum") * 100).drop("__sum")
 
 
 def box_stats(obs: DataFrame, value: str, groupby: str, hue: str | None = None) -> DataFrame:

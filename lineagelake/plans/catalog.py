@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lineagelake.functions import expressions as X
 from lineagelake.functions import kernels as K
+from lineagelake.functions.storage import spread, stored
 from lineagelake.operators import abundance, clones, collapse, counting, matrix, simulate, stats
 from lineagelake.plans import relations as R
 
@@ -331,28 +332,30 @@ def reference_exact_list(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {R.READS_N}, {R.parents()} SELECT sample, p.name AS barcode, count(*) AS counts FROM reads_n r JOIN parents p ON contains(r.seq, p.seq) WHERE NOT contains(r.seq, 'N') GROUP BY 1, 2")
 def reference_exact_dict(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = {s: f"clone_{k}" for k, s in enumerate(R.parent_list())}
-    return _extracted(R.reads_with_n(spark, sf_dir), X.named(K.find_listed(F.col("seq"), list(names)), names))
+    found = counting.with_barcode(spread(R.reads_with_n(spark, sf_dir).select("sample", "seq")), K.find_listed(F.col("seq"), list(names)))
+    return counting.count_reads(counting.named(found, counting.names_table(spark, names)))
 
 
 @query(f"WITH {R.READS}, {R.parents()} SELECT sample, p.name AS barcode, count(*) AS counts FROM reads r JOIN parents p ON hamming(r.barcode_true, p.seq) <= 1 GROUP BY 1, 2")
 def reference_approx(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = {s: f"clone_{k}" for k, s in enumerate(R.parent_list())}
-    return _extracted(R.reads(spark, sf_dir), X.named(K.find_near(F.col("seq"), list(names), 1), names))
+    found = counting.with_barcode(spread(R.reads(spark, sf_dir).select("sample", "seq")), K.find_near(F.col("seq"), list(names), 1))
+    return counting.count_reads(counting.named(found, counting.names_table(spark, names)))
 
 
 @query()
 def adapter_trim_3p(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _extracted(R.reads(spark, sf_dir), K.trim(F.col("seq"), f"*{R.RIGHT}", 0.1, max_read_length=32))
+    return _extracted(spread(R.reads(spark, sf_dir).select("sample", "seq")), K.trim(F.col("seq"), f"*{R.RIGHT}", 0.1, max_read_length=32))
 
 
 @query()
 def adapter_trim_5p(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _extracted(R.reads(spark, sf_dir), K.trim(F.col("seq"), f"{R.LEFT}*", 0.1, max_read_length=32))
+    return _extracted(spread(R.reads(spark, sf_dir).select("sample", "seq")), K.trim(F.col("seq"), f"{R.LEFT}*", 0.1, max_read_length=32))
 
 
 @query()
 def adapter_linked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _extracted(R.reads(spark, sf_dir), K.trim(F.col("seq"), FLANKED, 0.1))
+    return _extracted(spread(R.reads(spark, sf_dir).select("sample", "seq")), K.trim(F.col("seq"), FLANKED, 0.1))
 
 
 # -- clones and plot tables ------------------------------------------------------------
@@ -406,7 +409,7 @@ def box_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {_CLUSTERED} SELECT f.sample, f.barcode, c.cluster, f.counts, CAST(sum(f.counts) OVER (PARTITION BY f.sample, c.cluster) AS BIGINT) AS total_count
 FROM flagship f JOIN clusters c ON f.barcode = c.barcode""")
 def pcr_cluster_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = extract_dna_long(spark, sf_dir)
+    counts = stored(extract_dna_long(spark, sf_dir), "counts")
     return simulate.with_totals(counts.join(collapse.cluster(counts, 2), "barcode"), ["sample", "cluster"], "counts").select("sample", "barcode", "cluster", "counts", "total_count")
 
 
