@@ -3,21 +3,30 @@
 from __future__ import annotations
 
 import argparse
+import logging
 from typing import Any
 
 import yaml
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 from lineagelake.operators import simulate as S
 from lineagelake.plans.extract import Config, extract
 from lineagelake.sources import tables
 
 
+LOG = logging.getLogger("lineagelake")
+
+
 def run_extract(spark: SparkSession, settings: dict[str, Any]) -> None:
     """Counts of all samples: long, wide and annotated, below ``output_path``."""
     config = Config.of(settings["config"])
     counts = extract(spark, tables.read_sheet(spark, settings["input_csv"]), config).cache()
     out = settings["output_path"]
+    LOG.info("extracting with %s", config)
+    tables.write_samples(counts, f"{out}/samples")
+    for r in counts.groupBy("sample").agg(F.count("*").alias("n"), F.sum("counts").alias("all")).collect():  # one row a sample
+        LOG.info("sample %s: %d barcodes, %d counts", r["sample"], r.n, r.all)
     tables.write_counts(counts, f"{out}/counts")
     tables.write_wide(counts, f"{out}/barcodes_output.csv")
     tables.write_annotated(counts, f"{out}/barcodes_output", "sample" if config.sequencing_technology == "DNA" else "cell")
@@ -64,6 +73,7 @@ def main(args: list[str] | None = None) -> None:
     parser.add_argument("command", choices=["extract", "simulate"])
     parser.add_argument("config")
     given = parser.parse_args(args)
+    logging.basicConfig(level=logging.INFO)
     with open(given.config) as f:
         settings = yaml.safe_load(f)
     spark = SparkSession.builder.appName(f"lineagelake-{given.command}").getOrCreate()

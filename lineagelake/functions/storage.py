@@ -2,19 +2,40 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 _own: dict[str, str] = {}
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the executors this package, once for each application, so that they need not have
+    it installed."""
+    app = spark.sparkContext.applicationId
+    if app not in _shipped:
+        _shipped.add(app)
+        home = Path(__file__).resolve().parents[1]
+        archive = Path(tempfile.mkdtemp(prefix="lineagelake-")) / "lineagelake.zip"
+        with zipfile.ZipFile(archive, "w") as z:
+            for f in sorted(home.rglob("*.py")):
+                z.write(f, f.relative_to(home.parent))
+        spark.sparkContext.addPyFile(str(archive))  # Spark copies it to every executor
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` where the cluster
-    names one, else a temporary folder (single machine, as in tests)."""
+    names one.  Only on a single machine, as in tests, a temporary folder takes its place."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         app = spark.sparkContext.applicationId
         if app not in _own:
             _own[app] = "file://" + tempfile.mkdtemp(prefix="lineagelake-")
@@ -37,6 +58,22 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def numbered(df: DataFrame, order: list[str], name: str = "n") -> DataFrame:
+    """``df`` with its rows numbered from 0 in ``order``; which of equal rows comes first is
+    fixed by where they stand.
+
+    Rows are dealt by ranges of the order and numbered within each range; only the sizes of
+    the ranges come together, so no task sees all rows, nor all rows of one value.
+    """
+    rows = df.withColumn("__at", F.monotonically_increasing_id())
+    dealt = stored(rows.repartitionByRange(*order, "__at").withColumn("__range", F.spark_partition_id()), "ranges")
+    sizes = dealt.groupBy("__range").agg(F.count("*").alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rank = F.row_number().over(Window.partitionBy("__range").orderBy(*order, "__at"))
+    out = dealt.withColumn("__rank", rank).join(F.broadcast(sizes.select("__range", before.alias("__before"))), "__range")
+    return out.select(*df.columns, (F.col("__before") + F.col("__rank") - 1).cast("long").alias(name))
+
+
 def spread(df: DataFrame) -> DataFrame:
     """``df`` over as many partitions as there are cores, if it has fewer: for rows of a few
     large or compressed files that go through Python."""

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lineagelake.functions.storage import numbered, stored
+
 META = ("sample", "cell", "replicate", "condition")
 
 
@@ -13,9 +15,12 @@ def keys_of(counts: DataFrame) -> list[str]:
 
 
 def wide(counts: DataFrame, barcodes: list[str] | None = None) -> DataFrame:
-    """One column per barcode (sums, 0 where there is none).  Without a list, Spark collects
-    the distinct barcodes, up to ``spark.sql.pivotMaxValues``."""
+    """One column per barcode (sums, 0 where there is none); without a list, for each barcode
+    there is.  A frame of very many columns is slow in Spark: ``tables.write_wide`` writes such
+    a matrix without one."""
     keys = keys_of(counts)
+    if barcodes is None:
+        barcodes = [r.barcode for r in counts.select("barcode").distinct().orderBy("barcode").collect()]
     return counts.groupBy(*keys).pivot("barcode", barcodes).agg(F.sum("counts")).na.fill(0).orderBy(*keys)
 
 
@@ -31,6 +36,24 @@ def complete(counts: DataFrame, barcodes: list[str] | None = None) -> DataFrame:
     return grid.join(counts.groupBy(*keys, "barcode").agg(F.sum("counts").alias("counts")), [*keys, "barcode"], "left").na.fill(0, ["counts"])
 
 
+def lines(counts: DataFrame) -> DataFrame:
+    """``(ord, value)``: the wide matrix as lines of CSV text, the header with ``ord`` 0.  A line
+    is made of the counts that its key has and of runs of zeros, so the matrix never exists as
+    columns, nor its zeros as rows."""
+    keys = keys_of(counts)
+    sums = stored(counts.groupBy(*keys, "barcode").agg(F.sum("counts").alias("counts")), "sums")
+    names = stored(numbered(sums.select("barcode").distinct(), ["barcode"], "at"), "names")
+    total = names.count()
+    text = lambda *c: F.to_csv(F.struct(*c))
+    head = names.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "barcode"))), lambda x: F.concat(F.lit(","), text(x["barcode"].alias("b")))), "").alias("b"))
+    zeros = lambda n: F.repeat(F.lit(",0"), n.cast("int"))
+    held = sums.join(names, "barcode").groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("at", "counts"))).alias("held"))
+    before = lambda i: F.when(i == 0, -1).otherwise(F.get("held", i - 1)["at"])
+    cells = F.array_join(F.transform("held", lambda x, i: F.concat(zeros(x["at"] - before(i) - 1), F.lit(","), x["counts"].cast("string"))), "")
+    rows = held.select(F.lit(1).alias("ord"), F.concat(text(*keys), cells, zeros(F.lit(total) - 1 - F.element_at("held", -1)["at"])).alias("value"))
+    return head.select(F.lit(0).alias("ord"), F.concat(F.lit(",".join(keys)), "b").alias("value")).union(rows)
+
+
 def long(matrix: DataFrame) -> DataFrame:
     """A wide matrix as rows ``barcode, counts``; zeros stay."""
     keys = keys_of(matrix)

@@ -9,6 +9,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lineagelake.functions.storage import numbered
 from lineagelake.operators.abundance import with_sum
 from lineagelake.operators.collapse import first_independent_set, near_pairs
 
@@ -52,8 +53,7 @@ def unique_sequences(spark: SparkSession, total: int, length: int, seed: int, le
             drawn = drawn.join(kept.withColumnRenamed("node", "barcode"), "barcode", "left_semi")
         top = drawn.orderBy("prio").limit(total)
         if top.count() == total:
-            number = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("prio")) - 1
-            return top.select(number.cast("long").alias("i"), F.col("barcode").alias("seq"))
+            return numbered(top, ["prio"], "i").select("i", F.col("barcode").alias("seq"))
         draw *= 4
     raise ValueError("no such set of sequences was found; shorten the distance or lengthen the sequences")
 
@@ -61,8 +61,8 @@ def unique_sequences(spark: SparkSession, total: int, length: int, seed: int, le
 @dataclass(frozen=True)
 class Counts:
     """How counts are drawn: uniform (all ``count``), random (1 to ``high``), normal (``mean``,
-    ``sd``) or powerlaw (exponent ``a``); none under ``least``, nor under ``least_percent`` of
-    the sum for random ones."""
+    ``sd``) or powerlaw (Zipf's law, k with a chance in proportion to k to the power -``a``); none under ``least``, nor, if they differ,
+    under ``least_percent`` of the sum."""
 
     kind: str = "uniform"
     count: int = 100
@@ -73,6 +73,19 @@ class Counts:
     least: int = 1
     least_percent: float = 0.0
 
+    def _zipf(self, seed: int, *of: Column | str) -> Column:
+        """Rejection from a Pareto law (Devroye, 1986).  More than half of the draws are taken,
+        so 64 of them leave a chance of under 2**-64 that none is."""
+        b = 2.0 ** (self.a - 1)
+
+        def draw(j: Column) -> Column:
+            x = F.floor(F.pow(1 - uniform(seed, *of, j), F.lit(-1 / (self.a - 1)))).cast("double")
+            t = F.pow(1 + 1 / x, F.lit(self.a - 1))
+            return F.struct(x.alias("x"), (uniform(seed + 1, *of, j) * x * (t - 1) / (b - 1) <= t / b).alias("taken"))
+
+        draws = F.transform(F.sequence(F.lit(1), F.lit(64)), draw)
+        return F.coalesce(F.get(F.filter(draws, lambda d: d["taken"]), F.lit(0))["x"], F.lit(1.0))
+
     def column(self, seed: int, *of: Column | str) -> Column:
         if self.kind == "uniform":
             c = F.lit(self.count)
@@ -81,7 +94,7 @@ class Counts:
         elif self.kind == "normal":
             c = F.floor(gaussian(seed, *of) * self.sd + self.mean)
         elif self.kind == "powerlaw":
-            c = F.floor(F.pow(1 - uniform(seed, *of), F.lit(-1 / (self.a - 1))))
+            c = self._zipf(seed, *of)
         else:
             raise ValueError(f"unknown distribution {self.kind!r}: uniform, random, normal or powerlaw")
         return F.greatest(c.cast("long"), F.lit(max(1, self.least)).cast("long"))
@@ -140,7 +153,7 @@ def dna_ground_truth(
     if frames is None:
         raise ValueError("no sample is named")
     pop = frames.withColumn("count", counts.column(seed + 5, "sample", "barcode"))
-    if counts.kind == "random" and counts.least_percent:
+    if counts.kind != "uniform" and counts.least_percent:
         floor = F.floor(F.col("__sum") * counts.least_percent / 100).cast("long")
         pop = with_sum(pop, ["sample"], "__sum", "count").withColumn("count", F.greatest("count", floor)).drop("__sum")
     out = with_pcr_errors(pop, chimeras, fraction, substitutions, seed)
@@ -155,7 +168,7 @@ def dna_reads(truth: DataFrame, length: int = 100, left: str = "", right: str =
 
 def clone_sizes(cells: int, clones: int, counts: Counts, seed: int = 0) -> list[int]:
     """Cells of each clone, in proportion to draws of ``counts``, rounded down."""
-    spark = SparkSession.getActiveSession()
+    spark = SparkSession.active()
     drawn = [r[0] for r in spark.range(clones).select(counts.column(seed, "id")).collect()]  # as many as clones
     return [c * cells // sum(drawn) for c in drawn]
 

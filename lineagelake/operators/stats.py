@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lineagelake.functions.storage import stored
 from lineagelake.operators.abundance import with_sum
 
 
@@ -38,9 +39,24 @@ def box_stats(obs: DataFrame, value: str, groupby: str, hue: str | None = None)
     _checked(obs, value, groupby, hue)
     keys = [groupby] + ([hue] if hue else [])
     rows = obs.dropna(subset=[*keys, value])
-    box = rows.groupBy(*keys).agg(F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"), F.count("*").alias("n"))
-    box = box.select(*keys, "n", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"))
+    # Values with their numbers, dealt by ranges: a value's ranks are its range's sum before it
+    # and those of the earlier ranges, so no task holds a whole group.
+    by = rows.groupBy(*keys, F.col(value).alias("__v")).agg(F.count("*").alias("__c"))
+    by = stored(by.repartitionByRange(*keys, "__v").withColumn("__range", F.spark_partition_id()), "values")
+    sums = by.groupBy(*keys, "__range").agg(F.sum("__c").alias("__s"))
+    earlier = Window.partitionBy(*keys).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select(*keys, "__range", F.coalesce(F.sum("__s").over(earlier), F.lit(0)).alias("__before"))
+    within = Window.partitionBy(*keys, "__range").orderBy("__v")
+    total = by.groupBy(*keys).agg(F.sum("__c").alias("n"))
+    placed = by.withColumn("__in", F.sum("__c").over(within)).join(sums, [*keys, "__range"]).join(total, keys)
+    last = F.col("__before") + F.col("__in") - 1  # the rank, from 0, of the value's last row
+    at = lambda rank: F.max(F.when((rank <= last) & (rank > last - F.col("__c")), F.col("__v").cast("double")))
+    names = {"q1": 0.25, "median": 0.5, "q3": 0.75}
+    picks = [x for c, p in names.items() for x in (at(F.floor((F.col("n") - 1) * p)).alias(f"__lo_{c}"), at(F.ceil((F.col("n") - 1) * p)).alias(f"__hi_{c}"))]
+    box = placed.groupBy(*keys, "n").agg(*picks)
+    part = lambda p: (F.col("n") - 1) * p - F.floor((F.col("n") - 1) * p)
+    box = box.select(*keys, "n", *[(F.col(f"__lo_{c}") * (1 - part(p)) + F.col(f"__hi_{c}") * part(p)).alias(c) for c, p in names.items()])
     reach = (F.col("q3") - F.col("q1")) * 1.5
-    inside = F.when((F.col(value) >= F.col("q1") - reach) & (F.col(value) <= F.col("q3") + reach), F.col(value))
-    ends = rows.join(box, keys).groupBy(*keys).agg(F.min(inside).alias("whisker_low"), F.max(inside).alias("whisker_high"))
+    inside = F.when((F.col("__v") >= F.col("q1") - reach) & (F.col("__v") <= F.col("q3") + reach), F.col("__v"))
+    ends = by.join(box, keys).groupBy(*keys).agg(F.min(inside).alias("whisker_low"), F.max(inside).alias("whisker_high"))
     return box.join(ends, keys)

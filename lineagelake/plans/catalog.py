@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -9,9 +10,10 @@ from pyspark.sql import functions as F
 
 from lineagelake.functions import expressions as X
 from lineagelake.functions import kernels as K
-from lineagelake.functions.storage import spread, stored
+from lineagelake.functions.storage import shared_dir, spread, stored
 from lineagelake.operators import abundance, clones, collapse, counting, matrix, simulate, stats
 from lineagelake.plans import relations as R
+from lineagelake.sources import fastq, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -290,16 +292,16 @@ def collapse_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # -- matrix ----------------------------------------------------------------------------
 
-# The two queries cover every barcode; their SQL still names these five only.
-_FIVE = R.parent_list()[:5]
+# Every barcode there can be: the parents and the mutant of each.
+_ALL = sorted(x for p in R.parent_list() for x in (p, p[:4] + p[4].translate(str.maketrans("ACGT", "CGTA")) + p[5:]))
 
 
-@query(f"WITH {_COUNTED} SELECT sample, " + ", ".join(f"CAST(coalesce(sum(CASE WHEN barcode = '{b}' THEN counts END), 0) AS BIGINT) AS \"{b}\"" for b in _FIVE) + " FROM counted GROUP BY 1")
+@query(f"WITH {_COUNTED} SELECT sample, " + ", ".join(f"CAST(coalesce(sum(CASE WHEN barcode = '{b}' THEN counts END), 0) AS BIGINT) AS \"{b}\"" for b in _ALL) + " FROM counted GROUP BY 1")
 def pivot_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matrix.wide(_counted(spark, sf_dir))
 
 
-@query(f"""WITH {_COUNTED}, grid AS (SELECT sample, barcode FROM (SELECT DISTINCT sample FROM counted) a, (SELECT unnest([{', '.join(f"'{b}'" for b in _FIVE)}]) AS barcode) b)
+@query(f"""WITH {_COUNTED}, grid AS (SELECT sample, barcode FROM (SELECT DISTINCT sample FROM counted) a, (SELECT DISTINCT barcode FROM counted) b)
 SELECT g.sample, g.barcode, coalesce(counts, 0) AS counts FROM grid g LEFT JOIN counted c ON g.sample = c.sample AND g.barcode = c.barcode""")
 def long_complete_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matrix.complete(_counted(spark, sf_dir))
@@ -343,21 +345,66 @@ def reference_approx(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counting.count_reads(counting.named(found, counting.names_table(spark, names)))
 
 
-@query()
+@query(_tally("reads", "right(regexp_extract(seq, '^(.*?)ATCCTACTTG', 1), 32)", R.READS))
 def adapter_trim_3p(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _extracted(spread(R.reads(spark, sf_dir).select("sample", "seq")), K.trim(F.col("seq"), f"*{R.RIGHT}", 0.1, max_read_length=32))
 
 
-@query()
+@query(_tally("reads", "left(regexp_extract(seq, '^.*?GCTACTTGAT(.*)$', 1), 32)", R.READS))
 def adapter_trim_5p(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _extracted(spread(R.reads(spark, sf_dir).select("sample", "seq")), K.trim(F.col("seq"), f"{R.LEFT}*", 0.1, max_read_length=32))
 
 
-@query()
+@query(_tally("reads", "regexp_extract(seq, '^.*?GCTACTTGAT(.*?)ATCCTACTTG', 1)", R.READS))
 def adapter_linked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _extracted(spread(R.reads(spark, sf_dir).select("sample", "seq")), K.trim(F.col("seq"), FLANKED, 0.1))
 
 
+# -- files -----------------------------------------------------------------------------
+
+
+def _run_folder(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/files-{uuid.uuid4().hex}"
+
+
+@query(f"WITH {_COUNTED} SELECT sample, barcode, counts FROM counted")
+def fastq_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All reads written as FASTQ, a folder for each sample, and extracted from the files."""
+    folder = _run_folder(spark)
+    rows = R.reads(spark, sf_dir).select("sample", F.concat_ws("\n", F.lit("@r"), "seq", F.lit("+"), "qual").alias("value"))
+    rows.write.partitionBy("sample").text(folder)
+    read = fastq.read_fastq(spark, f"{folder}/*").withColumn("sample", F.regexp_extract("file", "sample=([^/]*)", 1))
+    found = counting.with_barcode(read.where(X.qc_pass(F.col("qual"), 20, 70)), X.extract(F.col("seq"), FLANKED), X.length_gate(F.col("barcode"), True, 32))
+    return counting.count_reads(found, ["sample"])
+
+
+@query(f"WITH {R.READS_N}, {R.parents()} SELECT sample, 'barcode_' || CAST(k AS VARCHAR) AS barcode, count(*) AS counts FROM reads_n r JOIN (SELECT seq, row_number() OVER (ORDER BY seq) - 1 AS k FROM parents) p ON contains(r.seq, p.seq) WHERE NOT contains(r.seq, 'N') GROUP BY 1, 2")
+def reference_fasta_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The parents written as FASTA and read as the reference of the search."""
+    folder = f"{_run_folder(spark)}/parents.fasta"
+    tables.write_fasta(spark.createDataFrame([(s,) for s in R.parent_list()], "barcode string"), folder)
+    names = tables.read_reference(spark, folder)
+    found = counting.with_barcode(spread(R.reads_with_n(spark, sf_dir).select("sample", "seq")), K.find_listed(F.col("seq"), list(names)))
+    return counting.count_reads(counting.named(found, counting.names_table(spark, names)))
+
+
+@query("SELECT CAST(s_suppkey AS VARCHAR) || '-2' AS cell FROM supplier")
+def whitelist_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells written as a list with one suffix and read with another."""
+    folder = _run_folder(spark)
+    R.table(spark, sf_dir, "supplier").select(F.concat(F.col("s_suppkey").cast("string"), F.lit("-1")).alias("value")).write.text(folder)
+    return tables.read_whitelist(spark, folder, "2")
+
+
+@query(f"WITH {_COUNTED} SELECT sample, count(*) AS n_barcodes_by_counts, CAST(sum(counts) AS BIGINT) AS total_counts FROM counted GROUP BY 1")
+def wide_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The wide CSV written and read again, as metrics of its samples."""
+    folder = _run_folder(spark)
+    tables.write_wide(_counted(spark, sf_dir), folder)
+    _, obs, _ = tables.read_dna(spark, folder)
+    return obs.select("sample", "n_barcodes_by_counts", "total_counts")
+
+
 # -- clones and plot tables ------------------------------------------------------------
 
 _CLONES = R.parents() + ", clone AS (SELECT CAST(ord // 5 AS INTEGER) AS ord, 'clone_' || CAST(ord // 5 AS VARCHAR) AS clone, seq AS barcode FROM parents)"
@@ -426,3 +473,28 @@ def simulate_dna(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def simulate_sc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simulate.sc_molecules(spark, samples=["s1"], cells=20, clones=4, length=16, umis_per_cell=5, chimeras=2, fraction=0.2, seed=7)
+
+
+@query("SELECT * FROM (VALUES ('s1', 10, 30, 16, true, true), ('s2', 10, 30, 16, true, true)) AS t(sample, n_clusters, most_rows, length, summed, shared)")
+def simulate_dna_laws(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What holds of simulated populations: clusters of a barcode and at most two mutants, their
+    sums, and mutants with a tenth of the barcode's count or less."""
+    rows = simulate_dna(spark, sf_dir)
+    by = rows.groupBy("sample", "cluster").agg(F.sum("count").alias("s"), F.min("total_count").alias("t"), F.max("count").alias("top"), F.count("*").alias("n"), F.min(F.length("barcode")).alias("lo"), F.max(F.length("barcode")).alias("hi"))
+    most = F.when(F.max("n") <= 3, F.count("*") * 3).cast("int")
+    return by.groupBy("sample").agg(
+        F.count("*").cast("int").alias("n_clusters"), most.alias("most_rows"), F.when(F.min("lo") == F.max("hi"), F.min("lo")).alias("length"), F.bool_and(F.col("s") == F.col("t")).alias("summed"),
+        F.bool_and((F.col("s") - F.col("top")) * 10 <= F.greatest(F.col("top"), F.lit(20))).alias("shared"),
+    )
+
+
+@query("SELECT 's1' AS sample, 20 AS n_cells, 100 AS n_molecules, 4 AS n_clones, 20 AS n_mutated")
+def simulate_sc_laws(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What holds of simulated cells: all cells of four clones of one barcode each, five
+    molecules a cell, a fifth of them with a mutant of the clone's barcode."""
+    rows = stored(simulate_sc(spark, sf_dir), "molecules")
+    own = rows.groupBy("clone", "barcode").agg(F.count("*").alias("n")).groupBy("clone").agg(F.max_by("barcode", "n").alias("own"))
+    return rows.join(own, "clone").groupBy("sample").agg(
+        F.countDistinct("cell_bc").cast("int").alias("n_cells"), F.count("*").cast("int").alias("n_molecules"), F.countDistinct("clone").cast("int").alias("n_clones"),
+        F.count_if(F.col("barcode") != F.col("own")).cast("int").alias("n_mutated"),
+    )

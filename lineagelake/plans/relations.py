@@ -6,6 +6,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lineagelake.functions.storage import ship
+
 LEFT, RIGHT = "GCTACTTGAT", "ATCCTACTTG"
 
 
@@ -28,6 +30,7 @@ def _qual(x: str) -> str:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -98,3 +98,24 @@ def test_simulated_cells(spark):
     assert len({r.barcode for r in out}) > 3
     pair = simulate.sc_reads(spark.createDataFrame(out), 100, "GGG", "TTT").first()
     assert len(pair.read_2) == 100 and pair.read_2.startswith("GGG")
+
+
+def test_power_law_counts_follow_zipf(spark):
+    law = simulate.Counts("powerlaw", a=2.0)
+    got = [r.c for r in spark.range(20_000).select(law.column(3, "id").alias("c")).collect()]
+    for k in (1, 2, 3, 5):
+        assert abs(sum(c == k for c in got) / len(got) - 6 / 3.141592653589793**2 / k**2) < 0.012
+
+
+def test_box_of_many_ties(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    rows = [(g, h, float(rng.integers(0, 9)) if g == "a" else float(rng.normal())) for g in "ab" for h in "xy" for _ in range(157)] + [("a", "x", None), (None, "x", 1.0)]
+    got = {(r.g, r.h): r for r in stats.box_stats(spark.createDataFrame(rows, "g string, h string, v double"), "v", "g", "h").collect()}
+    assert len(got) == 4
+    for (g, h), r in got.items():
+        v = np.array([x for a, b, x in rows if (a, b) == (g, h) and x is not None])
+        q = np.quantile(v, [0.25, 0.5, 0.75])
+        inside = v[(v >= q[0] - 1.5 * (q[2] - q[0])) & (v <= q[2] + 1.5 * (q[2] - q[0]))]
+        assert r.n == len(v) and np.allclose([r.q1, r.median, r.q3, r.whisker_low, r.whisker_high], [*q, inside.min(), inside.max()])

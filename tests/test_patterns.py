@@ -126,3 +126,34 @@ def test_lengths_and_distances(spark):
     assert df.where(X.length_gate(F.col("a"), False, 9)).count() == 2
     assert one(spark, X.ngrams(F.col("seq"), 3), "AC") == []
     assert one(spark, X.ngrams(F.col("seq"), 2), "ACACG") == ["AC", "CA", "CG"]
+
+
+def test_both_finders_of_listed_sequences_agree(spark):
+    rng = random.Random(9)
+    reads = ["".join(rng.choices("ACGTN", (5, 5, 5, 5, 0.2), k=rng.randint(0, 60))) for _ in range(400)] + [None, "", "N"]
+    listed = list({"".join(rng.choices("ACGT", k=rng.randint(2, 5))) for _ in range(50)})
+    reads += ["".join(rng.choices(listed, k=8)) for _ in range(100)]
+    df = spark.createDataFrame([(r,) for r in reads], "seq string")
+    got = df.select(X.find_listed(F.col("seq"), listed).alias("a"), K.find_listed(F.col("seq"), listed).alias("b")).collect()
+    assert all(r.a == r.b for r in got) and sum(r.a is not None for r in got) > 200
+
+
+def test_nearest_listed_against_brute_force():
+    rng = random.Random(10)
+    listed = ["".join(rng.choices("ACGT", k=rng.randint(2, 12))) for _ in range(25)]
+    reads = ["".join(rng.choices("ACGT", k=rng.randint(1, 30))) for _ in range(200)] + [None]
+    for most in (0, 1, 2, 3):
+        want = []
+        for r in reads:
+            d = [(infix(s, r), k) for k, s in enumerate(listed)] if r else []
+            want.append(listed[min(d)[1]] if d and min(d)[0] <= most else None)
+        assert K.nearest_listed(reads, listed, most) == want
+
+
+def test_exact_adapters_are_the_best_alignments():
+    rng = random.Random(11)
+    reads = ["".join(rng.choices("AC", k=24)) for _ in range(300)]
+    for end3 in (True, False):
+        a, b = K.adapter_places(reads, "ACCAC", end3, 0.2, 3)
+        c, d = K._aligned_places(reads, "ACCAC", end3, 0.2, 3)
+        assert (a == c).all() and (b == d).all()

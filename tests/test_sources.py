@@ -127,3 +127,52 @@ def test_streaming(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert [(r.barcode, r.counts) for r in spark.table("counts").collect()] == [("TT", 2)]
+
+
+def test_fastq_read_in_many_splits(spark, tmp_path):
+    records = [(f"r{i}", "ACGT"[i % 4] * (i % 30 + 1), "@" * (i % 30 + 1)) for i in range(200)]
+    (tmp_path / "a.fastq").write_text("".join(f"@{n} x\n{s}\n+\n{q}\n" for n, s, q in records))
+    (tmp_path / "b.fastq").write_text("".join(f"@{n}\r\n{s}\r\n+\r\n{q}\r\n" for n, s, q in records[:50]))
+    old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "300")
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        assert spark.read.text(str(tmp_path)).rdd.getNumPartitions() > 20
+        for name, want in (("a", records), ("b", records[:50])):
+            got = fastq.read_fastq(spark, f"file://{tmp_path}/{name}.fastq").orderBy("ord").collect()
+            assert [(r.ord, r.name, r.seq, r.qual) for r in got] == [(i, *r) for i, r in enumerate(want)]
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
+def test_wide_matrix_of_more_barcodes_than_a_pivot_takes(spark, tmp_path):
+    rows = [(s, f"B{k:03}", k + 1) for s, step in (("a", 1), ("b, \"c\"", 7), ("d", 90)) for k in range(0, 100, step)]
+    df = spark.createDataFrame(rows, "sample string, barcode string, counts long")
+    old = spark.conf.get("spark.sql.pivotMaxValues")
+    spark.conf.set("spark.sql.pivotMaxValues", "5")
+    try:
+        tables.write_wide(df, f"{tmp_path}/wide")
+    finally:
+        spark.conf.set("spark.sql.pivotMaxValues", old)
+    got = spark.read.csv(f"{tmp_path}/wide", header=True)
+    assert got.columns == ["sample", *[f"B{k:03}" for k in range(100)]]
+    held = {(s, b): c for s, b, c in rows}
+    assert {(r["sample"], b): int(r[b]) for r in got.collect() for b in got.columns[1:]} == {(s, f"B{k:03}"): held.get((s, f"B{k:03}"), 0) for s in {s for s, _ in held} for k in range(100)}
+    tables.write_wide(df.limit(0), f"{tmp_path}/empty")
+    assert spark.read.csv(f"{tmp_path}/empty", header=True).columns == ["sample"]
+
+
+def test_numbers_of_rows(spark):
+    from lineagelake.functions.storage import numbered
+
+    df = spark.createDataFrame([(i % 3, "x") for i in range(300)], "k int, n2 string").repartition(5)
+    got = numbered(df, ["k"]).collect()
+    assert sorted(r.n for r in got) == list(range(300)) and [r.k for r in sorted(got, key=lambda r: r.n)] == sorted(i % 3 for i in range(300))
+    assert numbered(df.limit(0), ["k"]).count() == 0
+
+
+def test_samples_keep_their_own_cells(spark, tmp_path):
+    df = spark.createDataFrame([("s_1", "c_1_s_1", "A", 2), ("t", "c_t", "A", 1)], "sample string, cell string, barcode string, counts long")
+    tables.write_samples(df, f"{tmp_path}/samples")
+    assert {(r["sample"], r.cell) for r in spark.read.csv(f"{tmp_path}/samples", header=True).collect()} == {("s_1", "c_1"), ("t", "c")}
