@@ -9,9 +9,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lineagelake.functions.storage import shared_dir, stored
+from lineagelake.functions.storage import free, shared_dir, stored
 
-__all__ = ["batches_of", "connected_components", "mixed", "shared_dir", "shingle_set", "stored"]
+__all__ = ["batches_of", "connected_components", "free", "mixed", "shared_dir", "shingle_set", "stored", "texts_of"]
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -36,16 +36,18 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
             large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
             .union(least.select("u", F.col("m").alias("v"))).distinct()
         )
-        now = stored(small, "edges")
+        last, now = now, stored(small, "edges")
+        free(last)
         state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(state) == before:
             break
         before = tuple(state)
     else:
         raise RuntimeError("connected components did not settle")
-    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(
-        now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-    )
+    found = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    found = stored(found.union(found.select(F.col("component").alias("node"), "component").distinct()), "components")
+    free(now)
+    return found
 
 
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -78,6 +80,20 @@ def shingle_set(text: str | None, words: int) -> np.ndarray:
     return np.unique(out)
 
 
+#: Rows of a batch of texts on its way to Python.
+ROWS = 500
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def texts_of(df: DataFrame) -> DataFrame:
+    """``df``, whose texts go to Python: batches of Spark's default size would hold some tens of
+    megabytes several times over, on both sides.  A session that sets a size keeps it."""
+    conf = df.sparkSession.conf
+    if conf.get(_BATCH) == "10000":
+        conf.set(_BATCH, ROWS)
+    return df
+
+
 def batches_of(rows: Iterator, size: int):
     """Arrow batches cut to at most ``size`` rows, so that a batch of long texts stays small."""
     for batch in rows:

@@ -1,7 +1,7 @@
-"""Main text of web pages by template deduction: tags that share an occurrence vector across
-the pages of a host are one equivalence class, valid classes nest into the host's template,
-and the text is what remains in the template's main slot (after Arasu and Garcia-Molina,
-2003)."""
+"""Main text of web pages by template deduction: tags and texts that share an occurrence
+vector across the pages of a host are one equivalence class, classes whose tokens keep their
+order nest into the host's template, and the text is what remains in the template's main slot
+(after Arasu and Garcia-Molina, 2003)."""
 
 from __future__ import annotations
 
@@ -14,11 +14,10 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches_of, stored
+from .common import batches_of, stored, texts_of
 
 #: HTML's elements that hold no content, that are no part of a main text, that
-#: break a line of text, and that a new paragraph ends; words in class, id or role that mark
-#: menus, headers, footers, sidebars, notices, adverts, forms and reader comments.
+#: break a line of text, and that a new paragraph ends.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 ASIDE = set(
     "head nav footer aside form noscript iframe svg math canvas object audio video button select textarea template dialog menu".split()
@@ -29,75 +28,94 @@ BLOCKS = set(
     "header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 INSIDE = {"p": {"p"}, "li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}, "option": {"option"}}
-MARKS = (
-    "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar side-bar comment comments disqus "
-    "respond reply replies cookie cookies consent notice notices alert popup modal overlay newsletter subscribe subscription share sharing "
-    "social related recommended recommendations breadcrumb breadcrumbs menu nav navbar navigation footer header masthead topbar widget widgets toolbar "
-    "pagination pager login signup search complementary contentinfo"
-).split()
-
-_MARK = re.compile(r"(?:^|[\s_-])(?:" + "|".join(map(re.escape, sorted(MARKS, key=len, reverse=True))) + r")(?=$|[\s_-])", re.I)
+#: What a part of a page differs in from page to page and is still no main text:
+#: reader comments, adverts and the like, by the last word of a class, id or role, or by its
+#: first.  Such a name counts only for an element that holds no headline, article or main.
+LAST = set(
+    "ad ads advert adverts advertisement advertising banner promo promotion sponsor sponsored comment comments commentlist disqus reply replies respond "
+    "cookies consent notice notices newsletter subscribe subscription breadcrumb breadcrumbs menu nav navbar navigation sidebar pagination pager "
+    "complementary contentinfo popup modal".split()
+)
+FIRST = set("ad ads advert adverts comment comments cookie cookies disqus respond newsletter breadcrumb breadcrumbs".split())
+
+_WORDS = re.compile(r"[^\s_-]+")
 _TOKEN = re.compile(r"<!--(?:.*?-->|.*\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<[!?/][^>]*>?|<[a-zA-Z][^>]*\Z|[^<]+|<", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 #: A template token is on this share of a host's pages; hosts of fewer pages share the
 #: template of all hosts; a main slot holds this share of the text outside other slots.
 SUPPORT, FEW_PAGES, SHARE = 0.5, 3, 0.6
-#: Main slots by host reach the tasks as a broadcast up to this number of hosts, else by a join.
-BROADCAST_HOSTS = 50_000
+_CORE = ("article", "main", "h1")
+
+
+class Node:
+    """An element: its path of names and first classes, whether it is set aside for certain or
+    by its name alone, whether it holds a headline, article or main, and its text's length."""
+
+    __slots__ = ("name", "path", "block", "aside", "named", "core", "chars", "parent")
+
+    def __init__(self, name: str, path: str, block: str, aside: bool, named: bool, parent: Node | None):
+        self.name, self.path, self.block, self.aside, self.named, self.parent = name, path, block, aside, named, parent
+        self.core, self.chars = False, 0
 
 
-def _element(name: str, attributes: str, inside_article: bool) -> tuple[str, bool]:
-    """An element's template token, and whether it is set aside."""
+def _element(name: str, attributes: str, inside_article: bool) -> tuple[str, bool, bool]:
+    """An element's template token, whether it is set aside, and whether its name says so."""
+    aside = name in ASIDE or name == "header" and not inside_article
     if not attributes.strip():
-        return name, name in ASIDE or name == "header" and not inside_article
+        return name, aside, False
     values = {k.lower(): unescape(a or b or c) for k, a, b, c in _ATTRIBUTE.findall(attributes)}
-    told = " ".join(values.get(k, "") for k in ("class", "id", "role"))
     hidden = "hidden" in values or values.get("aria-hidden", "").lower() == "true" or "display:none" in values.get("style", "").replace(" ", "").lower()
-    marked = name not in ("html", "body", "article", "main") and bool(_MARK.search(told))
+    names = [_WORDS.findall(x.lower()) for k in ("class", "id", "role") for x in values.get(k, "").split()]
+    named = any(w and (w[-1] in LAST or w[0] in FIRST) for w in names)
     first = values.get("class", "").split()
-    return (f"{name}.{first[0]}" if first else name), name in ASIDE or hidden or marked or name == "header" and not inside_article
+    return (f"{name}.{first[0]}" if first else name), aside or hidden, named
 
 
-def walk(html: str) -> Iterator[tuple[str, str]]:
-    """What a page consists of, in order: ("open", path), ("aside", path) for elements set
-    aside, ("text", raw text), ("break", "") between blocks; and ("close", path)."""
-    stack: list[tuple[str, str, bool]] = []  # name, path, set aside
-    skip_to = 0
+def parsed(html: str) -> tuple[list[tuple[str, Node | str | None]], int]:
+    """What a page consists of, in order, ("open", node), ("close", node), ("text", raw text)
+    and ("break", None) between blocks; and the length of its text."""
+    events: list[tuple[str, Node | str | None]] = []
+    stack: list[Node] = []
+    skip_to = total = 0
 
-    def close(k: int):
+    def close(k: int) -> None:
         while len(stack) > k:
-            name, path, aside = stack.pop()
-            if not (stack and stack[-1][2]):
-                yield ("close", path)
-            if name in BLOCKS:
-                yield ("break", "")
+            node = stack.pop()
+            events.append(("close", node))
+            if node.parent is not None:
+                node.parent.chars += node.chars
+            if node.name in BLOCKS:
+                events.append(("break", None))
 
     for m in _TOKEN.finditer(html):
         if m.start() < skip_to:
             continue
-        raw = m.group()
-        name = m.group(2)
+        raw, name = m.group(), m.group(2)
         if name is None:
             if raw[0] != "<" or raw == "<":
-                if not (stack and stack[-1][2]):
-                    yield ("text", raw)
+                events.append(("text", raw))
+                if not (stack and stack[-1].aside):
+                    n = len(raw) - raw.count(" ")
+                    total += n
+                    if stack:
+                        stack[-1].chars += n
             continue
         name = name.lower()
         if m.group(1):
-            k = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
+            k = next((i for i in range(len(stack) - 1, -1, -1) if stack[i].name == name), None)
             if k is not None:
-                yield from close(k)
+                close(k)
             elif name == "p":
-                yield ("break", "")
+                events.append(("break", None))
             continue
         if name in BLOCKS:
             ends = INSIDE.get(name, {"p"} if name != "br" else set())
             k = len(stack)
-            while k and stack[k - 1][0] not in BLOCKS:
+            while k and stack[k - 1].name not in BLOCKS:
                 k -= 1
-            if k and stack[k - 1][0] in ends:
-                yield from close(k - 1)
-            yield ("break", "")
+            if k and stack[k - 1].name in ends:
+                close(k - 1)
+            events.append(("break", None))
         if name in VOID:
             continue
         if name in RAW:
@@ -106,89 +124,135 @@ def walk(html: str) -> Iterator[tuple[str, str]]:
             close_at = html.find(">", skip_to) if end else -1
             skip_to = close_at + 1 if close_at >= 0 else len(html)
             continue
-        under = bool(stack and stack[-1][2])
-        token, aside = _element(name, m.group(3), any(s[0] in ("article", "main") for s in stack))
-        path = (stack[-1][1] + "/" if stack else "") + token
-        stack.append((name, path, under or aside))
-        if not under:
-            yield ("aside" if aside else "open", path)
-    yield from close(0)
-
-
-def tokens_of(html: str) -> dict[str, list[int]]:
-    """Occurrences of each path, the characters of text below it that are not set aside, and a
-    hash of the text directly in it, white space aside (0 if there is none)."""
-    out: dict[str, list[int]] = {}
-    own: dict[str, list[str]] = {}
-    stack: list[str] = []
-    for kind, value in walk(html):
+        up = stack[-1] if stack else None
+        token, aside, named = _element(name, m.group(3), any(s.name in ("article", "main") for s in stack))
+        path = (up.path + "/" if up else "") + token
+        node = Node(name, path, path if name in BLOCKS else up.block if up else "", bool(up and up.aside) or aside, named and name not in ("html", "body", *_CORE), up)
+        if name in _CORE and not node.aside:
+            x = up
+            while x is not None and not x.core:
+                x.core, x = True, x.parent
+            node.core = True
+        stack.append(node)
+        events.append(("open", node))
+    close(0)
+    return events, total
+
+
+def walk(html: str) -> Iterator[tuple[str, Node | str | None]]:
+    """The events of a page without what is set aside: ("aside", node) and its ("close", node)
+    stand for such an element.  A name sets an element aside that holds no headline, article
+    or main; on pages that have none of them, if it holds less than half of the text."""
+    events, total = parsed(html)
+    cores = any(kind == "open" and node.core for kind, node in events)
+    within: Node | None = None
+    for kind, node in events:
+        if within is not None:
+            if kind == "close" and node is within:
+                within = None
+                yield kind, node
+            continue
+        if kind == "open" and (node.aside or node.named and not node.core and (cores or 2 * node.chars < total)):
+            within = node
+            yield "aside", node
+        else:
+            yield kind, node
+
+
+def _mark(text: str) -> int:
+    return xxhash.xxh3_64_intdigest("".join(text.split()).encode("utf-8", "surrogatepass")) >> 1
+
+
+def contents(html: str) -> tuple[list[tuple[str, str]], dict[str, list[int]]]:
+    """A page's blocks of text, as path and text, and its tokens by path: occurrences, place of
+    the first, characters of text below that are not set aside, and a mark of the text of
+    its blocks (0 if there is none)."""
+    blocks: list[tuple[str, str]] = []
+    tokens: dict[str, list[int]] = {}
+    stack: list[Node] = []
+    parts: list[str] = []
+    where = ""
+
+    def flush() -> None:
+        text = " ".join(unescape("".join(parts)).split())
+        if text:
+            blocks.append((where, text))
+        parts.clear()
+
+    for kind, x in walk(html):
         if kind in ("open", "aside"):
-            out.setdefault(value, [0, 0, 0])[0] += 1
-            stack.append(value)
+            tokens.setdefault(x.path, [0, len(tokens), 0, 0])[0] += 1
+            if kind == "open":
+                tokens[x.path][2] += x.chars
+            stack.append(x)
         elif kind == "close":
             stack.pop()
         elif kind == "text":
-            n = len(value) - value.count(" ")
-            for path in stack:
-                out[path][1] += n
-            if stack and n and not value.isspace():
-                own.setdefault(stack[-1], []).append(value)
+            at = stack[-1].block if stack else ""
+            if not parts:
+                where = at
+            parts.append(x)
+        else:
+            flush()
+    flush()
+    own: dict[str, list[str]] = {}
+    for path, text in blocks:
+        own.setdefault(path, []).append(text)
     for path, texts in own.items():
-        out[path][2] = xxhash.xxh3_64_intdigest("".join("".join(texts).split()).encode("utf-8", "surrogatepass")) >> 1
-    return out
+        if path in tokens:
+            tokens[path][3] = _mark(" ".join(texts))
+    return blocks, tokens
+
+
+def _in(path: str, slot: str) -> bool:
+    return path == slot or path.startswith(slot + "/")
 
 
 def main_text(html: str | None, slot: str | None, fixed: Iterable[str] = ()) -> str:
-    """The text of the slot ``slot`` of a page, block by block, without what stands directly in
-    the paths ``fixed``; of its article, main or whole body if the page lacks that slot."""
+    """The text of the slot ``slot`` of a page, block by block, without the blocks of the paths
+    ``fixed``; of its article, main or whole body if the page lacks that slot."""
     if not html:
         return ""
-    events = list(walk(html))
-    opened = [v for k, v in events if k == "open"]
-    if slot not in opened:
-        slot = next((p for tag in ("article", "main") for p in opened if re.fullmatch(rf"{tag}(\..*)?", p.rsplit("/", 1)[-1])), None)
-    fixed, stack = set(fixed), []
-    depth, parts, blocks = 0, [], []
-    for kind, value in events:
-        if kind in ("open", "aside"):
-            stack.append(value)
-        elif kind == "close":
-            stack.pop()
-        if kind == "open" and value == slot:
-            depth += 1
-        elif kind == "close" and value == slot:
-            depth -= 1
-        inside = slot is None or depth > 0
-        if kind == "text" and inside and not (stack and stack[-1] in fixed):
-            parts.append(value)
-        elif kind == "break" and parts:
-            blocks.append(" ".join(unescape("".join(parts)).split()))
-            parts = []
-    if parts:
-        blocks.append(" ".join(unescape("".join(parts)).split()))
-    return "\n".join(b for b in blocks if b)
+    blocks, tokens = contents(html)
+    own = slot if slot in tokens else own_slot(tokens)
+    return "\n".join(t for p, t in blocks if (own is None or _in(p, own)) and p not in set(fixed))
+
+
+def own_slot(tokens: Iterable[str]) -> str | None:
+    """The first article of a page, else its first main."""
+    return next((p for tag in ("article", "main") for p in tokens if re.fullmatch(rf"{tag}(\..*)?", p.rsplit("/", 1)[-1])), None)
 
 
 def _host(url: Column) -> Column:
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)://([^/?#]*)", 1))
 
 
-def occurrences(pages: DataFrame) -> DataFrame:
-    """``(host, page, token, n, chars, own)``: each path of each page, ``own`` the hash of the
-    text directly in it; the token "" for the page."""
+_BLOCK = pa.struct([("path", pa.string()), ("text", pa.string())])
+_SEEN = pa.struct([("token", pa.string()), ("n", pa.int32()), ("first", pa.int32()), ("chars", pa.int64()), ("own", pa.int64())])
+
+
+def read_pages(pages: DataFrame) -> DataFrame:
+    """``page_id, url, host, page, own_slot, blocks, tokens`` of every row: each html is read
+    once, and only its text and its tokens go on."""
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches_of(rows, 200):
-            out = []
-            for host, page, html in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                out.append((host, page, "", 1, 0, 0))
-                out += [(host, page, t, n, c, o) for t, (n, c, o) in tokens_of(html or "").items()]
-            kinds = [pa.string(), pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.int64()]
-            columns = list(zip(*out, strict=True)) or [[]] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["host", "page", "token", "n", "chars", "own"])
-
-    page = F.xxhash64("page_id", "url", F.length("html"))
-    return pages.select(_host(F.col("url")).alias("host"), page.alias("page"), "html").mapInArrow(run, "host string, page long, token string, n int, chars long, own long")
+            blocks, tokens, slots = [], [], []
+            for html in b.column(4):
+                own, seen = contents(html.as_py() or "")
+                blocks.append([{"path": p, "text": t} for p, t in own])
+                tokens.append([{"token": t, "n": n, "first": f, "chars": c, "own": o} for t, (n, f, c, o) in seen.items()])
+                slots.append(own_slot(seen))
+            yield pa.RecordBatch.from_arrays(
+                [*b.columns[:4], pa.array(slots, pa.string()), pa.array(blocks, pa.list_(_BLOCK)), pa.array(tokens, pa.list_(_SEEN))],
+                names=["page_id", "url", "host", "page", "own_slot", "blocks", "tokens"],
+            )
+
+    kept = texts_of(pages).select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), _host(F.col("url")).alias("host"), F.xxhash64("page_id", "url", "html").alias("page"), "html")
+    return kept.mapInArrow(
+        run, "page_id long, url string, host string, page long, own_slot string, blocks array<struct<path:string,text:string>>, "
+        "tokens array<struct<token:string,n:int,first:int,chars:long,own:long>>",
+    )
 
 
 def _named(token: Column, name: str) -> Column:
@@ -200,35 +264,42 @@ def _under(token: Column, top: Column) -> Column:
     return F.startswith(F.concat(token, F.lit("/")), F.concat(top, F.lit("/")))
 
 
-def templates(pages: DataFrame) -> DataFrame:
+def templates(read: DataFrame) -> DataFrame:
     """``(host, slot, fixed)``: the main slot of each host's template, and the paths in it whose
     text is the template's; host "*" for all together.
 
     A token's occurrence vector over the pages of its host is known by a sum of hashes of
-    (page, occurrences); tokens of equal vectors are one class.  Classes of two tokens or
-    more on half of the pages are valid; their tokens, which are paths, nest into the
-    template.  Its dense slot is the deepest token that is once on each page and holds most
-    of the text that is not set aside.  The main slot is the template's main or article around
-    the dense slot; without one, the lowest token of the template, once on each page, that holds
-    all text that is not the same on all pages.  Outside the article or, if there is none, the
-    main or the dense slot, text that is the same on half of the pages or more, and differs on
-    none, is the template's.  "*" has no text of its own, so that its slot climbs to main or
-    article only.
+    (page, occurrences); tokens of equal vectors are one class: tags by their paths, and the
+    texts that stand in them.  A class of two tokens or more on half of the pages is valid if
+    its tokens come in one order on all pages; being paths, they nest into the template.  Its
+    dense slot is the deepest tag that is once on each page and holds most of the text that is
+    not set aside.  The main slot is the template's main or article around the dense slot;
+    without one, the lowest tag of the template, once on each page, that holds all text that
+    is not the same on all pages.
+
+    A text that is the same wherever its tag stands, on half of the pages or more, is the
+    template's.  It is left out beside the article or, if there is none, the main or the dense
+    slot; and within them where its tag has a class, which tells it from the article's own
+    text.  "*" has no text of its own, so its slot climbs to main or article only.
     """
-    found = occurrences(pages)
-    each = found.select(F.explode(F.array("host", F.lit("*"))).alias("host"), "page", "token", "n", "chars", "own")
-    vectors = stored(
-        each.groupBy("host", "token").agg(
-            F.sum(F.xxhash64("page", "n").cast("decimal(38,0)")).alias("vector"), F.count("*").alias("pages"), F.max("n").alias("most"), F.sum("chars").alias("chars"),
-            F.min("own").alias("own"), F.max("own").alias("last"),
-        ),
-        "vectors",
+    seen = read.select("host", "page", F.explode("tokens").alias("t")).select("host", "page", "t.*")
+    each = seen.withColumn("host", F.explode(F.array("host", F.lit("*"))))
+    vectors = each.groupBy("host", "token").agg(
+        F.sum(F.xxhash64("page", "n").cast("decimal(38,0)")).alias("vector"), F.count("*").alias("pages"), F.max("n").alias("most"), F.sum("chars").alias("chars"),
+        F.min("own").alias("own"), F.max("own").alias("last"),
     )
-    hosts = vectors.where("token = ''").select("host", F.col("pages").alias("all"))
-    body = vectors.where(~F.contains("token", F.lit("/")) & (F.col("token") != "")).groupBy("host").agg(F.max("chars").alias("text"))
-    valid = vectors.where("token <> ''").join(hosts, "host").where(F.col("pages") >= F.col("all") * SUPPORT)
-    classes = valid.groupBy("host", "vector").agg(F.count("*").alias("tokens")).where("tokens > 1").drop("tokens")
-    template = valid.join(classes, ["host", "vector"]).join(body, "host")
+    vectors = stored(vectors, "vectors")
+    every = F.explode(F.array("host", F.lit("*"))).alias("host")
+    hosts = read.select(every).groupBy("host").agg(F.count("*").alias("all"))
+    body = vectors.where(~F.contains("token", F.lit("/"))).groupBy("host").agg(F.max("chars").alias("text"))
+    likely = vectors.join(hosts, "host").where(F.col("pages") >= F.col("all") * SUPPORT)
+    classes = likely.groupBy("host", "vector").agg(F.count("*").alias("tokens")).where("tokens > 1").drop("tokens")
+    likely = stored(likely.join(classes, ["host", "vector"]), "classes")
+    # In a valid class the tokens come in the same order on every page.
+    placed = each.select("host", "page", "token", "first").join(likely.select("host", "token", "vector"), ["host", "token"])
+    order = placed.groupBy("host", "vector", "page").agg(F.xxhash64(F.transform(F.sort_array(F.collect_set(F.struct("first", "token"))), lambda x: x["token"])).alias("order"))
+    valid = order.groupBy("host", "vector").agg(F.min("order").alias("a"), F.max("order").alias("b")).where("a = b").select("host", "vector")
+    template = likely.join(valid, ["host", "vector"]).join(body, "host")
     slots = template.where((F.col("most") == 1) & (F.col("chars") > 0) & (F.col("chars") >= F.col("text") * SHARE) & ((F.col("all") >= FEW_PAGES) | (F.col("host") == "*")))
     depth = F.size(F.split("token", "/"))
     dense = slots.groupBy("host").agg(F.max(F.struct(depth.alias("d"), "chars", "token")).alias("s")).select("host", F.col("s.token").alias("dense"))
@@ -236,7 +307,7 @@ def templates(pages: DataFrame) -> DataFrame:
 
     # The path that two paths share is shared by all in between, so the first and the last one
     # with text that is not the template's give the node that holds all of them.
-    texts = vectors.where("token <> '' and last <> 0").join(hosts, "host").join(dense, "host")
+    texts = vectors.where("last <> 0").join(hosts, "host").join(dense, "host")
     is_fixed = (F.col("own") == F.col("last")) & (F.col("pages") >= F.col("all") * SUPPORT)
     ends = texts.where(~is_fixed).groupBy("host").agg(F.min(F.concat("token", F.lit("/"))).alias("a"), F.max(F.concat("token", F.lit("/"))).alias("b"))
     around = dense.join(ends, "host", "left")
@@ -251,7 +322,8 @@ def templates(pages: DataFrame) -> DataFrame:
         "host", F.coalesce(named("main"), named("article"), low).alias("slot"), F.coalesce(named("article"), named("main"), F.col("dense")).alias("core")
     )
     rest = texts.where(is_fixed & (F.col("host") != "*")).select("host", "token").join(chosen, "host")
-    rest = rest.where(((F.col("slot") == "") | _under(F.col("token"), F.col("slot"))) & ~_under(F.col("token"), F.col("core")))
+    classed = F.contains(F.element_at(F.split("token", "/"), -1), F.lit(".")) & (F.col("token") != F.col("core"))
+    rest = rest.where(((F.col("slot") == "") | _under(F.col("token"), F.col("slot"))) & (~_under(F.col("token"), F.col("core")) | classed))
     fixed = rest.groupBy("host").agg(F.collect_set("token").alias("fixed"))
     return chosen.join(fixed, "host", "left").select("host", "slot", F.coalesce("fixed", F.array().cast("array<string>")).alias("fixed"))
 
@@ -261,20 +333,18 @@ def extract(pages: DataFrame) -> DataFrame:
 
     The text is that of the page's main slot without what is set aside in it, character
     references decoded, white space within a block as one space, blocks joined by a line
-    feed.  Null and empty pages have an empty text; rows without URL share the host "";
-    repeated rows give repeated results; other columns are ignored.
+    feed.  A page without its host's slot gives its article, main or whole body.  Null and
+    empty pages have an empty text; rows without URL share the host ""; repeated rows give
+    repeated results; other columns are ignored.  The template meets the pages' blocks, never
+    their html, in a join that Spark plans by its size.
     """
-    pages = pages.select("page_id", "url", "html")
-    slots = stored(templates(pages), "slots")
+    read = stored(read_pages(pages), "pages")
+    slots = stored(templates(read), "slots")
     rest = slots.where("host = '*'").first()
-    common = rest.slot if rest else None
-    slots = slots.where("host <> '*'")
-    slots = F.broadcast(slots) if slots.count() <= BROADCAST_HOSTS else slots
-
-    @F.arrow_udf("string")
-    def text(html: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        for pages, slots, fixed in html:
-            yield pa.array([main_text(h.as_py(), s.as_py(), f.as_py() or ()) for h, s, f in zip(pages, slots, fixed, strict=True)], pa.string())
-
-    placed = pages.withColumn("host", _host(F.col("url"))).join(slots, "host", "left").withColumn("slot", F.coalesce("slot", F.lit(common).cast("string")))
-    return placed.select("page_id", "url", text("html", "slot", "fixed").alias("text")).withColumn("n_chars", F.length("text").cast("long"))
+    placed = read.join(slots.where("host <> '*'"), "host", "left").withColumn("slot", F.coalesce("slot", F.lit(rest.slot if rest else None).cast("string")))
+    there = F.exists("tokens", lambda t: t["token"] == F.col("slot"))
+    slot = F.when(there, F.col("slot")).otherwise(F.coalesce("own_slot", F.lit("")))
+    placed = placed.withColumns({"at": slot, "fixed": F.coalesce("fixed", F.array().cast("array<string>"))})
+    inside = lambda b: ((F.col("at") == "") | _under(b["path"], F.col("at"))) & ~F.array_contains("fixed", b["path"])
+    text = F.array_join(F.transform(F.filter("blocks", inside), lambda b: b["text"]), "\n")
+    return placed.select("page_id", "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))
