@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lineagelake.functions import expressions as X
 from lineagelake.functions import kernels as K
-from lineagelake.functions.storage import shared_dir, spread, stored
+from lineagelake.functions.storage import shared_dir, stored
 from lineagelake.operators import abundance, clones, collapse, counting, matrix, simulate, stats
 from lineagelake.plans import relations as R
 from lineagelake.sources import fastq, tables
@@ -93,9 +93,9 @@ def _extracted(rows: DataFrame, barcode: Column) -> DataFrame:
     return counting.count_reads(counting.with_barcode(rows, barcode))
 
 
-@query(_tally("reads", "regexp_extract(seq, 'ATCCTACTTG', 0)", R.READS))
+@query(_tally("reads", "regexp_extract(seq, 'ATCCGTTAGC', 0)", R.READS))
 def extract_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _extracted(R.reads(spark, sf_dir), X.extract(F.col("seq"), "ATCCTACTTG"))
+    return _extracted(R.reads(spark, sf_dir), X.extract(F.col("seq"), "ATCCGTTAGC"))
 
 
 @query(_tally("reads_n", "regexp_extract(seq, 'ACTTGAT.{32}ATCC', 0)", R.READS_N))
@@ -103,22 +103,22 @@ def extract_n_pattern(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _extracted(R.reads_with_n(spark, sf_dir), X.extract(F.col("seq"), "ACTTGAT" + "N" * 32 + "ATCC"))
 
 
-@query(_tally("reads", "right(regexp_extract(seq, '(.*)ATCCTACTTG', 1), 32)", R.READS))
+@query(_tally("reads", "right(regexp_extract(seq, '(.*)ATCCGTTAGC', 1), 32)", R.READS))
 def extract_left(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _extracted(R.reads(spark, sf_dir), X.extract(F.col("seq"), f"*{R.RIGHT}", max_read_length=32))
 
 
-@query(_tally("reads", "regexp_extract(seq, '(.{32})ATCCTACTTG', 1)", R.READS))
+@query(_tally("reads", "regexp_extract(seq, '(.{32})ATCCGTTAGC', 1)", R.READS))
 def extract_left_fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _extracted(R.reads(spark, sf_dir), X.extract(F.col("seq"), f"*{R.RIGHT}", read_length=32))
 
 
-@query(_tally("reads", "regexp_extract(seq, 'GCTACTTGAT(.*)', 1)", R.READS))
+@query(_tally("reads", "regexp_extract(seq, 'TGCACTTGAT(.*)', 1)", R.READS))
 def extract_right(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _extracted(R.reads(spark, sf_dir), X.extract(F.col("seq"), f"{R.LEFT}*"))
 
 
-@query(_tally("reads", "left(regexp_extract(seq, 'GCTACTTGAT(.*)', 1), 32)", R.READS))
+@query(_tally("reads", "left(regexp_extract(seq, 'TGCACTTGAT(.*)', 1), 32)", R.READS))
 def extract_right_trim(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _extracted(R.reads(spark, sf_dir), X.extract(F.col("seq"), f"{R.LEFT}*", max_read_length=32))
 
@@ -128,9 +128,9 @@ def extract_both(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _extracted(R.reads(spark, sf_dir), X.extract(F.col("seq"), FLANKED))
 
 
-@query(f"WITH {R.READS}, m AS (SELECT sample, regexp_extract(seq, 'ACG(.*)ATCCTACTTG', 1) AS b FROM reads) SELECT sample, count(*) AS n_reads FROM m WHERE length(b) BETWEEN 20 AND 40 AND NOT contains(b, 'N') GROUP BY 1")
+@query(f"WITH {R.READS}, m AS (SELECT sample, regexp_extract(seq, 'ACG(.*)ATCCGTTAGC', 1) AS b FROM reads) SELECT sample, count(*) AS n_reads FROM m WHERE length(b) BETWEEN 20 AND 40 AND NOT contains(b, 'N') GROUP BY 1")
 def length_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = counting.with_barcode(R.reads(spark, sf_dir), X.extract(F.col("seq"), "ACG*ATCCTACTTG"), X.length_gate(F.col("barcode"), True, 0, 20, 40))
+    found = counting.with_barcode(R.reads(spark, sf_dir), X.extract(F.col("seq"), "ACG*ATCCGTTAGC"), X.length_gate(F.col("barcode"), True, 0, 20, 40))
     return found.groupBy("sample").agg(F.count("*").alias("n_reads"))
 
 
@@ -334,30 +334,30 @@ def reference_exact_list(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {R.READS_N}, {R.parents()} SELECT sample, p.name AS barcode, count(*) AS counts FROM reads_n r JOIN parents p ON contains(r.seq, p.seq) WHERE NOT contains(r.seq, 'N') GROUP BY 1, 2")
 def reference_exact_dict(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = {s: f"clone_{k}" for k, s in enumerate(R.parent_list())}
-    found = counting.with_barcode(spread(R.reads_with_n(spark, sf_dir).select("sample", "seq")), K.find_listed(F.col("seq"), list(names)))
+    found = counting.with_barcode(R.reads_with_n(spark, sf_dir).select("sample", "seq"), K.find_listed(F.col("seq"), list(names)))
     return counting.count_reads(counting.named(found, counting.names_table(spark, names)))
 
 
 @query(f"WITH {R.READS}, {R.parents()} SELECT sample, p.name AS barcode, count(*) AS counts FROM reads r JOIN parents p ON hamming(r.barcode_true, p.seq) <= 1 GROUP BY 1, 2")
 def reference_approx(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = {s: f"clone_{k}" for k, s in enumerate(R.parent_list())}
-    found = counting.with_barcode(spread(R.reads(spark, sf_dir).select("sample", "seq")), K.find_near(F.col("seq"), list(names), 1))
+    found = counting.with_barcode(R.reads(spark, sf_dir).select("sample", "seq"), K.find_near(F.col("seq"), list(names), 1))
     return counting.count_reads(counting.named(found, counting.names_table(spark, names)))
 
 
-@query(_tally("reads", "right(regexp_extract(seq, '^(.*?)ATCCTACTTG', 1), 32)", R.READS))
+@query(_tally("reads", "right(regexp_extract(seq, '^(.*?)ATCCGTTAGC', 1), 32)", R.READS))
 def adapter_trim_3p(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _extracted(spread(R.reads(spark, sf_dir).select("sample", "seq")), K.trim(F.col("seq"), f"*{R.RIGHT}", 0.1, max_read_length=32))
+    return _extracted(R.reads(spark, sf_dir).select("sample", "seq"), K.trim(F.col("seq"), f"*{R.RIGHT}", 0.1, max_read_length=32))
 
 
-@query(_tally("reads", "left(regexp_extract(seq, '^.*?GCTACTTGAT(.*)$', 1), 32)", R.READS))
+@query(_tally("reads", "left(regexp_extract(seq, '^.*?TGCACTTGAT(.*)$', 1), 32)", R.READS))
 def adapter_trim_5p(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _extracted(spread(R.reads(spark, sf_dir).select("sample", "seq")), K.trim(F.col("seq"), f"{R.LEFT}*", 0.1, max_read_length=32))
+    return _extracted(R.reads(spark, sf_dir).select("sample", "seq"), K.trim(F.col("seq"), f"{R.LEFT}*", 0.1, max_read_length=32))
 
 
-@query(_tally("reads", "regexp_extract(seq, '^.*?GCTACTTGAT(.*?)ATCCTACTTG', 1)", R.READS))
+@query(_tally("reads", "regexp_extract(seq, '^.*?TGCACTTGAT(.*?)ATCCGTTAGC', 1)", R.READS))
 def adapter_linked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _extracted(spread(R.reads(spark, sf_dir).select("sample", "seq")), K.trim(F.col("seq"), FLANKED, 0.1))
+    return _extracted(R.reads(spark, sf_dir).select("sample", "seq"), K.trim(F.col("seq"), FLANKED, 0.1))
 
 
 # -- files -----------------------------------------------------------------------------
@@ -384,7 +384,7 @@ def reference_fasta_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{_run_folder(spark)}/parents.fasta"
     tables.write_fasta(spark.createDataFrame([(s,) for s in R.parent_list()], "barcode string"), folder)
     names = tables.read_reference(spark, folder)
-    found = counting.with_barcode(spread(R.reads_with_n(spark, sf_dir).select("sample", "seq")), K.find_listed(F.col("seq"), list(names)))
+    found = counting.with_barcode(R.reads_with_n(spark, sf_dir).select("sample", "seq"), K.find_listed(F.col("seq"), list(names)))
     return counting.count_reads(counting.named(found, counting.names_table(spark, names)))
 
 

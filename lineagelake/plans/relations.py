@@ -6,9 +6,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lineagelake.functions.storage import ship
+from lineagelake.functions.storage import ship, spread
 
-LEFT, RIGHT = "GCTACTTGAT", "ATCCTACTTG"
+LEFT, RIGHT = "TGCACTTGAT", "ATCCGTTAGC"
 
 
 def dna(x: Column) -> Column:
@@ -35,8 +35,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One read per line item: 50 barcodes, and a mutant of each, between fixed flanks."""
-    t = table(spark, sf_dir, "lineitem")
+    """One read per line item: 50 barcodes, and a mutant of each, between fixed flanks.  The
+    table may be one row group, which one task would turn into reads; hence ``spread``."""
+    used = ("l_partkey", "l_orderkey", "l_linenumber", "l_returnflag", "l_linestatus", "l_quantity", "l_suppkey")
+    t = spread(table(spark, sf_dir, "lineitem").select(*used))
     parent = dna(F.col("l_partkey") % 50)
     mutant = F.concat(F.substring(parent, 1, 4), F.translate(F.substring(parent, 5, 1), "ACGT", "CGTA"), F.substring(parent, 6, 27))
     p, q = dna(F.col("l_orderkey")), qual(F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey"))
