@@ -31,6 +31,12 @@ def qc_pass_ints(qual: Column, threshold: int, percentage: float) -> Column:
     return F.coalesce(100.0 * good / F.nullif(F.size(qual), F.lit(0)) >= percentage, F.lit(False))
 
 
+def made_once(c: Column) -> Column:
+    """``c``, made once for each row: Spark would write a column out again in every later filter
+    that uses it.  One that depends on a row's place, if only where it is null, stays."""
+    return F.coalesce(c, F.when(F.monotonically_increasing_id() < 0, c))
+
+
 @dataclass(frozen=True)
 class Pattern:
     """A barcode pattern: literal, with N for any base, or with one * for the barcode."""

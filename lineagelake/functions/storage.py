@@ -76,9 +76,14 @@ def numbered(df: DataFrame, order: list[str], name: str = "n") -> DataFrame:
 
 def spread(df: DataFrame) -> DataFrame:
     """``df`` over as many partitions as there are cores, if it has fewer: for rows of a few
-    large or compressed files that go through Python."""
+    large or compressed files with much work on each row.  Spark would move a later filter
+    with that work back before the exchange; columns that depend on a row's place stay
+    behind it, and so does what is made of them."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    if df.rdd.getNumPartitions() >= cores:
+        return df
+    here = F.monotonically_increasing_id() >= 0  # true
+    return df.repartition(cores).select(*[F.when(here, F.col(f"`{c}`")).alias(c) for c in df.columns])
 
 
 def free(*frames: DataFrame) -> None:

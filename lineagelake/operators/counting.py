@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lineagelake.functions.expressions import made_once
+
 
 def paired(r1: DataFrame, r2: DataFrame, keys: Sequence[str] = ("sample", "ord")) -> DataFrame:
     """Read pairs by ordinal, with ``r1`` and ``r2`` as structs; reads without a mate go."""
@@ -22,7 +24,7 @@ def whitelisted(reads: DataFrame, whitelist: DataFrame, column: str = "cell") ->
 
 def with_barcode(reads: DataFrame, barcode: Column, keep: Column | None = None) -> DataFrame:
     """``reads`` with a ``barcode``; reads without one go."""
-    out = reads.withColumn("barcode", barcode).where(F.length("barcode") > 0)
+    out = reads.withColumn("barcode", barcode if reads.isStreaming else made_once(barcode)).where(F.length("barcode") > 0)
     return out if keep is None else out.where(keep)
 
 
