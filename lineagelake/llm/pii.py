@@ -120,31 +120,31 @@ def with_base(docs: DataFrame, contexts: bool = False) -> DataFrame:
 def _candidates(based: DataFrame) -> DataFrame:
     """What patterns may extract, with its contexts as patterns: base entities (known), and
     tokens with a digit or @ and runs of groups of digits that no base entity touches:
-    ``(doc, h, start, end, inst, known, patterns)``.  Groups of under four digits in a run are
+    ``(__doc, __h, start, end, inst, known, patterns)``.  Groups of under four digits in a run are
     no candidates of their own."""
     matches, gaps = _found(F.col("text"), _CANDIDATE)
     runs, between = _found(F.col("text"), _GROUPS)
-    rows = based.where(F.col("text").rlike("[0-9@]")).select("doc", "h", "base", "seen", matches.alias("m"), gaps.alias("g"), runs.alias("rm"), between.alias("rg"))
-    rows = rows.select("doc", "h", "base", "seen", "m", "g", "rm", "rg", _placed(F.col("m"), F.col("g"), 0, OTHER).alias("s"), _placed(F.col("rm"), F.col("rg"), 0, OTHER).alias("rs"))
+    rows = based.where(F.col("text").rlike("[0-9@]")).select("__doc", "__h", "base", "seen", matches.alias("m"), gaps.alias("g"), runs.alias("rm"), between.alias("rg"))
+    rows = rows.select("__doc", "__h", "base", "seen", "m", "g", "rm", "rg", _placed(F.col("m"), F.col("g"), 0, OTHER).alias("s"), _placed(F.col("rm"), F.col("rg"), 0, OTHER).alias("rs"))
     free = lambda x, of="base": ~F.exists(of, lambda b: (b["start"] < x["end"]) & (b["end"] > x["start"]))
     tokens = F.filter(
         F.transform("s", lambda s, i: _around(s, F.get("m", i), F.col("g"), i, False)), lambda x: ((F.length(_digits(x["inst"])) >= 4) | free(x, "rs")) & free(x)
     )
     grouped = F.filter(F.transform("rs", lambda s, i: _around(s, F.get("rm", i), F.col("rg"), i, False)), lambda x: free(x))
-    rows = rows.select("doc", "h", F.explode(F.concat("seen", tokens, grouped)).alias("x")).select("doc", "h", "x.*")
+    rows = rows.select("__doc", "__h", F.explode(F.concat("seen", tokens, grouped)).alias("x")).select("__doc", "__h", "x.*")
     word = lambda side: F.lower(F.regexp_replace(side, r"[^\p{L}=:#_]", ""))
     parts = lambda side: F.split(F.trim(F.regexp_replace(side, r"\s+", " ")), " ")
     lead = F.when(F.col("known"), 0).otherwise(F.length(F.regexp_extract("inst", r"^[^\p{L}0-9+@]*", 0)))
     inst = F.when(F.col("known"), F.col("inst")).otherwise(F.regexp_replace("inst", r"^[^\p{L}0-9+@]+|[^\p{L}0-9]+$", ""))
     start = F.col("start") + lead
     rows = rows.select(
-        "doc", "h", start.alias("start"), (start + F.length(inst)).alias("end"), inst.alias("inst"), "known",
+        "__doc", "__h", start.alias("start"), (start + F.length(inst)).alias("end"), inst.alias("inst"), "known",
         word(F.try_element_at(parts(F.col("left")), F.lit(-1))).alias("l1"), word(F.try_element_at(parts(F.col("left")), F.lit(-2))).alias("l2"),
         word(F.get(parts(F.col("right")), F.lit(0))).alias("r1"),
     ).where(F.col("known") | F.col("inst").rlike("[0-9@]"))
     pattern = lambda kind, *c: F.when(reduce(lambda a, b: a & b, [F.length(x) > 0 for x in c]), F.concat_ws(" ", F.lit(kind), *c))
     patterns = F.array_compact(F.array(pattern("L", F.col("l1")), pattern("LL", F.col("l2"), F.col("l1")), pattern("LR", F.col("l1"), F.col("r1"))))
-    return rows.select("doc", "h", "start", "end", "inst", "known", patterns.alias("patterns"))
+    return rows.select("__doc", "__h", "start", "end", "inst", "known", patterns.alias("patterns"))
 
 
 def discovered(candidates: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -176,15 +176,15 @@ def discovered(candidates: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def _hits(candidates: DataFrame) -> DataFrame:
-    """``(doc, h, more)``: where discovered identifiers stand, as structs ``start, end`` by
+    """``(__doc, __h, more)``: where discovered identifiers stand, as structs ``start, end`` by
     start, overlapping ones as one.  An identifier of six characters or more with four digits
     or @ counts wherever it stands; others, which occur by chance, under a trusted pattern."""
     accepted, trusted = discovered(candidates)
     found = candidates.where("not known").join(accepted, "inst")
     distinct = (F.length("inst") >= 6) & ((F.length(_digits(F.col("inst"))) >= 4) | F.contains("inst", F.lit("@")))
     under = found.where(~distinct).withColumn("pattern", F.explode("patterns")).join(trusted, "pattern", "left_semi")
-    spans = found.where(distinct).select("doc", "h", "start", "end").union(under.select("doc", "h", "start", "end"))
-    grouped = spans.groupBy("doc", "h").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("more"))
+    spans = found.where(distinct).select("__doc", "__h", "start", "end").union(under.select("__doc", "__h", "start", "end"))
+    grouped = spans.groupBy("__doc", "__h").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("more"))
     last = lambda acc: F.try_element_at(acc, F.lit(-1))
     joined = F.aggregate(
         "more", F.array().cast("array<struct<start:int,end:int>>"),
@@ -197,7 +197,7 @@ def _hits(candidates: DataFrame) -> DataFrame:
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.withColumns({"doc": F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "h": F.xxhash64(F.lit(7), "text")})
+    return docs.withColumns({"__doc": F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "__h": F.xxhash64(F.lit(7), "text")})
 
 
 def find_spans(docs: DataFrame) -> DataFrame:
@@ -205,10 +205,9 @@ def find_spans(docs: DataFrame) -> DataFrame:
     structs ``start, ord, kind, end`` (code points, end exclusive).  Null and empty texts have
     none; repeated rows each have theirs; other columns are ignored."""
     based = with_base(_keyed(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))), contexts=True)
-    candidates = stored(_candidates(based), "candidates")
     spans = F.transform("more", lambda s: F.struct(s["start"].alias("start"), F.lit(len(KINDS)).alias("ord"), F.lit(OTHER).alias("kind"), s["end"].alias("end")))
-    more = _hits(candidates).withColumn("more", spans)
-    return based.select("doc_id", "doc", "h", "base").join(more, ["doc", "h"], "left").select("doc_id", "base", F.coalesce("more", F.array().cast(_SPANS)).alias("more"))
+    more = _hits(stored(_candidates(based), "candidates")).withColumn("more", spans)
+    return based.select("doc_id", "__doc", "__h", "base").join(more, ["__doc", "__h"], "left").select("doc_id", "base", F.coalesce("more", F.array().cast(_SPANS)).alias("more"))
 
 
 def as_text(spans: Column) -> Column:
@@ -217,7 +216,8 @@ def as_text(spans: Column) -> Column:
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    """Counts of base entities, hash of their places, and all spans, per row of ``docs``."""
+    """Counts of base entities, hash of their places, and all spans, per row of ``docs``.  Null
+    and empty texts have none of them; repeated rows each have theirs."""
     return find_spans(docs).select(
         "doc_id", *[_count(kind) for kind in KINDS], F.sha2(as_text(F.col("base")), 256).alias("base_sha256"), as_text(F.array_sort(F.concat("base", "more"))).alias("spans")
     )
@@ -232,11 +232,12 @@ def _replaced(text: Column, kind: str) -> Column:
 
 def redact(docs: DataFrame) -> DataFrame:
     """``docs`` with personal data replaced by [EMAIL], [IP], [CARD], [PHONE] and [ID] in
-    ``text``; all other columns and rows stay.  Null texts stay null."""
+    ``text``; all other columns and rows stay, repeated ones too.  Null texts stay null."""
     keyed = _keyed(docs)
-    candidates = stored(_candidates(with_base(keyed.select("doc_id", "doc", "h", F.coalesce("text", F.lit("")).alias("text")), contexts=True)), "candidates")
+    based = with_base(keyed.select("__doc", "__h", F.coalesce("text", F.lit("")).alias("text")), contexts=True)
+    candidates = stored(_candidates(based), "candidates")
     more = _hits(candidates).withColumnRenamed("more", "__more")
-    out = keyed.join(more, ["doc", "h"], "left")
+    out = keyed.join(more, ["__doc", "__h"], "left")
     cut = F.aggregate(
         F.reverse("__more"), F.col("text"),
         lambda acc, s: F.concat(F.substring(acc, F.lit(1), s["start"]), F.lit("[ID]"), F.substring(acc, s["end"] + 1, F.length(acc))),
