@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import free, stored, texts_of
+
 #: Characters of a q-gram and of a benchmark window, distance of two windows' starts, share
 #: of a window's characters that edits may touch, shortest item that may be edited, and
 #: characters of benchmark text that one pass broadcasts.
@@ -190,16 +192,20 @@ class Index:
 
 def _aligned(pieces: np.ndarray, regions: np.ndarray, budget: int) -> list[tuple[int, int, int, int]]:
     """``(row, start, end, edits)`` of the best occurrence of each row of ``pieces`` in the same
-    row of ``regions``, for rows with one of at most ``budget`` edits."""
+    row of ``regions``, for rows with one of at most ``budget`` edits.
+
+    Banded: only the diagonals from the region's start to where the piece just fits are filled,
+    so a row of the table is as long as the region is longer than the piece.
+    """
+    width = pieces.shape[1]
+    steps = np.arange(regions.shape[1] - width + 1, dtype=np.int32)
     alive = np.arange(len(pieces))
-    steps = np.arange(regions.shape[1] + 1, dtype=np.int32)
     row = np.zeros((len(pieces), len(steps)), np.int32)
     start = np.repeat(steps[None], len(pieces), 0)
-    for i in range(pieces.shape[1]):
-        diag, up = row[:, :-1] + (regions != pieces[:, i : i + 1]), row[:, 1:] + 1
-        best, frm = np.empty_like(row), np.empty_like(start)
-        best[:, 0], frm[:, 0] = i + 1, 0
-        best[:, 1:], frm[:, 1:] = np.minimum(diag, up), np.where(diag <= up, start[:, :-1], start[:, 1:])
+    for i in range(width):
+        best, frm = row + (regions[:, i : i + len(steps)] != pieces[:, i : i + 1]), start.copy()
+        less = row[:, 1:] + 1 < best[:, :-1]  # a character of the piece is missing
+        best[:, :-1], frm[:, :-1] = np.where(less, row[:, 1:] + 1, best[:, :-1]), np.where(less, start[:, 1:], frm[:, :-1])
         best -= steps
         left = np.minimum.accumulate(best, 1)
         src = np.maximum.accumulate(np.where(best == left, steps, 0), 1)
@@ -210,7 +216,7 @@ def _aligned(pieces: np.ndarray, regions: np.ndarray, budget: int) -> list[tuple
             if not len(alive):
                 return []
     ends = row.argmin(1)
-    return [(int(n), int(start[x, end]), int(end), int(row[x, end])) for x, (n, end) in enumerate(zip(alive, ends, strict=True))]
+    return [(int(n), int(start[x, end]), int(end) + width, int(row[x, end])) for x, (n, end) in enumerate(zip(alive, ends, strict=True))]
 
 
 def _original(text: str, spans: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int]]:
@@ -243,7 +249,25 @@ def blocks(benchmark: DataFrame, chars: int = BLOCK) -> Iterator[list[tuple[int,
         yield [(r.item_id, r.text) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == i).collect()]
 
 
-def with_matches(docs: DataFrame, benchmark: DataFrame, column: str = "matches") -> DataFrame:
+def _searcher(shared):
+    """A column function from text to matches with the items of the broadcast ``shared``."""
+    index: list[Index] = []
+
+    @F.arrow_udf(MATCHES)
+    def search(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        if not index:
+            index.append(Index(shared.value))
+        for s in texts:
+            out = []
+            for t in (x.as_py() for x in s):
+                found = index[0].matches(normal(t))
+                out.append([dict(zip(("item_id", "start", "end", "edits"), m, strict=True)) for m in _original(t, found)] if found else [])
+            yield pa.array(out, _ARROW)
+
+    return search
+
+
+def with_matches(docs: DataFrame, benchmark: DataFrame, column: str = "matches", chars: int = BLOCK) -> DataFrame:
     """``docs`` and a column of the benchmark windows found in each whole text, as structs
     ``item_id, start, end`` (code points of the text, end exclusive) and ``edits``.
 
@@ -251,33 +275,26 @@ def with_matches(docs: DataFrame, benchmark: DataFrame, column: str = "matches")
     matches with up to a sixteenth of its characters edited, case and white space aside.  Items
     of under 24 characters match whole, unedited and between word boundaries.  Of windows
     found side by side the first, one for each 32 characters and the last are returned.  Null
-    texts match nothing.  A larger benchmark takes more passes over the texts, never a larger
-    broadcast.  Nothing is shuffled.
+    texts match nothing; repeated rows each have their matches.  A larger benchmark takes more
+    passes over the texts, one after the other for ``chars`` characters of it, never a larger broadcast or index.  Nothing is
+    shuffled.
     """
-    out = docs.withColumn(column, F.array().cast(MATCHES))
-    for items in blocks(benchmark):
+    out, last = texts_of(docs).withColumn(column, F.array().cast(MATCHES)), None
+    for k, items in enumerate(blocks(benchmark, chars)):
+        if k:  # one block's index at a time in a worker's memory
+            before, last, out = last, *[stored(out, "searched")] * 2
+            if before is not None:
+                free(before)
         shared = docs.sparkSession.sparkContext.broadcast(items)
-        index: list[Index] = []
-
-        @F.arrow_udf(MATCHES)
-        def search(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-            if not index:
-                index.append(Index(shared.value))
-            for s in texts:
-                out = []
-                for t in (x.as_py() for x in s):
-                    found = index[0].matches(normal(t))
-                    out.append([dict(zip(("item_id", "start", "end", "edits"), m, strict=True)) for m in _original(t, found)] if found else [])
-                yield pa.array(out, _ARROW)
-
-        out = out.withColumn(column, F.concat(column, search("text")))
+        out = out.withColumn(column, F.concat(column, _searcher(shared)("text")))
     return out
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row for every document that holds benchmark text: ``doc_id, contaminated`` (true),
     ``n_items, item_ids`` (sorted, joined by commas), ``n_windows`` and ``spans``
-    (``item:start:end:edits``, by start, joined by commas).  Clean documents have no row."""
+    (``item:start:end:edits``, by start, joined by commas).  Clean documents have no row, nor
+    have null and empty texts; repeated rows each have one."""
     found = with_matches(docs.select("doc_id", "text"), benchmark).drop("text").where(F.size("matches") > 0)
     ids = F.array_sort(F.array_distinct(F.transform("matches", lambda m: m["item_id"])))
     ordered = F.array_sort(F.transform("matches", lambda m: F.struct(m["start"].alias("s"), m["end"].alias("e"), m["item_id"].alias("i"), m["edits"].alias("n"))))
@@ -289,5 +306,6 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` without benchmark text, all columns."""
+    """The rows of ``docs`` without benchmark text, all columns.  Rows with null or empty texts
+    stay; repeated rows go or stay together."""
     return with_matches(docs, benchmark, "__matches").where(F.size("__matches") == 0).drop("__matches")
