@@ -137,6 +137,8 @@ def near_vectors(
             batch = batch.filter(pa.array(same))
             good = np.zeros(batch.num_rows, bool)
             for (at, x), (_, y) in zip(_matrix(batch.column(2)), _matrix(batch.column(3)), strict=True):
+                # Scaled, so that squares of the largest and smallest doubles stay in range.
+                x, y = x / np.abs(x).max(1, keepdims=True), y / np.abs(y).max(1, keepdims=True)
                 dot = np.einsum("ij,ij->i", x, y)
                 good[at] = dot >= cosine * np.sqrt(np.einsum("ij,ij->i", x, x) * np.einsum("ij,ij->i", y, y))
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(good)) for c in batch.columns[:2]], names=["a", "b"])
