@@ -12,9 +12,9 @@ from .common import stored
 #: Host, path prefix, verdict.
 FIXED = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 _BLOCK, _ALLOW = "=block", "=allow"
-#: A mined rule holds for so many labelled URLs and such a share of all, and its share of
-#: blocked ones is so large even at the lower end of its 95 % interval.
-LEAST_URLS, LEAST_SUPPORT, LEAST_CONFIDENCE = 20, 0.002, 0.5
+#: A mined rule holds for so many labelled URLs and such a share of all, and blocks so many
+#: times as often as URLs at large, even at the lower end of its confidence's 95 % interval.
+LEAST_URLS, LEAST_SUPPORT, LEAST_LIFT = 20, 0.002, 1.5
 
 
 def _lower(c: Column) -> Column:
@@ -41,31 +41,53 @@ def fixed_rule() -> tuple[Column, Column]:
 
 
 def tokens() -> Column:
-    """Distinct tokens of a URL: host labels, words of host and path; numbers are left out."""
+    """Distinct tokens of a URL: labels of the host, words of the path; numbers are left out."""
     part = lambda c, sep, mark: F.transform(F.split(F.lower(c), sep), lambda t: F.concat(F.lit(mark), t))
-    all_ = F.concat(part(F.col("host"), r"\.", "h:"), part(F.col("host"), r"[^a-z0-9]+", "w:"), part(F.col("path"), r"[^a-z0-9]+", "p:"))
+    all_ = F.concat(part(F.col("host"), r"\.", "h:"), part(F.col("path"), r"[^\p{L}0-9]+", "p:"))
     return F.array_distinct(F.filter(all_, lambda t: ~t.rlike(r"^.:[0-9]*$")))
 
 
-def mine(labelled: DataFrame, support: float = LEAST_SUPPORT, urls: int = LEAST_URLS, confidence: float = LEAST_CONFIDENCE) -> DataFrame:
-    """``(rule_id, antecedent, confidence, support)`` from rows ``tokens, blocked``.
+def _together(labelled: DataFrame) -> DataFrame:
+    """``(token, head)``: tokens that stand in the same labelled URLs, by the first of them.
+    They say the same, so the miner sees one item for all: k of them would make 2^k sets."""
+    urls = labelled.select(F.monotonically_increasing_id().alias("u"), "tokens")
+    where = urls.select("u", F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("n"), F.sum(F.xxhash64("u").cast("decimal(38,0)")).alias("where"))
+    heads = where.groupBy("n", "where").agg(F.min("token").alias("head"))
+    return where.join(heads, ["n", "where"]).select("token", "head")
+
+
+def mine(labelled: DataFrame, support: float = LEAST_SUPPORT, urls: int = LEAST_URLS, lift: float = LEAST_LIFT) -> DataFrame:
+    """``(rule_id, antecedent, confidence, support, lift)`` from rows ``tokens, blocked``.
 
     FP-growth mines the frequent combinations of tokens with a verdict among the items; rules
     towards block stay if enough URLs carry them and the lower end of the confidence's Wilson
-    interval is high enough.  A rule with a shorter one inside that is as good is dropped by
-    taking, per set, only what it adds: rules are matched by containment, so it adds nothing.
+    interval is ``lift`` times the share of blocked URLs.  A rule that contains a shorter kept
+    one matches nothing more, and goes.  Rows without tokens count in the shares only; labels
+    that have nothing to do with the URLs give no rule.
     """
-    n = labelled.count()
-    if not n:
-        return labelled.sparkSession.createDataFrame([], "rule_id long, antecedent array<string>, confidence double, support double")
-    items = labelled.select(F.array_append("tokens", F.when(F.col("blocked"), _BLOCK).otherwise(_ALLOW)).alias("items"))
-    model = FPGrowth(itemsCol="items", minSupport=min(1.0, max(support, urls / n)), minConfidence=confidence).fit(items)
+    spark = labelled.sparkSession
+    n, blocked = labelled.agg(F.count("*"), F.count_if("blocked")).first()
+    if not blocked:
+        return spark.createDataFrame([], "rule_id long, antecedent array<string>, confidence double, support double, lift double")
+    base = blocked / n
+    same = stored(_together(labelled), "together")
+    rows = labelled.withColumn("u", F.monotonically_increasing_id()).select("u", "blocked", F.explode_outer("tokens").alias("token")).join(same, "token", "left")
+    verdict = F.when(F.first("blocked"), _BLOCK).otherwise(_ALLOW)
+    items = stored(rows.groupBy("u").agg(F.array_append(F.collect_set("head"), verdict).alias("items")), "items")
+    model = FPGrowth(itemsCol="items", minSupport=min(1.0, max(support, urls / n)), minConfidence=min(1.0, lift * base)).fit(items)
     rules = model.associationRules.where((F.element_at("consequent", 1) == _BLOCK) & ~F.array_contains("antecedent", _ALLOW))
     hits = F.col("support") * n
     z, total = 1.96, hits / F.col("confidence")
     low = (F.col("confidence") + z * z / (2 * total) - z * F.sqrt(F.col("confidence") * (1 - F.col("confidence")) / total + z * z / (4 * total * total))) / (1 + z * z / total)
-    kept = rules.where((hits >= urls) & (low >= confidence))
-    return kept.select(F.xxhash64(F.sort_array("antecedent")).alias("rule_id"), "antecedent", "confidence", "support")
+    kept = rules.where((total >= urls) & (low >= lift * base))
+    kept = kept.select(F.xxhash64(F.sort_array("antecedent")).alias("rule_id"), "antecedent", "confidence", "support", (F.col("confidence") / base).alias("lift"))
+    kept = stored(kept, "rules")
+    inside = kept.select(F.col("antecedent").alias("short"), F.array_min("antecedent").alias("token"))
+    longer = kept.select("rule_id", "antecedent", F.explode("antecedent").alias("token")).join(inside, "token")
+    longer = longer.where((F.size("short") < F.size("antecedent")) & (F.size(F.array_except("short", "antecedent")) == 0))
+    kept = kept.join(longer.select("rule_id").distinct(), "rule_id", "left_anti")
+    spelt = kept.select("rule_id", "confidence", "support", "lift", F.explode("antecedent").alias("head")).join(same, "head")
+    return spelt.groupBy("rule_id").agg(F.sort_array(F.collect_set("token")).alias("antecedent"), *[F.first(c).alias(c) for c in ("confidence", "support", "lift")])
 
 
 def matched(urls: DataFrame, rules: DataFrame) -> DataFrame:
@@ -95,8 +117,9 @@ def judge(pages: DataFrame, labels: DataFrame, **options) -> DataFrame:
     known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     taught = parts.where("url is not null").join(known, parts["page_id"] == known["doc_id"]).select("tokens", (F.col("quality") == 0).alias("blocked"))
     rules = stored(mine(stored(taught, "taught"), **options), "rules")
-    open_ = parts.where("said is null and url is not null").groupBy("url").agg(F.first("tokens").alias("tokens"))
+    undecided = F.col("said").isNull() & F.col("url").isNotNull()
+    open_ = parts.where(undecided).groupBy("url").agg(F.first("tokens").alias("tokens"))
     hit = matched(stored(open_, "urls"), rules).withColumn("hit", F.lit("block"))
-    return parts.join(hit, "url", "left").select(
-        "page_id", "host", "path", "rule", F.coalesce("said", "hit", F.lit("allow")).alias("verdict")
-    )
+    columns = ("page_id", "host", "path", "rule")
+    judged = parts.where(undecided).join(hit, "url", "left").select(*columns, F.coalesce("hit", F.lit("allow")).alias("verdict"))
+    return judged.union(parts.where(~undecided).select(*columns, F.coalesce("said", F.lit("allow")).alias("verdict")))
