@@ -4,11 +4,12 @@ and a versioned map from slot to shard is stored, and edited to rebalance."""
 from __future__ import annotations
 
 import heapq
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import shared_dir, stored
 
 #: Number of slots.  It never changes, so a record's slot never does.
 SLOTS = 8192
@@ -72,33 +73,45 @@ def rebalance(old: dict[int, int], sizes: dict[int, tuple[int, int]], shards: in
 
 def write_map(spark: SparkSession, path: str, version: int, slots: dict[int, int]) -> None:
     """Store a map as ``path/version=N``; a version that exists is not overwritten."""
-    spark.createDataFrame(sorted(slots.items()), "virtual_slot int, shard int").coalesce(1).write.mode("errorifexists").parquet(f"{path}/version={version}")
+    entries = ",".join(f'{{"virtual_slot":{s},"shard":{k}}}' for s, k in sorted(slots.items()))
+    rows = spark.range(1).select(F.inline(F.from_json(F.lit(f"[{entries}]"), "array<struct<virtual_slot:int,shard:int>>")))
+    rows.write.mode("errorifexists").parquet(f"{path}/version={version}")
 
 
 def read_map(spark: SparkSession, path: str, version: int) -> dict[int, int]:
     return {r.virtual_slot: r.shard for r in spark.read.parquet(f"{path}/version={version}").collect()}
 
 
-def shard(docs: DataFrame, shards: int = 24, slots: int = SLOTS, slot_map: dict[int, int] | None = None) -> DataFrame:
+def latest(spark: SparkSession, path: str) -> int:
+    """The last version of the map at ``path``; 0 if there is none."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/version=*")
+    found = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(where)
+    return max((int(x.getPath().getName().split("=")[1]) for x in found or ()), default=0)
+
+
+def shard(docs: DataFrame, shards: int = 24, slots: int = SLOTS, map_path: str | None = None) -> DataFrame:
     """Put every row of ``docs`` into one of ``shards`` shards of nearly equal bytes.
 
     Returns ``doc_id, size, text_crc32, law`` ("bytes"), ``shard, slot`` (the row's place in
     its shard, gapless from 0), ``grown_shard`` (null under this law) and ``virtual_slot``.
-    With ``slot_map`` that map is used, and edited for slots that it lacks.
+    The map of slots to shards is stored at ``map_path`` (if none is given, in the folder of the
+    run) as its next version, an edited copy of the last one where there is one, and the rows
+    are placed by the map as it is read back.
 
-    Only the sums of the slots, whose number is fixed, reach the driver and are broadcast.
+    Only the sums of the slots, whose number is fixed, reach the driver.
     A row's place is its rank within its slot plus the rows of the shard's earlier slots, so
     no task gathers a shard.  Equal texts and repeated rows are rows like others.
     """
     spark = docs.sparkSession
     rows = stored(slotted(docs, slots), "slotted")
     sizes = slot_sizes(rows)
-    where = assign(sizes, shards) if slot_map is None else rebalance(slot_map, sizes, shards)
-    before, placed = dict.fromkeys(range(shards), 0), []
-    for s in sorted(sizes):
-        placed.append((s, where[s], before[where[s]]))
-        before[where[s]] += sizes[s][1]
-    table = spark.createDataFrame(placed, "virtual_slot int, shard int, before long")
+    path = map_path or f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/slot-map-{uuid.uuid4().hex}"
+    version = latest(spark, path)
+    write_map(spark, path, version + 1, rebalance(read_map(spark, path, version), sizes, shards) if version else assign(sizes, shards))
+    slot_map = spark.read.parquet(f"{path}/version={version + 1}")
+    counted = rows.groupBy("virtual_slot").agg(F.count("*").alias("n")).join(slot_map, "virtual_slot")  # a row for each slot
+    earlier = Window.partitionBy("shard").orderBy("virtual_slot").rowsBetween(Window.unboundedPreceding, -1)
+    table = counted.select("virtual_slot", "shard", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
     rank = F.row_number().over(Window.partitionBy("virtual_slot").orderBy("doc_id", "text_crc32", "size"))
     return rows.withColumn("rank", rank).join(F.broadcast(table), "virtual_slot").select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("before") + F.col("rank") - 1).cast("long").alias("slot"),
