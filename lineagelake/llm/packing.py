@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from bisect import bisect_right
@@ -12,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches_of, stored
+from .common import batches_of, stored, texts_of
 
 #: A row of the plan: length, first rank of that length, ranks, uses in a sequence, first
 #: sequence, offset in it.
@@ -96,9 +97,16 @@ def best_two_fit(counts: dict[int, int], capacity: int) -> list[Segment]:
 _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,%#*&$!?;:|/()-]*)")
 
 
+#: How a tokenizer must normalise and split texts so that words can be looked up
+#: by themselves.
+_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_NORMAL = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+
+
 class _Words:
     """Ids of white-space separated words, as little-endian 32-bit bytes, remembered by word
-    and by piece.  Both memories are emptied once they are large."""
+    and by piece.  Both memories are emptied once they are large.  A tokenizer of another kind
+    than ``_SPLIT`` and ``_NORMAL`` say encodes whole texts, without any memory."""
 
     MOST, MARK = 250_000, "<|startoftext|>"
 
@@ -107,11 +115,16 @@ class _Words:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.mark = self.tokenizer.token_to_id(self.MARK)
+        told = json.loads(self.tokenizer.to_str())
+        splits = (told["pre_tokenizer"] or {}).get("pretokenizers") or [{}]
+        self.by_word = (told["normalizer"] or {}).get("normalizers") == _NORMAL and splits[0].get("pattern") == {"Regex": _SPLIT} and splits[0].get("behavior") == "Removed"
         self.words: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {"": b""}
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of whole texts."""
+        if not self.by_word:
+            return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
         if len(self.words) > self.MOST:
             self.words.clear()
@@ -156,7 +169,7 @@ _words: dict[str, _Words] = {}
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 1) -> DataFrame:
     """``(doc_id, piece, start, length, ids_crc32)`` of every document cut at ``capacity``.
 
-    The tokenizer drops white space and never joins what it separates, so each white-space
+    Where the tokenizer drops white space and never joins what it separates, each white-space
     separated part is looked up by itself; its ids are those of the whole text.  The file
     must lie at ``tokenizer`` on every machine.  Null and empty texts are the end id alone.
     """
@@ -176,7 +189,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int =
             types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return texts_of(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def pack(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 1, salts: int = 64) -> DataFrame:
