@@ -4,6 +4,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lineagelake.llm import chat, embedding_dedup, html_extract, sharding, url_rules
 
@@ -56,6 +57,59 @@ def test_main_slot_holds_text_beside_the_densest(spark, page, want):
     assert {r.page_id: r.text for r in got} == {p[0]: want.format(*p) for p in parts}
 
 
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ('<div id="page" class="site no-sidebar"><article><p>Text {0} {2}</p></article></div><div class=ad>{1}</div>', "Text {0} {2}"),
+        ('<article><header class="entry-header"><h1>Title {0}</h1></header><p>{2}</p><div class="comment-list"><p>by {1}</p></div></article>', "Title {0}\n{2}"),
+        ('<article><h1>T {0}</h1><section id="social-history"><p>Real {1}</p></section><p>{2}</p><div class="post-ad">Buy {1}</div></article>', "T {0}\nReal {1}\n{2}"),
+        ('<article><h1>T {0}</h1><p>{2}</p><div class=teaser><p>More on our site</p></div></article>', "T {0}\n{2}\nMore on our site"),
+        ('<article><h1>T {0}</h1><p>{2}</p><div class=teaser>More on our site</div></article>', "T {0}\n{2}"),
+    ],
+)
+def test_names_never_drop_the_article(spark, page, want):
+    rng = random.Random(3)
+    parts = [(i, f"lead{i}", " ".join(rng.choices(["alpha", "beta", "gamma"], k=60))) for i in range(5)]
+    rows = [(p[0], f"http://e.net/{p[0]}", "<html><body>" + page.format(*p) + "</body></html>") for p in parts]
+    got = html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r.page_id: r.text for r in got} == {p[0]: want.format(*p) for p in parts}
+
+
+def deduced(pages):
+    """The dense slot of one host, by plain loops over occurrence vectors."""
+    seen = [html_extract.contents(h)[1] for h in pages]
+    tokens = {t for s in seen for t in s}
+    vector = {t: tuple(s.get(t, [0])[0] for s in seen) for t in tokens}
+    body = max(sum(s[t][2] for s in seen if t in s) for t in tokens if "/" not in t)
+    template = []
+    for v in set(vector.values()):
+        own = [t for t in tokens if vector[t] == v]
+        orders = {tuple(sorted(own, key=lambda t: s[t][1])) for s in seen if own[0] in s}
+        if len(own) > 1 and len(orders) == 1 and sum(n > 0 for n in v) >= len(pages) / 2:
+            template += own
+    chars = {t: sum(s[t][2] for s in seen if t in s) for t in template}
+    return max(((t.count("/"), chars[t], t) for t in template if max(vector[t]) == 1 and 0 < chars[t] >= 0.6 * body), default=(0, 0, None))[2]
+
+
+def test_deduction_equals_plain_loops(spark):
+    rng = random.Random(4)
+    rows, want = [], {}
+    for host in range(8):
+        shape = rng.sample(["<div class=a>{}</div>", "<ul class=b><li>{}</ul>", "<div class=c><p>{}</p></div>", "<p>{}</p>"], 3)
+        pages = []
+        for _ in range(rng.randint(3, 6)):
+            order = shape if host % 3 else rng.sample(shape, 3)
+            text = lambda k: " ".join(rng.choices(["x", "yy", "zzz"], k=k))  # noqa: B023, E731
+            pages.append(f"<html><body><div class=top><b>{text(2)}</b></div><div class=w><h2>{text(4)}</h2>" + "".join(x.format(text(rng.randint(5, 40))) for x in order) + "</div></body></html>")
+        rows += [(len(rows) + i, f"http://h{host}.net/{i}", p) for i, p in enumerate(pages)]
+        want[f"h{host}.net"] = deduced(pages)
+    read = html_extract.read_pages(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    got = {r.host: r.slot for r in html_extract.templates(read).collect() if r.host != "*"}
+    # The slot is the lowest node around the dense one that holds all text of the pages.
+    assert set(got) == {h for h, d in want.items() if d} and all(want[h].startswith(s) for h, s in got.items())
+    assert len(got) >= 4
+
+
 def test_broken_and_long_pages():
     assert html_extract.main_text("<p>a" * 20_000, None).count("\n") == 19_999
     assert html_extract.main_text("<div>" * 3_000 + "x", None) == "x"
@@ -106,6 +160,34 @@ def test_mined_rules(spark):
     assert url_rules.judge(spark.createDataFrame([], "page_id long, url string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).count() == 0
 
 
+def labelled(spark, rng, n, rate):
+    rows = []
+    for i in range(n):
+        host = rng.choice(["alpha", "beta", "gamma", "delta"])
+        tokens = ["h:com", "h:example", f"h:{host}", "p:en" if i % 2 else "p:fr", *(["p:buy", "p:now"] if i % 10 == 0 else [])]
+        rows.append((tokens, rng.random() < rate(tokens)))
+    return spark.createDataFrame(rows, "tokens array<string>, blocked boolean")
+
+
+def test_rules_are_measured_against_the_base_rate(spark):
+    rng = random.Random(8)
+    planted = labelled(spark, rng, 2000, lambda t: 0.42 if "p:buy" in t else 0.11)
+    rules = url_rules.mine(planted).collect()
+    # Below one half, yet three times as often as at large; tokens that always stand together
+    # are one item, and longer rules say nothing more.
+    assert [r.antecedent for r in rules] == [["p:buy", "p:now"]] and rules[0].lift > 2
+    assert url_rules.mine(labelled(spark, rng, 2000, lambda t: 0.14)).count() == 0
+    many = spark.createDataFrame([([f"p:w{k}" for k in range(40)], i % 4 == 0) for i in range(200)], "tokens array<string>, blocked boolean")
+    assert url_rules.mine(many).count() == 0
+
+
+def test_urls_repeat_are_null_and_long(spark):
+    long = "http://h.example.com/" + "/".join(f"w{k}" for k in range(20_000))
+    rows = [(1, long), (1, long), (2, None), (2, None), (None, "http://x.net/")]
+    got = url_rules.judge(spark.createDataFrame(rows, "page_id long, url string"), spark.createDataFrame([(1, 1)], "doc_id long, quality int")).collect()
+    assert sorted((str(r.page_id), r.host, r.verdict) for r in got) == sorted([("1", "h.example.com", "allow")] * 2 + [("2", "", "allow")] * 2 + [("None", "x.net", "block")])
+
+
 # -- chat ------------------------------------------------------------------------------
 
 
@@ -185,6 +267,17 @@ def test_map_versions_and_rebalancing(spark, tmp_path):
         sharding.write_map(spark, f"file://{tmp_path}/map", 1, two)
 
 
+def test_the_stored_map_is_edited(spark, tmp_path):
+    path = f"file://{tmp_path}/own"
+    df = spark.range(4000).select(F.col("id").alias("doc_id"), F.lit("x" * 50).alias("text"))
+    place = lambda shards: {r.doc_id: r.shard for r in sharding.shard(df, shards, slots=256, map_path=path).collect()}
+    one, two, three = place(4), place(4), place(5)
+    assert one == two and sharding.latest(spark, path) == 3
+    assert all(three[d] in (one[d], 4) for d in one) and 0.1 < sum(k == 4 for k in three.values()) / 4000 < 0.3
+    long = spark.createDataFrame([(1, "y" * 3_000_000), (2, "y"), (2, "y")], "doc_id long, text string")
+    assert sorted((r.doc_id, r.size) for r in sharding.shard(long, 2).collect()) == [(1, 3_000_008), (2, 9), (2, 9)]
+
+
 # -- embeddings ------------------------------------------------------------------------
 
 
@@ -228,3 +321,18 @@ def test_vectors_equal_brute_force(spark):
     assert {r.vec_id: (r.n_links, r.component_id) for r in got if r.vec_id is not None} == {i: (links.get(i, 0), top(i)) for i, _, _ in rows if i is not None}
     assert all(r.kept == (r.vec_id == r.component_id) for r in got)
     assert embedding_dedup.near_vectors(df.limit(0)).count() == 0
+
+
+def test_recall_and_range_of_doubles(spark):
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=(300, 32))
+    noise = rng.normal(size=(300, 32))
+    noise -= (noise * base).sum(1, keepdims=True) * base / (base**2).sum(1, keepdims=True)
+    near = base / np.linalg.norm(base, axis=1, keepdims=True) * 0.9801 + noise / np.linalg.norm(noise, axis=1, keepdims=True) * np.sqrt(1 - 0.9801**2)
+    for factor in (1.0, 1e200, 1e-170):  # squares beyond the range of doubles
+        rows = [(i, (v * factor).tolist(), i % 300) for i, v in enumerate(np.concatenate([base, near]))]
+        rows += [(1000, (base[0] * factor).tolist(), 1000), (1001, (-base[0] * factor).tolist(), 1000), (1001, (-base[0] * factor).tolist(), 1000)]
+        got = {r.vec_id: r for r in embedding_dedup.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+        # Pairs just at the threshold are the hardest: all of them are found.
+        assert all(got[i].n_links == 1 and got[i + 300].component_id == i for i in range(300))
+        assert got[1000].n_links == 0 and got[1001].component_id == 1001

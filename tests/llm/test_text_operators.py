@@ -102,6 +102,19 @@ def test_decontamination_equals_brute_force(spark):
     assert {i: {int(x) for x in r.item_ids.split(",")} for i, r in got.items()} == want and len(want) > 8
 
 
+def test_a_larger_benchmark_takes_passes(spark):
+    rng = random.Random(6)
+    items = [(k, words(rng, 20)) for k in range(6)] + [(6, "Is it so?")]
+    rows = [(k, words(rng, 10) + " " + (items[k % 7][1] if k % 2 else "") + " " + words(rng, 10), k) for k in range(30)]
+    rows += rows[:5] + [(None, items[0][1], 0), (50, words(rng, 30_000) + " " + items[1][1], 1)]
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string, item_id long"), spark.createDataFrame(items, "item_id long, text string")
+    one, many = (
+        sorted((str(r.doc_id), r.item_id, sorted(tuple(m) for m in r.found)) for r in D.with_matches(docs, bench, "found", chars).collect())
+        for chars in (D.BLOCK, 150)
+    )
+    assert one == many and sum(bool(m) for _, _, m in one) > 15
+
+
 def test_decontamination_spans_and_edges(spark):
     item = "The quick brown fox jumps over the lazy dog and runs away into the deep forest."
     doc = "Before.\n\n  The  QUICK brown fox jumps\tover the lazy dog and runs away into the deep forest.  After"
@@ -210,6 +223,35 @@ def test_patterns_are_followed_to_the_last_hop(spark):
     assert {r.inst for r in got.collect()} == {f"n{hop}-{i}" for hop in range(6) for i in range(6)}
 
 
+def test_no_context_of_the_test_tables_is_a_pattern(spark):
+    # Personal data stands between random words there: of 400 contexts of base entities and
+    # more none holds five known entities and nothing else, so nothing can be discovered; the
+    # same documents with planted contexts give the identifiers planted in them.
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    graph = pii._candidates(pii.with_base(pii._keyed(docs.na.fill("", ["text"])), contexts=True))
+    rows = graph.selectExpr("inst", "known", "explode(patterns) AS p").distinct().collect()
+    held, known = {}, {}
+    for r in rows:
+        held.setdefault(r.p, set()).add(r.inst)
+        if r.known:
+            known.setdefault(r.p, set()).add(r.inst)
+    good = [p for p, x in known.items() if len(x) >= pii.LEAST_KNOWN and len(x) >= pii.LEAST_SHARE * len(held[p])]
+    assert len(known) > 200 and not good
+    assert pii.digest(docs).where("spans LIKE '%id:%'").count() == 0
+    extra = [(10_000 + i, f"some words then client reference zq{i}x@mail.example.org follows") for i in range(40)]
+    extra += [(20_000, "some words then client reference KD-77213-X follows"), (20_001, "KD-77213-X alone")]
+    got = pii.digest(docs.union(spark.createDataFrame(extra, docs.schema))).where("spans LIKE '%id:%'").collect()
+    assert {r.doc_id: r.spans for r in got} == {20_000: "id:33:43", 20_001: "id:0:10"}
+
+
+def test_personal_data_of_repeated_rows_and_clashing_columns(spark):
+    df = spark.createDataFrame([(1, "x a@b.cc", "d", 5, "m"), (1, "x a@b.cc", "d", 5, "m"), (None, "1.2.3.4", "e", 6, "n")], "doc_id long, text string, doc string, h int, more string")
+    got = pii.redact(df)
+    assert got.columns == df.columns
+    assert sorted((r.text, r.doc, r.h, r.more) for r in got.collect()) == sorted([("x [EMAIL]", "d", 5, "m")] * 2 + [("[IP]", "e", 6, "n")])
+    assert pii.digest(df).count() == 3 and pii.digest(df.limit(0)).count() == 0
+
+
 # -- packing ---------------------------------------------------------------------------
 
 
@@ -277,3 +319,17 @@ def test_packing(spark):
         assert at <= 200
     assert len(by) <= -(-sum(r.length for r in got) // 200) + 1
     assert pack(spark.createDataFrame([], "doc_id long, text string"), tokenizer_path()).count() == 0
+
+
+def test_words_are_looked_up_for_their_tokenizer_only(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    rows = [(1, "It's  42 Äpfel\n\nand\tmore <|endoftext|>"), (2, ""), (3, "The  the THE")]
+    for name in ("word_bpe_49k.json", "byte_bpe_50k.json"):
+        path = public_tokenizers.path(name)
+        t = Tokenizer.from_file(path)
+        got = {r.doc_id: r.ids_crc32 for r in pack(spark.createDataFrame(rows, "doc_id long, text string"), path).collect()}
+        for i, text in rows:
+            ids = t.encode(text, add_special_tokens=False).ids + [1]
+            assert got[i] == zlib.crc32(b"".join(x.to_bytes(4, "little") for x in ids))
