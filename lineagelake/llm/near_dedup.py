@@ -234,7 +234,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     held = lists.groupBy("rep").agg(F.collect_set("token").alias("tokens")).join(sketches.select("rep", "parity"), "rep")
     sketched = lists.select("token", "part", "parts", "rep", "n", "comp", "main").join(held, "rep")
     each = (F.col("a.comp") != F.col("b.comp")) & ((F.col("b.comp") == F.col("b.main")) | (F.col("a.comp") < F.col("b.comp")))
-    once = F.array_min(F.array_intersect("a.tokens", "b.tokens")) == F.col("a.token")  # of all lists that hold both
+    # Of all lists that hold both.  Null-safe: for a plain equality Spark would first look, for
+    # every two members of a list, whether the common lists are null.
+    once = F.array_min(F.array_intersect("a.tokens", "b.tokens")).eqNullSafe(F.col("a.token"))
     theirs = sketched.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     apart = sketched.where("comp <> main").alias("a").join(theirs.alias("b"), (F.col("a.token") == F.col("b.token")) & (F.col("a.part") == F.col("b.part")) & each & _possible(percent) & once)
     apart = apart.select(F.least("a.rep", "b.rep").alias("a"), F.greatest("a.rep", "b.rep").alias("b")).distinct()
