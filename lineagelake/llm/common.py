@@ -2,16 +2,25 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lineagelake.functions.storage import free, shared_dir, stored
 
-__all__ = ["batches_of", "connected_components", "free", "mixed", "shared_dir", "shingle_set", "stored", "texts_of"]
+__all__ = ["batches_of", "connected_components", "free", "mixed", "scratch", "shared_dir", "shingle_set", "stored", "texts_of"]
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder; Spark removes it when the application ends."""
+    path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    hpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hpath)
+    return path
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
