@@ -13,7 +13,8 @@ from lineagelake.functions import kernels as K
 from lineagelake.functions.storage import shared_dir, stored
 from lineagelake.operators import abundance, clones, collapse, counting, matrix, simulate, stats
 from lineagelake.plans import relations as R
-from lineagelake.sources import fastq, tables
+from lineagelake.plans.extract import Config, extract
+from lineagelake.sources import bam, fastq, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -378,6 +379,45 @@ def fastq_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counting.count_reads(found, ["sample"])
 
 
+@query(f"WITH {_COUNTED} SELECT sample, barcode, counts FROM counted")
+def bgzip_fastq_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All reads as block-gzipped FASTQ, a folder for each sample, through the extraction plan."""
+    folder = _run_folder(spark)
+    rows = stored(R.reads(spark, sf_dir).select("sample", F.concat_ws("\n", F.lit("@r"), "seq", F.lit("+"), "qual").alias("value")), "reads")
+    names = [r["sample"] for r in rows.select("sample").distinct().collect()]  # six
+    for s in names:
+        fastq.write_bgzf(rows.where(F.col("sample") == s), f"{folder}/{s}")
+    sheet = spark.createDataFrame([(s, f"{folder}/{s}") for s in names], "sample string, fastq_path_r1 string")
+    return extract(spark, sheet, Config(reference=FLANKED, flanked_pattern=True, read_length=32, read_qc_threshold=20, read_qc_percentage=70))
+
+
+@query(f"""WITH {R.PAIRS} SELECT 's' AS sample, substr(r1, 1, 16) || '-1_s' AS cell, regexp_extract(r2, '{R.LEFT}(.*){R.RIGHT}', 1) AS barcode, count(DISTINCT substr(r1, 17, 8)) AS counts
+FROM pairs GROUP BY 1, 2, 3""")
+def paired_fastq_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Read pairs as FASTQ files, several for either read, through the extraction plan for cells."""
+    folder = _run_folder(spark)
+    one, two = R.read_pairs(spark, sf_dir)
+    pairs = stored(one.withColumnRenamed("seq", "r1").join(two.withColumnRenamed("seq", "r2"), "ord"), "pairs")
+    for k in ("r1", "r2"):
+        line = F.concat_ws("\n", F.concat(F.lit("@"), F.col("ord").cast("string")), k, F.lit("+"), F.regexp_replace(k, ".", "@"))
+        pairs.select(line.alias("value"), "ord").repartition(5, "ord").sortWithinPartitions("ord").select("value").write.text(f"{folder}/{k}")
+    sheet = spark.createDataFrame([("s", f"{folder}/r1", f"{folder}/r2")], "sample string, fastq_path_r1 string, fastq_path_r2 string")
+    return extract(spark, sheet, Config(sequencing_technology="10x", reference=FLANKED, flanked_pattern=True, read_length=32))
+
+
+@query(f"""WITH {R.BAM} SELECT 's' AS sample, cb || '_s' AS cell, regexp_extract(seq, '{R.LEFT}(.*){R.RIGHT}', 1) AS barcode, count(DISTINCT ub) AS counts
+FROM bam WHERE contig IS NULL AND ub IS NOT NULL AND {_good('left(q || q, length(seq))', '5', 70)} GROUP BY 1, 2, 3""")
+def bam_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as BAM files, their unmapped reads through the extraction plan for cells.  The
+    relation's qualities are those of 32 bases; the file takes as many as the read has."""
+    folder = _run_folder(spark)
+    rows = R.bam_like(spark, sf_dir)
+    long_ = F.slice(F.concat("qual", "qual"), F.lit(1), F.length("seq"))
+    bam.write_bam(rows.withColumn("qual", long_).repartition(4), folder, {"chr1": 1000})
+    sheet = spark.createDataFrame([("s", folder)], "sample string, bam_path string")
+    return extract(spark, sheet, Config(input="bam", sequencing_technology="10x", reference=FLANKED, flanked_pattern=True, read_length=32, read_qc_threshold=20, read_qc_percentage=70))
+
+
 @query(f"WITH {R.READS_N}, {R.parents()} SELECT sample, 'barcode_' || CAST(k AS VARCHAR) AS barcode, count(*) AS counts FROM reads_n r JOIN (SELECT seq, row_number() OVER (ORDER BY seq) - 1 AS k FROM parents) p ON contains(r.seq, p.seq) WHERE NOT contains(r.seq, 'N') GROUP BY 1, 2")
 def reference_fasta_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The parents written as FASTA and read as the reference of the search."""

@@ -8,6 +8,7 @@ import yaml
 
 from lineagelake import cli
 from lineagelake.plans.extract import Config, ValidationError, extract, validate_sheet
+from lineagelake.sources import bam as bams
 from lineagelake.sources import fastq, tables
 
 
@@ -42,11 +43,11 @@ def test_fastq(spark, tmp_path):
 
 def test_bam(spark, tmp_path):
     (tmp_path / "x.bam").write_bytes(bam([("c1__r", -1, "ACGTN", {"CB": "c1", "UB": "u"}), ("q", 0, "GG", {})]))
-    all_ = fastq.read_bam(spark, str(tmp_path / "x.bam")).orderBy("ord").collect()
+    all_ = bams.read_bam(spark, str(tmp_path / "x.bam")).orderBy("ord").collect()
     assert [(r.qname, r.contig, r.seq, r.tags) for r in all_] == [("c1__r", None, "ACGTN", {"CB": "c1", "UB": "u"}), ("q", "chr1", "GG", {})]
     assert all_[0].qual == [30] * 5
-    assert [r.qname for r in fastq.read_bam(spark, str(tmp_path / "x.bam"), "*").collect()] == ["c1__r"]
-    assert [r.qname for r in fastq.read_bam(spark, str(tmp_path / "x.bam"), "chr1").collect()] == ["q"]
+    assert [r.qname for r in bams.read_bam(spark, str(tmp_path / "x.bam"), "*").collect()] == ["c1__r"]
+    assert [r.qname for r in bams.read_bam(spark, str(tmp_path / "x.bam"), "chr1").collect()] == ["q"]
 
 
 def test_references(spark, tmp_path):
@@ -129,23 +130,6 @@ def test_streaming(spark, tmp_path):
     assert [(r.barcode, r.counts) for r in spark.table("counts").collect()] == [("TT", 2)]
 
 
-def test_fastq_read_in_many_splits(spark, tmp_path):
-    records = [(f"r{i}", "ACGT"[i % 4] * (i % 30 + 1), "@" * (i % 30 + 1)) for i in range(200)]
-    (tmp_path / "a.fastq").write_text("".join(f"@{n} x\n{s}\n+\n{q}\n" for n, s, q in records))
-    (tmp_path / "b.fastq").write_text("".join(f"@{n}\r\n{s}\r\n+\r\n{q}\r\n" for n, s, q in records[:50]))
-    old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
-    try:
-        spark.conf.set("spark.sql.files.maxPartitionBytes", "300")
-        spark.conf.set("spark.sql.files.openCostInBytes", "1")
-        assert spark.read.text(str(tmp_path)).rdd.getNumPartitions() > 20
-        for name, want in (("a", records), ("b", records[:50])):
-            got = fastq.read_fastq(spark, f"file://{tmp_path}/{name}.fastq").orderBy("ord").collect()
-            assert [(r.ord, r.name, r.seq, r.qual) for r in got] == [(i, *r) for i, r in enumerate(want)]
-    finally:
-        for k, v in old.items():
-            spark.conf.set(k, v)
-
-
 def test_wide_matrix_of_more_barcodes_than_a_pivot_takes(spark, tmp_path):
     rows = [(s, f"B{k:03}", k + 1) for s, step in (("a", 1), ("b, \"c\"", 7), ("d", 90)) for k in range(0, 100, step)]
     df = spark.createDataFrame(rows, "sample string, barcode string, counts long")
