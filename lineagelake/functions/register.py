@@ -8,7 +8,8 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from lineagelake.functions import kernels as K
-from lineagelake.sources import fastq
+from lineagelake.sources.bam import BamSource
+from lineagelake.sources.fastq import FastqSource
 
 #: Functions that SQL itself can express.
 _SQL = {
@@ -55,4 +56,5 @@ def register(spark: SparkSession) -> None:
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {head} RETURN {body}")
     for f, kind in ((infix_edit_distance, "int"), (trim_adapter, "string"), (find_reference, "string")):
         spark.udf.register(f.__name__, F.arrow_udf(f, kind))
-    fastq.register(spark)
+    for source in (FastqSource, BamSource):
+        spark.dataSource.register(source)

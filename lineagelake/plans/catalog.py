@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from lineagelake.functions import expressions as X
 from lineagelake.functions import kernels as K
 from lineagelake.functions.storage import shared_dir, stored
-from lineagelake.operators import abundance, clones, collapse, counting, matrix, simulate, stats
+from lineagelake.operators import abundance, clones, collapse, counting, matrix, references, simulate, stats
 from lineagelake.plans import relations as R
 from lineagelake.plans.extract import Config, extract
 from lineagelake.sources import bam, fastq, tables
@@ -346,6 +346,21 @@ def reference_approx(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counting.count_reads(counting.named(found, counting.names_table(spark, names)))
 
 
+@query(f"WITH {R.LIBRARY}, w AS (SELECT sample, right(core, 32) AS s FROM library_reads UNION ALL SELECT sample, left(core, 32) FROM library_reads WHERE k % 3 = 0) SELECT sample, name AS barcode, count(*) AS counts FROM w JOIN library ON s = sequence GROUP BY 1, 2")
+def reference_join_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """References as many as orders, by a join."""
+    return counting.count_reads(references.with_reference(R.library_reads(spark, sf_dir), R.library(spark, sf_dir)))
+
+
+@query(f"""WITH {R.LIBRARY}, h AS (SELECT sample, right(core, 32) AS s FROM library_reads),
+met AS (SELECT sample, name FROM h JOIN library ON left(s, 16) = left(sequence, 16) WHERE hamming(s, sequence) <= 1
+  UNION ALL SELECT sample, name FROM h JOIN library ON right(s, 16) = right(sequence, 16) AND left(s, 16) <> left(sequence, 16) WHERE hamming(s, sequence) <= 1)
+SELECT sample, name AS barcode, count(*) AS counts FROM met GROUP BY 1, 2""")
+def reference_join_approx(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """References as many as orders, within one edit, by a join."""
+    return counting.count_reads(references.with_reference(R.library_reads(spark, sf_dir), R.library(spark, sf_dir), 1))
+
+
 @query(_tally("reads", "right(regexp_extract(seq, '^(.*?)ATCCGTTAGC', 1), 32)", R.READS))
 def adapter_trim_3p(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _extracted(R.reads(spark, sf_dir).select("sample", "seq"), K.trim(F.col("seq"), f"*{R.RIGHT}", 0.1, max_read_length=32))

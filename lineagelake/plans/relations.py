@@ -112,6 +112,30 @@ BAM = f"""bam AS (
 )"""
 
 
+def library(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """References as many as orders: ``sequence, name, ord``."""
+    t = table(spark, sf_dir, "orders")
+    return t.select(dna(F.col("o_orderkey")).alias("sequence"), F.concat(F.lit("order_"), F.col("o_orderkey").cast("string")).alias("name"), F.col("o_orderkey").cast("long").alias("ord"))
+
+
+def library_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A read of its order's reference per line item, with as many substitutions as the line's
+    number is over 5, and a base in excess before it on every third line."""
+    t = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_returnflag").alias("sample"))
+    own, k = dna(F.col("l_orderkey")), F.col("l_linenumber")
+    put = lambda s, at: F.concat(F.substring(s, 1, at - 1), F.translate(F.substring(s, at, 1), "ACGT", "CGTA"), F.substring(s, at + 1, 32))
+    changed = F.when(k == 6, put(own, 7)).when(k == 7, put(put(own, 7), 25)).otherwise(own)
+    return t.select("sample", F.concat(F.lit(LEFT), F.when(k % 3 == 0, F.lit("C")).otherwise(F.lit("")), changed, F.lit(RIGHT)).alias("seq"))
+
+
+LIBRARY = f"""library AS (SELECT {_dna('o_orderkey')} AS sequence, 'order_' || CAST(o_orderkey AS VARCHAR) AS name FROM orders),
+own AS (SELECT l_returnflag AS sample, l_linenumber AS k, {_dna('l_orderkey')} AS s FROM lineitem),
+library_reads AS (
+  SELECT sample, k, CASE WHEN k % 3 = 0 THEN 'C' ELSE '' END || CASE WHEN k < 6 THEN s WHEN k = 6 THEN substr(s, 1, 6) || translate(substr(s, 7, 1), 'ACGT', 'CGTA') || substr(s, 8)
+    ELSE substr(s, 1, 6) || translate(substr(s, 7, 1), 'ACGT', 'CGTA') || substr(s, 8, 17) || translate(substr(s, 25, 1), 'ACGT', 'CGTA') || substr(s, 26) END AS core FROM own
+)"""
+
+
 def parents() -> str:
     """SQL of the 50 parents: ``seq, name, ord``."""
     return f"parents AS (SELECT {_dna('k')} AS seq, 'clone_' || CAST(k AS VARCHAR) AS name, CAST(k AS INTEGER) AS ord FROM range(50) AS r(k))"
