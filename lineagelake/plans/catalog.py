@@ -376,6 +376,19 @@ def adapter_linked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _extracted(R.reads(spark, sf_dir).select("sample", "seq"), K.trim(F.col("seq"), FLANKED, 0.1))
 
 
+# Where a flank lies with at most one substitution: of the fewest, the leftmost.
+def _near_flank(seq: str, flank: str) -> str:
+    return f"(SELECT arg_min(i, (hamming(substr({seq}, i, 10), '{flank}'), i)) FROM range(1, length({seq}) - 8) AS p(i) WHERE hamming(substr({seq}, i, 10), '{flank}') <= 1)"
+
+
+@query(f"""WITH {R.READS_E}, l AS (SELECT sample, substr(seq, CAST({_near_flank('seq', R.LEFT)} + 10 AS BIGINT)) AS rest FROM reads_e),
+b AS (SELECT sample, substr(rest, 1, CAST({_near_flank('rest', R.RIGHT)} - 1 AS BIGINT)) AS barcode FROM l)
+SELECT sample, barcode, count(*) AS counts FROM b WHERE length(barcode) > 0 GROUP BY 1, 2""")
+def adapter_linked_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flanks of which each has a substitution in every read."""
+    return _extracted(R.reads_with_errors(spark, sf_dir).select("sample", "seq"), K.trim(F.col("seq"), FLANKED, 0.1))
+
+
 # -- files -----------------------------------------------------------------------------
 
 

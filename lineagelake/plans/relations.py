@@ -80,6 +80,24 @@ READS_N = READS + """, reads_n AS (
 )"""
 
 
+def reads_with_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``reads`` with one substitution in either flank: of base (line number mod 8) + 2."""
+    k = F.col("l_linenumber") % 8
+    put = lambda s, at: F.concat(F.substring("seq", s, k + 1), F.translate(F.substring(F.col("seq"), at, F.lit(1)), "ACGT", "CGTA"), F.substring(F.col("seq"), at + 1, 8 - k))
+    left, right = put(9, k + 10), put(51, k + 52)
+    return reads(spark, sf_dir).withColumn("seq", F.concat(F.substring("seq", 1, 8), left, F.substring("seq", 19, 32), right, F.substring("seq", 61, 12)))
+
+
+def _put(first: int) -> str:
+    k = "CAST(l_linenumber % 8 AS INTEGER)"
+    return f"substr(seq, {first}, {k} + 1) || translate(substr(seq, {first + 1} + {k}, 1), 'ACGT', 'CGTA') || substr(seq, {first + 2} + {k}, 8 - {k})"
+
+
+READS_E = READS + f""", reads_e AS (
+  SELECT * REPLACE (substr(seq, 1, 8) || {_put(9)} || substr(seq, 19, 32) || {_put(51)} || substr(seq, 61, 12) AS seq) FROM reads
+)"""
+
+
 def read_pairs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """First and second reads of orders, by ordinal."""
     t = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("long").alias("ord"), "o_custkey")

@@ -157,3 +157,61 @@ def test_exact_adapters_are_the_best_alignments():
         a, b = K.adapter_places(reads, "ACCAC", end3, 0.2, 3)
         c, d = K._aligned_places(reads, "ACCAC", end3, 0.2, 3)
         assert (a == c).all() and (b == d).all()
+
+
+def plain_place(read, adapter, end3, rate, overlap):
+    """The best alignment by a table over the whole read."""
+    m, n = len(adapter), len(read)
+    free = 0 if end3 else m - overlap
+    column = [(i - min(i, free), -2 * (i - min(i, free)), 0, min(i, free)) for i in range(m + 1)]
+    best, found = -(10**6), (-1, -1)
+
+    def offer(i, j):
+        nonlocal best, found
+        cost, score, start, skipped = column[i]
+        if i - skipped >= overlap and cost <= int(rate * (i - skipped) + 1e-9) and score > best:
+            best, found = score, (start, j)
+
+    for j in range(1, n + 1):
+        new = [(0, 0, j, 0)]
+        for i in range(1, m + 1):
+            c, s, o, k = column[i - 1]
+            hit = read[j - 1] == adapter[i - 1]
+            cell = (c + (not hit), s + (1 if hit else -1), o, k)
+            for c, s, o, k in (new[i - 1], column[i]):
+                if c + 1 < cell[0]:
+                    cell = (c + 1, s - 2, o, k)
+            new.append(cell)
+        column = new
+        offer(m, j)
+    if end3:
+        for i in range(m - 1, 0, -1):
+            offer(i, n)
+    return found
+
+
+@pytest.mark.parametrize("end3", [True, False])
+def test_windows_of_flanks_equal_whole_alignments(end3):
+    rng = random.Random(end3)
+    for _ in range(250):
+        adapter = "".join(rng.choices("ACG", k=rng.randrange(1, 14)))
+        errors, overlap = rng.choice([0.1, 0.2, 0.34, 0.5, 1, 2, 3]), rng.randrange(1, len(adapter) + 1)
+        reads = []
+        for _ in range(12):
+            x = list("".join(rng.choices("ACG", k=rng.randrange(12))) + adapter[rng.randrange(2) :] + "".join(rng.choices("ACG", k=rng.randrange(12))))
+            for _ in range(rng.randrange(4)):
+                if x:
+                    k = rng.randrange(len(x))
+                    x[k : k + 1] = rng.choice(["", "A", "C", "GG"])
+            reads.append("".join(x))
+        begin, stop = K._aligned_places(reads, adapter, end3, errors, overlap)
+        rate = errors / len(adapter) if errors >= 1 else errors
+        assert list(zip(begin.tolist(), stop.tolist(), strict=True)) == [plain_place(r, adapter, end3, rate, overlap) for r in reads]
+
+
+def test_a_long_flank():
+    rng = random.Random(7)
+    adapter = "".join(rng.choices("ACGT", k=70))
+    reads = ["".join(rng.choices("ACGT", k=9)) + adapter[:30] + "A" + adapter[31:] + "ACGT", "ACGT" * 20]
+    begin, stop = K._aligned_places(reads, adapter, True, 0.1, 70)
+    assert list(zip(begin.tolist(), stop.tolist(), strict=True)) == [plain_place(r, adapter, True, 0.1, 70) for r in reads] == [(9, 79), (-1, -1)]
