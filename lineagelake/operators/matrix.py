@@ -36,22 +36,49 @@ def complete(counts: DataFrame, barcodes: list[str] | None = None) -> DataFrame:
     return grid.join(counts.groupBy(*keys, "barcode").agg(F.sum("counts").alias("counts")), [*keys, "barcode"], "left").na.fill(0, ["counts"])
 
 
-def lines(counts: DataFrame) -> DataFrame:
-    """``(ord, value)``: the wide matrix as lines of CSV text, the header with ``ord`` 0.  A line
-    is made of the counts that its key has and of runs of zeros, so the matrix never exists as
-    columns, nor its zeros as rows."""
+#: Barcodes of a block of columns, and about how many bytes of text a part of a matrix has.
+BLOCK, PART = 10_000, 128 << 20
+
+
+def segments(counts: DataFrame, block: int = BLOCK, part: int = PART) -> DataFrame:
+    """``(part, line, block, value)``: the wide matrix as pieces of CSV text, which joined in
+    order are parts of it, each with the header (line -1) and its own lines.
+
+    A piece has the columns of one block: the counts that its key has there and runs of zeros.
+    So neither a line nor the header is ever one value, nor the matrix columns, nor its zeros
+    rows; what is gathered is at most ``block`` counts.
+    """
     keys = keys_of(counts)
     sums = stored(counts.groupBy(*keys, "barcode").agg(F.sum("counts").alias("counts")), "sums")
     names = stored(numbered(sums.select("barcode").distinct(), ["barcode"], "at"), "names")
-    total = names.count()
-    text = lambda *c: F.to_csv(F.struct(*c))
-    head = names.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "barcode"))), lambda x: F.concat(F.lit(","), text(x["barcode"].alias("b")))), "").alias("b"))
+    lines = stored(numbered(sums.select(*keys).distinct(), keys, "line"), "lines")
+    total, blocks = names.count(), max(1, -(-names.count() // block))
+    each = max(1, part // (3 * total + 1))
+    parts = max(1, -(-lines.count() // each))
+    text = lambda *c: F.to_csv(F.struct(*c), {"escape": '"'})
+    of = F.floor(F.col("at") / block).cast("int").alias("block")
+    grid = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block")
+    end = F.when(F.col("block") == blocks - 1, "\n").otherwise("")
+
+    named = names.groupBy(of).agg(F.array_sort(F.collect_list(F.struct("at", F.concat(F.lit(","), text("barcode")).alias("t")))).alias("x"))
+    named = named.select("block", F.array_join(F.col("x.t"), "").alias("t"))
+    spark = counts.sparkSession
+    head = spark.range(parts).select(F.col("id").alias("part"), grid).join(named, "block", "left")
+    first = F.when(F.col("block") == 0, F.lit(",".join(keys))).otherwise("")
+    head = head.select("part", F.lit(-1).cast("long").alias("line"), "block", F.concat(first, F.coalesce("t", F.lit("")), end).alias("value"))
+
     zeros = lambda n: F.repeat(F.lit(",0"), n.cast("int"))
-    held = sums.join(names, "barcode").groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("at", "counts"))).alias("held"))
+    same = [sums[k].eqNullSafe(lines[k]) for k in keys]
+    held = sums.join(names, "barcode").join(lines, same).groupBy("line", of).agg(F.array_sort(F.collect_list(F.struct((F.col("at") % block).alias("at"), "counts"))).alias("held"))
     before = lambda i: F.when(i == 0, -1).otherwise(F.get("held", i - 1)["at"])
-    cells = F.array_join(F.transform("held", lambda x, i: F.concat(zeros(x["at"] - before(i) - 1), F.lit(","), x["counts"].cast("string"))), "")
-    rows = held.select(F.lit(1).alias("ord"), F.concat(text(*keys), cells, zeros(F.lit(total) - 1 - F.element_at("held", -1)["at"])).alias("value"))
-    return head.select(F.lit(0).alias("ord"), F.concat(F.lit(",".join(keys)), "b").alias("value")).union(rows)
+    width = F.least(F.lit(block), F.lit(total) - F.col("block") * block)
+    some = F.concat(F.array_join(F.transform("held", lambda x, i: F.concat(zeros(x["at"] - before(i) - 1), F.lit(","), x["counts"].cast("string"))), ""), zeros(width - 1 - F.element_at("held", -1)["at"]))
+    rows = lines.select("line", *keys, grid).join(held, ["line", "block"], "left")
+    first = F.when(F.col("block") == 0, text(*keys)).otherwise("")
+    rows = rows.select(
+        F.floor(F.col("line") / each).cast("long").alias("part"), "line", "block", F.concat(first, F.when(F.col("held").isNull(), zeros(width)).otherwise(some), end).alias("value")
+    )
+    return head.union(rows)
 
 
 def long(matrix: DataFrame) -> DataFrame:
@@ -76,10 +103,12 @@ def qc_obs(counts: DataFrame, key: str = "sample") -> DataFrame:
 def qc_var(counts: DataFrame, key: str = "sample") -> DataFrame:
     """Per barcode: samples or cells that have it, mean, dropout in percent and total over all
     of them, zeros included."""
-    all_ = counts.agg(F.countDistinct(key)).first()[0]
-    out = counts.groupBy("barcode").agg(F.countDistinct(F.when(F.col("counts") > 0, F.col(key))).alias("n_cells_by_counts"), F.sum("counts").alias("total_counts"))
-    mean = F.col("total_counts") / F.lit(all_ or None)
+    pairs = counts.groupBy("barcode", key).agg(F.sum("counts").alias("c"), F.max(F.col("counts") > 0).alias("held"))
+    pairs = stored(pairs, "pairs")  # read for the barcodes and for the number of keys
+    all_ = pairs.select(key).distinct().agg(F.count(key).alias("__all"))
+    out = pairs.groupBy("barcode").agg(F.count_if("held").alias("n_cells_by_counts"), F.sum("c").alias("total_counts")).crossJoin(F.broadcast(all_))  # one row
+    mean = F.col("total_counts") / F.col("__all")
     return out.withColumns({
         "mean_counts": mean, "log1p_mean_counts": F.log1p(mean),
-        "pct_dropout_by_counts": (1 - F.col("n_cells_by_counts") / F.lit(all_ or None)) * 100, "log1p_total_counts": F.log1p("total_counts"),
-    })
+        "pct_dropout_by_counts": (1 - F.col("n_cells_by_counts") / F.col("__all")) * 100, "log1p_total_counts": F.log1p("total_counts"),
+    }).drop("__all")

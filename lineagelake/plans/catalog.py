@@ -14,7 +14,7 @@ from lineagelake.functions.storage import shared_dir, stored
 from lineagelake.operators import abundance, clones, collapse, counting, matrix, references, simulate, stats
 from lineagelake.plans import relations as R
 from lineagelake.plans.extract import Config, extract
-from lineagelake.sources import bam, fastq, tables
+from lineagelake.sources import bam, fastq, tables, wide
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -473,6 +473,17 @@ def wide_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return obs.select("sample", "n_barcodes_by_counts", "total_counts")
 
 
+@query(f"""WITH {R.READS}, cells AS (SELECT cell || '_' || sample AS cell, barcode_true AS barcode, count(DISTINCT umi) AS counts FROM reads GROUP BY 1, 2)
+SELECT cell, count(*) AS n_barcodes_by_counts, CAST(sum(counts) AS BIGINT) AS total_counts FROM cells GROUP BY 1""")
+def wide_cells_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The wide CSV of cells, in blocks of columns, written and read again."""
+    folder = _run_folder(spark)
+    cells = _cells(spark, sf_dir).select(F.concat_ws("_", "cell", "sample").alias("cell"), "barcode", "counts")
+    wide.write_wide(cells, folder, block=16, part=1 << 20)
+    _, obs, _ = tables.read_sc(spark, folder)
+    return obs.select("cell", "n_barcodes_by_counts", "total_counts")
+
+
 # -- clones and plot tables ------------------------------------------------------------
 
 _CLONES = R.parents() + ", clone AS (SELECT CAST(ord // 5 AS INTEGER) AS ord, 'clone_' || CAST(ord // 5 AS VARCHAR) AS clone, seq AS barcode FROM parents)"

@@ -130,21 +130,44 @@ def test_streaming(spark, tmp_path):
     assert [(r.barcode, r.counts) for r in spark.table("counts").collect()] == [("TT", 2)]
 
 
-def test_wide_matrix_of_more_barcodes_than_a_pivot_takes(spark, tmp_path):
-    rows = [(s, f"B{k:03}", k + 1) for s, step in (("a", 1), ("b, \"c\"", 7), ("d", 90)) for k in range(0, 100, step)]
-    df = spark.createDataFrame(rows, "sample string, barcode string, counts long")
-    old = spark.conf.get("spark.sql.pivotMaxValues")
-    spark.conf.set("spark.sql.pivotMaxValues", "5")
-    try:
-        tables.write_wide(df, f"{tmp_path}/wide")
-    finally:
-        spark.conf.set("spark.sql.pivotMaxValues", old)
-    got = spark.read.csv(f"{tmp_path}/wide", header=True)
-    assert got.columns == ["sample", *[f"B{k:03}" for k in range(100)]]
-    held = {(s, b): c for s, b, c in rows}
-    assert {(r["sample"], b): int(r[b]) for r in got.collect() for b in got.columns[1:]} == {(s, f"B{k:03}"): held.get((s, f"B{k:03}"), 0) for s in {s for s, _ in held} for k in range(100)}
-    tables.write_wide(df.limit(0), f"{tmp_path}/empty")
-    assert spark.read.csv(f"{tmp_path}/empty", header=True).columns == ["sample"]
+def test_wide_matrix_in_blocks_and_parts(spark, tmp_path):
+    from lineagelake.sources.wide import read_wide, write_wide
+
+    rows = [(s, r, f"B{k:03}", k + 1) for s, r, step in (("a", "1", 1), ('b, "c"', None, 7), ("d", "2", 90), ("e", "2", 1)) for k in range(0, 100, step)]
+    df = spark.createDataFrame(rows, "sample string, replicate string, barcode string, counts long")
+    held = {(s, b): c for s, _, b, c in rows}
+    for block, part in ((7, 1), (100, 650), (1000, 1 << 20)):
+        write_wide(df, f"{tmp_path}/wide", block, part)
+        got = spark.read.csv(f"{tmp_path}/wide", header=True, escape='"')
+        assert got.columns == ["sample", "replicate", *[f"B{k:03}" for k in range(100)]]
+        assert {(r["sample"], b): int(r[b]) for r in got.collect() for b in got.columns[2:]} == {(s, f"B{k:03}"): held.get((s, f"B{k:03}"), 0) for s in {s for s, _ in held} for k in range(100)}
+    lines, cells = read_wide(spark, f"{tmp_path}/wide")
+    back = cells.join(lines, "line").collect()
+    assert {(r["sample"], r.replicate or None, r.barcode, r.counts) for r in back if r.counts} == set(rows) and len(back) == 400
+    x, obs, var = tables.read_dna(spark, f"{tmp_path}/wide")
+    assert x.count() == 400 and {(r["sample"], r.n_barcodes_by_counts) for r in obs.collect()} == {("a", 100), ('b, "c"', 15), ("d", 2), ("e", 100)}
+    assert {r.barcode: (r.n_cells_by_counts, r.mean_counts) for r in var.collect()}["B000"] == (4, 1.0)
+    write_wide(df.limit(0), f"{tmp_path}/empty")
+    assert spark.read.csv(f"{tmp_path}/empty", header=True).columns == ["sample", "replicate"]
+    assert read_wide(spark, f"{tmp_path}/empty")[0].count() == 0
+
+
+def test_a_wide_file_of_another_writer(spark, tmp_path):
+    (tmp_path / "w.csv").write_text("cell,sample,B1,B2\nc1,s,0,2.0\nc1,t,3,0\n")
+    x, obs, _ = tables.read_sc(spark, str(tmp_path / "w.csv"))
+    assert sorted((r.cell, r["sample"], r.barcode, r.counts) for r in x.collect()) == [("c1", "s", "B1", 0), ("c1", "s", "B2", 2), ("c1-1", "t", "B1", 3), ("c1-1", "t", "B2", 0)]
+    assert obs.count() == 2
+    (tmp_path / "bad.csv").write_text("x,y\n1,2\n")
+    with pytest.raises(ValueError, match="none of the columns"):
+        tables.read_sc(spark, str(tmp_path / "bad.csv"))
+
+
+def test_hundred_thousand_barcodes(spark, tmp_path):
+    df = spark.range(100_000).selectExpr("concat('s', id % 3) AS sample", "concat('B', id) AS barcode", "id + 1 AS counts")
+    tables.write_wide(df, f"{tmp_path}/wide")
+    x, obs, _ = tables.read_dna(spark, f"{tmp_path}/wide")
+    assert {(r["sample"], r.n_barcodes_by_counts, r.total_counts) for r in obs.collect()} == {(f"s{k}", len(range(k, 100_000, 3)), sum(range(k + 1, 100_001, 3))) for k in range(3)}
+    assert x.where("counts > 0").count() == 100_000
 
 
 def test_numbers_of_rows(spark):
