@@ -10,8 +10,9 @@ import yaml
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
+from lineagelake.functions.storage import stored
 from lineagelake.operators import simulate as S
-from lineagelake.plans.extract import Config, extract
+from lineagelake.plans.extract import Config, ReadNumbers, extract
 from lineagelake.sources import tables
 
 
@@ -21,9 +22,11 @@ LOG = logging.getLogger("lineagelake")
 def run_extract(spark: SparkSession, settings: dict[str, Any]) -> None:
     """Counts of all samples: long, wide and annotated, below ``output_path``."""
     config = Config.of(settings["config"])
-    counts = extract(spark, tables.read_sheet(spark, settings["input_csv"]), config).cache()
-    out = settings["output_path"]
+    out, numbers = settings["output_path"], ReadNumbers()
     LOG.info("extracting with %s", config)
+    counts = stored(extract(spark, tables.read_sheet(spark, settings["input_csv"]), config, numbers), "extracted")
+    for name, n in numbers.get().items():
+        LOG.info("sample %s: %s", name, ", ".join(f"{v} {k}" for k, v in n.items()))
     tables.write_samples(counts, f"{out}/samples")
     for r in counts.groupBy("sample").agg(F.count("*").alias("n"), F.sum("counts").alias("all")).collect():  # one row a sample
         LOG.info("sample %s: %d barcodes, %d counts", r["sample"], r.n, r.all)

@@ -74,12 +74,25 @@ def numbered(df: DataFrame, order: list[str], name: str = "n") -> DataFrame:
     return out.select(*df.columns, (F.col("__before") + F.col("__rank") - 1).cast("long").alias(name))
 
 
-def spread(df: DataFrame) -> DataFrame:
+def running(df: DataFrame, order: list[str], of: str, name: str) -> DataFrame:
+    """``df`` with ``name``, the sum of ``of`` over the rows before a row in ``order``, which
+    tells every two rows apart.  As ``numbered``, it goes by ranges: sums within each, and the
+    sums of earlier ranges."""
+    dealt = stored(df.repartitionByRange(*order).withColumn("__range", F.spark_partition_id()), "ranges")
+    sizes = dealt.groupBy("__range").agg(F.sum(of).alias("__n"))
+    earlier = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select("__range", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before"))
+    within = Window.partitionBy("__range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    out = dealt.withColumn("__in", F.coalesce(F.sum(of).over(within), F.lit(0))).join(F.broadcast(sizes), "__range")
+    return out.select(*df.columns, (F.col("__before") + F.col("__in")).cast("long").alias(name))
+
+
+def spread(df: DataFrame, cores: int | None = None) -> DataFrame:
     """``df`` over as many partitions as there are cores, if it has fewer: for rows of a few
     large or compressed files with much work on each row.  Spark would move a later filter
     with that work back before the exchange; columns that depend on a row's place stay
     behind it, and so does what is made of them."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
+    cores = cores or df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() >= cores:
         return df
     here = F.monotonically_increasing_id() >= 0  # true

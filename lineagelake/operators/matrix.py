@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lineagelake.functions.storage import numbered, stored
+from lineagelake.functions.storage import numbered, running, stored
 
 META = ("sample", "cell", "replicate", "condition")
 
@@ -87,6 +87,50 @@ def long(matrix: DataFrame) -> DataFrame:
     return matrix.unpivot(keys, [c for c in matrix.columns if c not in keys], "barcode", "counts")
 
 
+#: Values of a block of a compressed matrix.
+VALUES = 65_536
+
+
+def compressed(counts: DataFrame, by_column: bool = False, block: int = VALUES) -> dict[str, DataFrame]:
+    """A compressed sparse matrix (by rows; by columns if ``by_column``) of the counts that are
+    not 0: ``obs(row, keys...)`` and ``var(col, barcode)`` in order, ``indptr(line, start)`` with
+    a last entry behind all lines, and ``blocks(block, indices, data)``: the arrays of the
+    format, cut every ``block`` values.
+
+    Values are numbered by ranges of (line, index) and starts are running sums by ranges, so no
+    task holds a line, nor all of them.
+    """
+    keys = keys_of(counts)
+    sums = stored(counts.where("barcode is not null").groupBy(*keys, "barcode").agg(F.sum("counts").alias("value")), "sums")
+    obs = stored(numbered(sums.select(*keys).distinct(), keys, "row"), "obs")
+    var = stored(numbered(sums.select("barcode").distinct(), ["barcode"], "col"), "var")
+    line, index = ("col", "row") if by_column else ("row", "col")
+    held = sums.where("value <> 0").join(var, "barcode").join(obs, [sums[k].eqNullSafe(obs[k]) for k in keys]).select(F.col(line).alias("line"), F.col(index).alias("index"), "value")
+    held = stored(numbered(held, ["line", "index"], "k"), "values")
+    each = (var if by_column else obs).select(F.col(line).alias("line")).join(held.groupBy("line").agg(F.count("*").alias("n")), "line", "left").select("line", F.coalesce("n", F.lit(0)).alias("n"))
+    end = each.agg(F.coalesce(F.max("line") + 1, F.lit(0)).alias("line"), F.lit(0).cast("long").alias("n"))
+    indptr = running(each.union(end), ["line"], "n", "start").select("line", "start")
+    packed = held.groupBy(F.floor(F.col("k") / block).cast("long").alias("block")).agg(F.array_sort(F.collect_list(F.struct("k", "index", "value"))).alias("x"))
+    return {"obs": obs, "var": var, "indptr": indptr, "blocks": packed.select("block", F.col("x.index").alias("indices"), F.col("x.value").alias("data"))}
+
+
+def expanded(x: dict[str, DataFrame], by_column: bool = False, block: int = VALUES) -> DataFrame:
+    """The counts of a compressed matrix, long: each line meets the blocks that it is in."""
+    starts = x["indptr"]
+    following = starts.select((F.col("line") - 1).alias("line"), F.col("start").alias("end"))
+    lines = starts.join(following, "line").where("end > start")
+    at = F.explode(F.sequence(F.floor(F.col("start") / block).cast("long"), F.floor((F.col("end") - 1) / block).cast("long"))).alias("block")
+    met = lines.select("line", "start", "end", at).join(x["blocks"], "block")
+    first = F.greatest(F.col("start") - F.col("block") * block, F.lit(0))
+    n = F.least(F.col("end") - F.col("block") * block, F.lit(block)) - first
+    part = lambda c: F.slice(c, (first + 1).cast("int"), n.cast("int"))
+    values = met.select("line", F.inline(F.arrays_zip(part("indices").alias("index"), part("data").alias("counts"))))
+    line, index = ("col", "row") if by_column else ("row", "col")
+    values = values.select(F.col("line").alias(line), F.col("index").alias(index), "counts")
+    out = values.join(x["var"], "col").join(x["obs"], "row")
+    return out.select(*keys_of(x["obs"]), "barcode", "counts")
+
+
 def unique_names(obs: DataFrame, name: str) -> DataFrame:
     """Repeated names get -1, -2, ... from their second occurrence on."""
     w = Window.partitionBy(name).orderBy(*[c for c in obs.columns])

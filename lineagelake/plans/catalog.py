@@ -484,6 +484,14 @@ def wide_cells_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return obs.select("cell", "n_barcodes_by_counts", "total_counts")
 
 
+@query(f"WITH {_COUNTED} SELECT sample, barcode, counts FROM counted")
+def sparse_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The annotated matrix, compressed by rows, written and read again."""
+    folder = _run_folder(spark)
+    tables.write_annotated(_counted(spark, sf_dir), folder, "sample")
+    return tables.read_annotated(spark, folder)[0].select("sample", "barcode", "counts")
+
+
 # -- clones and plot tables ------------------------------------------------------------
 
 _CLONES = R.parents() + ", clone AS (SELECT CAST(ord // 5 AS INTEGER) AS ord, 'clone_' || CAST(ord // 5 AS VARCHAR) AS clone, seq AS barcode FROM parents)"

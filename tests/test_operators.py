@@ -1,3 +1,6 @@
+import random
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -119,3 +122,26 @@ def test_box_of_many_ties(spark):
         q = np.quantile(v, [0.25, 0.5, 0.75])
         inside = v[(v >= q[0] - 1.5 * (q[2] - q[0])) & (v <= q[2] + 1.5 * (q[2] - q[0]))]
         assert r.n == len(v) and np.allclose([r.q1, r.median, r.q3, r.whisker_low, r.whisker_high], [*q, inside.min(), inside.max()])
+
+
+@pytest.mark.parametrize("by_column", [False, True])
+def test_compressed_matrix_equals_scipy_layout(spark, by_column):
+    rng = random.Random(3)
+    rows = [(f"s{i:02}", f"B{k:02}", rng.randrange(0, 4)) for i in range(23) for k in rng.sample(range(40), rng.choice((0, 1, 9, 30)))] + [("zero", "B00", 0), ("s99", "B07", 5), ("s99", "B07", 2)]
+    df = spark.createDataFrame(rows, "sample string, barcode string, counts long").repartition(3)
+    for block in (1, 7, 10_000):
+        x = matrix.compressed(df, by_column, block)
+        obs, var = (list(r) for r in ([r[0] for r in x["obs"].orderBy("row").select("sample").collect()], [r[0] for r in x["var"].orderBy("col").select("barcode").collect()]))
+        dense = np.zeros((len(obs), len(var)), int)
+        for s, b, c in rows:
+            dense[obs.index(s), var.index(b)] += c
+        lines = dense.T if by_column else dense
+        assert obs == sorted({r[0] for r in rows}) and var == sorted({r[1] for r in rows})
+        blocks = x["blocks"].orderBy("block").collect()
+        assert [k for r in blocks for k in r.indices] == np.nonzero(lines)[1].tolist() and [v for r in blocks for v in r.data] == lines[np.nonzero(lines)].tolist()
+        assert all(len(r.data) == block for r in blocks[:-1])
+        assert [r.start for r in x["indptr"].orderBy("line").collect()] == [0, *(lines != 0).sum(1).cumsum().tolist()]
+        back = {(r["sample"], r.barcode): r.counts for r in matrix.expanded(x, by_column, block).collect()}
+        assert back == {(obs[i], var[k]): dense[i, k] for i, k in zip(*np.nonzero(dense), strict=True)}
+    empty = matrix.compressed(df.limit(0), by_column)
+    assert [r.start for r in empty["indptr"].collect()] == [0] and matrix.expanded(empty, by_column).count() == 0

@@ -102,6 +102,22 @@ def test_simulated_reads_give_the_ground_truth_back(spark, tmp_path):
     cli.run_extract(spark, {"input_csv": str(sheet), "output_path": f"{tmp_path}/out", "config": config})
     x, obs, var = tables.read_dna(spark, f"{tmp_path}/out/barcodes_output.csv")
     assert x.count() == 5 and obs.first().n_barcodes_by_counts == 5 and var.count() == 5
+    x, obs, var = tables.read_annotated(spark, f"{tmp_path}/out/barcodes_output")
+    assert {(r.barcode, r.counts) for r in x.collect()} == {(r.barcode, r["count"]) for r in truth.collect()} and obs.first().total_counts == x.agg({"counts": "sum"}).first()[0] and var.count() == 5
+
+
+def test_read_numbers_are_observed(spark, tmp_path):
+    from lineagelake.plans.extract import ReadNumbers
+
+    for name, n in (("a", 30), ("b", 7)):
+        (tmp_path / f"{name}.fastq").write_text("".join(f"@r\n{'ACGT' if i % 3 else 'TT'}GG\n+\n{'I' if i % 5 else '#'}IIIII"[: -2 * (not i % 3) or None] + "\n" for i in range(n)))
+    sheet = spark.createDataFrame([(s, f"{tmp_path}/{s}.fastq") for s in "ab"], "sample string, fastq_path_r1 string")
+    for config in (Config(reference="AC*GG", read_qc_threshold=20, read_qc_percentage=100), Config(reference="AC*GG", read_qc_threshold=20, read_qc_percentage=100, distance_threshold=1)):
+        numbers = ReadNumbers()
+        counts = extract(spark, sheet, config, numbers).collect()
+        passing = {s: [i for i in range(n) if i % 5] for s, n in (("a", 30), ("b", 7))}
+        assert numbers.get() == {s: {"reads": n, "passing": len(passing[s]), "with_barcode": sum(1 for i in passing[s] if i % 3)} for s, n in (("a", 30), ("b", 7))}
+        assert {(r["sample"], r.counts) for r in counts} == {(s, sum(1 for i in passing[s] if i % 3)) for s in "ab"}
 
 
 def test_single_cell_reads(spark, tmp_path):
