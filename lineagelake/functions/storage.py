@@ -8,7 +8,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 _own: dict[str, str] = {}
@@ -43,18 +43,21 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, **seen: Column) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back: the lineage ends
     there, so a lost executor costs a re-read, and every reader prunes columns.  Spark
-    removes the files when the application ends."""
+    removes the files when the application ends.  Aggregates ``seen`` are observed as the rows
+    are written, and are what the frame's ``seen`` says."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     hpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hpath)
-    schema = df.schema
+    schema, observed = df.schema, Observation()
+    if seen:
+        df = df.observe(observed, *[c.alias(k) for k, c in seen.items()])
     df.write.parquet(path)
     out = spark.read.schema(schema).parquet(path)
-    out._stored_at = path
+    out._stored_at, out.seen = path, observed.get if seen else {}
     return out
 
 

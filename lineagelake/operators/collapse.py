@@ -20,18 +20,18 @@ def first_independent_set(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """
     prio = nodes.select(F.col("node").alias("dst"), F.col("prio").alias("p"))
     open_ = edges.join(prio, "dst").join(nodes.withColumnRenamed("node", "src"), "src").where("prio < p").select("src", "dst")
-    rounds: list[DataFrame] = []
     out = None
     while True:
         waiting = open_.select(F.col("dst").alias("src"), F.lit(True).alias("waits")).distinct()
         # An edge from a node that waits for none rules its end out.
-        rounds.append(stored(open_.join(waiting, "src", "left").select("src", "dst", F.col("waits").isNull().alias("rules_out")), "round"))
-        new = rounds[-1].where("rules_out").select(F.col("dst").alias("node")).distinct()
+        marked = open_.join(waiting, "src", "left").select("src", "dst", F.col("waits").isNull().alias("rules_out"))
+        now = stored(marked, "round", left=F.count_if(~F.col("rules_out")))
+        new = now.where("rules_out").select(F.col("dst").alias("node")).distinct()
         out = new if out is None else out.union(new)
-        open_ = rounds[-1].where("not rules_out")
-        if not open_.count():
+        if not now.seen["left"]:
             return nodes.select("node").join(out, "node", "left_anti")
-        open_ = open_.select("src", "dst").join(new.withColumnRenamed("node", "dst"), "dst", "left_anti").join(new.withColumnRenamed("node", "src"), "src", "left_anti")
+        open_ = now.where("not rules_out").select("src", "dst")
+        open_ = open_.join(new.withColumnRenamed("node", "dst"), "dst", "left_anti").join(new.withColumnRenamed("node", "src"), "src", "left_anti")
 
 
 def blocks(barcodes: DataFrame, n: int) -> DataFrame:
@@ -50,41 +50,58 @@ def blocks(barcodes: DataFrame, n: int) -> DataFrame:
         led = rest.join(first, "gram").withColumn("leads", F.col("f.barcode") == F.col("barcode"))
         leads = led.groupBy("barcode").agg(F.bool_and("leads").alias("leads")).where("leads")
         own = led.where("leads").drop("leads").join(leads, "barcode").select("gram", F.col("barcode").alias("leader"), F.col("prio").alias("lead_prio"))
-        marked = stored(rest.join(own, "gram", "left"), "round")
+        met = rest.join(own, "gram", "left")
+        gone = rest.join(own.select("gram"), "gram", "left_semi").select("barcode").distinct().withColumn("gone", F.lit(True))
+        marked = met.join(gone, "barcode", "left").select("barcode", "prio", "gram", "leader", "lead_prio", F.col("gone").isNotNull().alias("gone"))
+        marked = stored(marked, "round", left=F.count_if(~F.col("gone")))
         grams = marked.select("barcode", "prio", "gram") if grams is None else grams
         new = marked.where("barcode = leader").select("gram", "leader", "lead_prio")
         leaders = new if leaders is None else leaders.union(new)
-        gone = marked.where("leader is not null").select("barcode").distinct()
-        rest = marked.select("barcode", "prio", "gram").join(gone, "barcode", "left_anti")
-        if rest.isEmpty():
+        if not marked.seen["left"]:
             break
+        rest = marked.where("not gone").select("barcode", "prio", "gram")
     taken = grams.join(leaders, "gram").groupBy("barcode").agg(F.min(F.struct("lead_prio", "leader")).alias("b")).select("barcode", F.col("b.leader").alias("block"))
     return barcodes.join(taken, "barcode", "left").select("barcode", "prio", F.coalesce("block", "barcode").alias("block"))
 
 
-def near_pairs(barcodes: DataFrame, t: int, equal_lengths: bool, within: str = "block") -> DataFrame:
-    """Pairs ``(src, dst, dist)`` of one block within distance ``t``, in both directions:
-    Hamming if all lengths are equal, else Levenshtein.
+def _hamming_pairs(barcodes: DataFrame, t: int, within: str) -> DataFrame:
+    """Pairs of equally long barcodes of which one of ``t`` + 1 disjoint sets of positions is
+    equal.  Every ``t`` + 1-st position makes a set, so that a region that all barcodes share
+    is no set, and no key, of its own."""
+    every = lambda k: F.sequence(F.lit(k + 1), F.length("barcode"), F.lit(t + 1))
+    part = lambda k: F.when(F.length("barcode") > k, F.array_join(F.transform(every(k), lambda i: F.substring("barcode", i, F.lit(1))), "")).otherwise("")
+    sets = F.posexplode(F.array(*[part(k) for k in range(t + 1)])).alias("k", "piece")
+    parts = barcodes.select(within, "barcode", sets)
+    other = parts.select(within, F.col("barcode").alias("dst"), "k", "piece")
+    return parts.withColumnRenamed("barcode", "src").join(other, [within, "k", "piece"]).where("src < dst").select("src", "dst").distinct()
 
-    Pigeonhole: of ``t`` + 1 pieces of the one, some piece stands in the other untouched, at
-    most ``t`` places away; so pairs meet in equi-joins on (block, length, piece).
-    """
+
+def _edit_pairs(barcodes: DataFrame, t: int, within: str) -> DataFrame:
+    """Pairs of barcodes of which one of ``t`` + 1 pieces of the one stands in the other
+    untouched, at most ``t`` places away."""
     size = F.length("barcode")
     cut = lambda k, n: F.floor(n * k / (t + 1)).cast("int")
     pieces = barcodes.select(
         within, F.col("barcode").alias("src"), size.alias("n"), F.explode(F.sequence(F.lit(0), F.lit(t))).alias("k")
     ).select(within, "src", "n", "k", F.substring("src", cut(F.col("k"), F.col("n")) + 1, cut(F.col("k") + 1, F.col("n")) - cut(F.col("k"), F.col("n"))).alias("piece"))
-    reach = 0 if equal_lengths else t
     probes = barcodes.select(
-        within, F.col("barcode").alias("dst"), F.explode(F.sequence(size - reach, size + reach)).alias("n")
+        within, F.col("barcode").alias("dst"), F.explode(F.sequence(size - t, size + t)).alias("n")
     ).where("n >= 0").select(within, "dst", "n", F.explode(F.sequence(F.lit(0), F.lit(t))).alias("k"))
-    probes = probes.select(within, "dst", "n", "k", F.explode(F.sequence(F.lit(-reach), F.lit(reach))).alias("d"))
+    probes = probes.select(within, "dst", "n", "k", F.explode(F.sequence(F.lit(-t), F.lit(t))).alias("d"))
     at = cut(F.col("k"), F.col("n")) + F.col("d")
     probes = probes.where(at >= 0).select(within, "dst", "n", "k", F.substring("dst", at + 1, cut(F.col("k") + 1, F.col("n")) - cut(F.col("k"), F.col("n"))).alias("piece"))
-    met = pieces.join(probes.distinct(), [within, "n", "k", "piece"]).where("src <> dst").select("src", "dst").distinct()
+    return pieces.join(probes.distinct(), [within, "n", "k", "piece"]).where("src <> dst").select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
+
+
+def near_pairs(barcodes: DataFrame, t: int, equal_lengths: bool, within: str = "block") -> DataFrame:
+    """Pairs ``(src, dst, dist)`` of one block within distance ``t``, in both directions:
+    Hamming if all lengths are equal, else Levenshtein.  Pigeonhole: pairs meet in equi-joins
+    on parts that ``t`` errors cannot all touch, and are verified."""
+    met = _hamming_pairs(barcodes, t, within) if equal_lengths else _edit_pairs(barcodes, t, within)
     dist = hamming(F.col("src"), F.col("dst")) if equal_lengths else F.levenshtein("src", "dst", t)
     close = met.withColumn("dist", dist).where((F.col("dist") >= 0) & (F.col("dist") <= t))
-    return close.union(close.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "dist")).distinct()
+    both = F.inline(F.array(F.struct("src", "dst", "dist"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst"), "dist")))
+    return close.select(both)
 
 
 def cluster(counts: DataFrame, threshold: int = 2, exact: bool = False) -> DataFrame:
@@ -97,8 +114,9 @@ def cluster(counts: DataFrame, threshold: int = 2, exact: bool = False) -> DataF
     is the method.  ``exact`` sets blocks aside and compares all.
     """
     barcodes = counts.where("barcode is not null").groupBy("barcode").agg((-F.max("counts")).alias("c"))
-    barcodes = stored(barcodes.select("barcode", F.struct("c", "barcode").alias("prio")), "barcodes")
-    low, high = barcodes.agg(F.min(F.length("barcode")), F.max(F.length("barcode"))).first()
+    n = F.length("barcode")
+    barcodes = stored(barcodes.select("barcode", F.struct("c", "barcode").alias("prio")), "barcodes", low=F.min(n), high=F.max(n))
+    low, high = barcodes.seen["low"], barcodes.seen["high"]
     if high is None:
         return barcodes.select("barcode", F.col("barcode").alias("cluster"))
     placed = barcodes.withColumn("block", F.lit("")) if exact else blocks(barcodes, max(3, high // (threshold + 1)))

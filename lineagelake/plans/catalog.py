@@ -291,6 +291,40 @@ def collapse_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collapse.collapse(extract_dna_long(spark, sf_dir), 2, 50)
 
 
+# The greedy rule itself, barcode by barcode in order: ``lead`` is each barcode's block so far,
+# ``root`` its cluster so far, both as lists over the numbers of the barcodes.
+_CHAINS = R.DENSE + """, o AS (SELECT barcode, CAST(row_number() OVER (ORDER BY max(counts) DESC, barcode) AS INTEGER) AS i FROM dense GROUP BY 1),
+size AS (SELECT CAST(count(*) AS INTEGER) AS n FROM o),
+g AS (SELECT DISTINCT i, substr(barcode, CAST(p AS BIGINT), 3) AS gram FROM o, range(1, 5) AS r(p)),
+adj AS (SELECT a.i, list(DISTINCT b.i) AS js FROM g a JOIN g b USING (gram) GROUP BY 1),
+blocking(i, lead) AS (
+  SELECT 0, list_resize(CAST([] AS INTEGER[]), n, 0) FROM size
+  UNION ALL SELECT a.i, CASE WHEN b.lead[a.i] <> 0 THEN b.lead ELSE list_transform(range(1, n + 1), lambda j: CASE WHEN b.lead[j] = 0 AND list_contains(js, j) THEN a.i ELSE b.lead[j] END) END
+  FROM blocking b JOIN adj a ON a.i = b.i + 1, size
+), lead AS (SELECT unnest(lead) AS lead, unnest(range(1, n + 1)) AS i FROM blocking, size WHERE i = n),
+b AS (SELECT o.i, barcode, lead FROM o JOIN lead USING (i)),
+near AS (SELECT a.i, list({'d': hamming(a.barcode, b.barcode), 'j': b.i} ORDER BY hamming(a.barcode, b.barcode), b.i) AS js FROM b a JOIN b ON a.lead = b.lead AND b.i < a.i AND hamming(a.barcode, b.barcode) <= 2 GROUP BY 1),
+rooting(i, root) AS (
+  SELECT 0, CAST([] AS INTEGER[])
+  UNION ALL SELECT o.i, list_append(r.root, coalesce(list_filter(near.js, lambda x: r.root[x.j] = x.j)[1].j, o.i)) FROM rooting r JOIN o ON o.i = r.i + 1 LEFT JOIN near ON near.i = o.i
+), roots AS (SELECT unnest(root) AS root, unnest(range(1, n + 1)) AS i FROM rooting, size WHERE i = n),
+clusters AS (SELECT a.barcode, c.barcode AS cluster FROM o a JOIN roots USING (i) JOIN o c ON c.i = root)"""
+
+
+@query(f"WITH RECURSIVE {_CHAINS} SELECT barcode, cluster FROM clusters")
+def cluster_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clusters of barcodes so dense that near ones chain."""
+    return collapse.cluster(R.dense(spark, sf_dir), 2)
+
+
+@query(f"""WITH RECURSIVE {_CHAINS}, tops AS (SELECT cluster, max(counts) AS top, arg_min(f.barcode, (-f.counts, f.barcode)) AS main FROM dense f JOIN clusters USING (barcode) GROUP BY 1)
+SELECT sample, CASE WHEN top >= counts * 2 THEN main ELSE f.barcode END AS barcode, CAST(sum(counts) AS BIGINT) AS counts
+FROM dense f JOIN clusters c ON f.barcode = c.barcode JOIN tops USING (cluster) GROUP BY 1, 2""")
+def collapse_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Their counts merged where the cluster's largest is twice theirs."""
+    return collapse.collapse(R.dense(spark, sf_dir), 2, 2)
+
+
 # -- matrix ----------------------------------------------------------------------------
 
 # Every barcode there can be: the parents and the mutant of each.

@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lineagelake.functions.expressions import made_once
 from lineagelake.functions.storage import ship, spread
 
 LEFT, RIGHT = "TGCACTTGAT", "ATCCGTTAGC"
@@ -47,10 +48,11 @@ def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("l_quantity") == 1, mutant).otherwise(parent).alias("barcode_true"), p.alias("p"), q.alias("q"),
         F.substring(dna(F.col("l_suppkey")), 1, 16).alias("cell"), F.substring(p, 1, 8).alias("umi"), "l_linenumber",
     )
+    # Letters and qualities made once, as if read: a filter on them would make them again.
     return out.select(
         "sample", "replicate", "condition", "barcode_true",
-        F.concat(F.substring("p", 1, 8), F.lit(LEFT), "barcode_true", F.lit(RIGHT), F.substring("p", 9, 12)).alias("seq"),
-        F.concat("q", "q", F.substring("q", 1, 8)).alias("qual"), "cell", "umi", "l_linenumber",
+        made_once(F.concat(F.substring("p", 1, 8), F.lit(LEFT), "barcode_true", F.lit(RIGHT), F.substring("p", 9, 12))).alias("seq"),
+        made_once(F.concat("q", "q", F.substring("q", 1, 8))).alias("qual"), "cell", "umi", "l_linenumber",
     )
 
 
@@ -130,6 +132,19 @@ BAM = f"""bam AS (
 )"""
 
 
+def dense(spark: SparkSession, sf_dir: str, letters: int = 6) -> DataFrame:
+    """Short barcodes that lie close together, so that near ones chain: ``sample, barcode,
+    counts`` of suppliers."""
+    t = table(spark, sf_dir, "supplier")
+    own = F.substring(dna(F.col("s_suppkey")), 1, letters)
+    return t.groupBy(F.concat(F.lit("s"), (F.col("s_suppkey") % 3).cast("string")).alias("sample"), own.alias("barcode")).agg(F.sum(F.col("s_nationkey") + 1).cast("long").alias("counts"))
+
+
+DENSE = f"""dense AS (
+  SELECT 's' || CAST(s_suppkey % 3 AS VARCHAR) AS sample, substr({_dna('s_suppkey')}, 1, 6) AS barcode, CAST(sum(s_nationkey + 1) AS BIGINT) AS counts FROM supplier GROUP BY 1, 2
+)"""
+
+
 def library(spark: SparkSession, sf_dir: str) -> DataFrame:
     """References as many as orders: ``sequence, name, ord``."""
     t = table(spark, sf_dir, "orders")

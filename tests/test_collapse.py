@@ -78,3 +78,20 @@ def test_exact_mode_looks_across_blocks(spark):
     df = spark.createDataFrame([("AAATTT", 9), ("AACCTT", 1)], "barcode string, counts long")
     assert C.cluster(df, 2).select("cluster").distinct().count() == 2
     assert C.cluster(df, 2, exact=True).select("cluster").distinct().count() == 1
+
+
+def test_a_region_that_all_barcodes_share_is_no_key(spark):
+    """Half of each barcode is constant: no set of positions lies in it, so few pairs meet."""
+    rng = random.Random(8)
+    seqs = sorted({"".join(rng.choices("ACGT", k=8)) + "ACGTACGTACGT" + "".join(rng.choices("ACGT", k=10)) for _ in range(300)})
+    seqs += [s[:3] + ("A" if s[3] != "A" else "C") + s[4:] for s in seqs[:40]]
+    df = spark.createDataFrame([(s, "") for s in seqs], "barcode string, block string")
+    met = C._hamming_pairs(df, 2, "block")
+    near = {(r.src, r.dst): r.dist for r in C.near_pairs(df, 2, True).collect()}
+    assert near == {(a, b): distance(a, b, True) for a in seqs for b in seqs if a != b and distance(a, b, True) <= 2} and len(near) >= 80
+    assert met.count() < 1000  # of 57,630
+
+
+def test_short_barcodes_with_more_sets_than_letters(spark):
+    df = spark.createDataFrame([(s, "") for s in ("A", "C", "G")], "barcode string, block string")
+    assert len(C.near_pairs(df, 2, True).collect()) == 6
