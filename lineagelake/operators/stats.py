@@ -29,8 +29,9 @@ def crosstab_percent(obs: DataFrame, groupby: str, key: str) -> DataFrame:
     """Long cross table ``(groupby, key, count, percentage)``, percentages by row of
     ``groupby``, with 0 for combinations that do not occur."""
     _checked(obs, groupby, key)
-    wide = obs.dropna(subset=[groupby, key]).withColumn(key, F.col(key).cast("string")).groupBy(groupby).pivot(key).count().na.fill(0)
-    out = wide.unpivot([groupby], [c for c in wide.columns if c != groupby], key, "count")
+    held = stored(obs.dropna(subset=[groupby, key]).groupBy(groupby, F.col(key).cast("string").alias(key)).agg(F.count("*").alias("count")), "cells")
+    grid = held.select(groupby).distinct().crossJoin(held.select(key).distinct())  # what the table is: a cell for each pair
+    out = grid.join(held, [groupby, key], "left").na.fill(0, ["count"])
     return with_sum(out, [groupby], "__sum", "count").withColumn("percentage", F.col("count") / F.col("__sum") * 100).drop("__sum")
 
 
