@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Callable
 
@@ -13,7 +14,7 @@ from lineagelake.functions import kernels as K
 from lineagelake.functions.storage import shared_dir, stored
 from lineagelake.operators import abundance, clones, collapse, counting, matrix, references, simulate, stats
 from lineagelake.plans import relations as R
-from lineagelake.plans.extract import Config, extract
+from lineagelake.plans.extract import Config, extract, finder
 from lineagelake.sources import bam, fastq, tables, wide
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -490,6 +491,38 @@ def reference_fasta_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counting.count_reads(counting.named(found, counting.names_table(spark, names)))
 
 
+@query(f"WITH {R.READS_N}, {R.parents()} SELECT sample, p.seq AS barcode, count(*) AS counts FROM reads_n r JOIN parents p ON contains(r.seq, p.seq) WHERE NOT contains(r.seq, 'N') GROUP BY 1, 2")
+def reference_txt_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The parents written as lines of text and read as the reference of the search."""
+    folder = f"{_run_folder(spark)}/parents.txt"
+    spark.createDataFrame([(s,) for s in R.parent_list()], "value string").write.text(folder)
+    return _extracted(R.reads_with_n(spark, sf_dir).select("sample", "seq"), finder(F.col("seq"), tables.read_reference(spark, folder), Config()))
+
+
+@query(f"WITH {R.READS}, {R.parents()} SELECT sample, p.name AS barcode, count(*) AS counts FROM reads r JOIN parents p ON hamming(r.barcode_true, p.seq) <= 1 GROUP BY 1, 2")
+def reference_json_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The parents and their names written as JSON and read as the reference of the search."""
+    folder = f"{_run_folder(spark)}/parents.json"
+    spark.createDataFrame([(json.dumps({s: f"clone_{k}" for k, s in enumerate(R.parent_list())}),)], "value string").coalesce(1).write.text(folder)
+    names = tables.read_reference(spark, folder)
+    found = counting.with_barcode(R.reads(spark, sf_dir).select("sample", "seq"), finder(F.col("seq"), names, Config(aln_mismatches=1)))
+    return counting.count_reads(counting.named(found, counting.names_table(spark, names)))
+
+
+@query(f"""WITH {R.LIBRARY}, h AS (SELECT right(core, 32) AS s FROM library_reads),
+met AS (SELECT name FROM h JOIN library ON left(s, 16) = left(sequence, 16) WHERE hamming(s, sequence) <= 1
+  UNION ALL SELECT name FROM h JOIN library ON right(s, 16) = right(sequence, 16) AND left(s, 16) <> left(sequence, 16) WHERE hamming(s, sequence) <= 1)
+SELECT 's' AS sample, name AS barcode, count(*) AS counts FROM met GROUP BY 1, 2""")
+def library_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A library as Parquet and reads as FASTQ through the extraction plan, within one edit."""
+    folder = _run_folder(spark)
+    R.library(spark, sf_dir).write.parquet(f"{folder}/library.parquet")
+    rows = R.library_reads(spark, sf_dir).select(F.concat_ws("\n", F.lit("@r"), "seq", F.lit("+"), F.regexp_replace("seq", ".", "I")).alias("value"))
+    rows.write.text(f"{folder}/reads")
+    sheet = spark.createDataFrame([("s", f"{folder}/reads")], "sample string, fastq_path_r1 string")
+    return extract(spark, sheet, Config(reference=f"{folder}/library.parquet", aln_mismatches=1))
+
+
 @query("SELECT CAST(s_suppkey AS VARCHAR) || '-2' AS cell FROM supplier")
 def whitelist_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cells written as a list with one suffix and read with another."""
