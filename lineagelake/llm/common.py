@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,8 +30,10 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     ``component`` being the smallest node of it; nodes without an edge are not returned.
 
     Alternating large-star and small-star rounds (Kiveris et al., 2014): each round is a
-    grouped minimum and an equi-join, so a hub's neighbours are spread over tasks.  Every
-    round is written to the shared folder.  Only two numbers a round reach the driver.
+    grouped minimum and an equi-join.  A hub's neighbours are rows of one key of that join,
+    which Spark splits where the key is large; a distinct pass stands on it.  Every round is
+    written to the shared folder.  Only two numbers a round reach the driver.  More than
+    ``max_rounds`` rounds are an error; nothing is left out.
     """
     now = stored(
         edges.where("src <> dst").select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct(),
@@ -104,7 +108,13 @@ def texts_of(df: DataFrame) -> DataFrame:
 
 
 def batches_of(rows: Iterator, size: int):
-    """Arrow batches cut to at most ``size`` rows, so that a batch of long texts stays small."""
+    """Arrow batches cut to at most ``size`` rows, so that a batch of long texts stays small.
+    At their end, what the task has freed goes back to the system: Spark's Python workers live
+    on, and tasks of other stages follow in them."""
     for batch in rows:
         for i in range(0, batch.num_rows, size):
             yield batch.slice(i, size)
+    del rows
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
