@@ -66,18 +66,33 @@ def _found(text: Column, rx: str) -> tuple[Column, Column]:
     return F.regexp_extract_all(text, F.lit(rx), F.lit(0)), F.split(text, rx, -1)
 
 
+#: Matches that are placed together; see ``_placed``.
+CHUNK = 512
+
+
 def _placed(matches: Column, gaps: Column, ord_: int, kind: str) -> Column:
-    """Matches as structs start, ord, kind, end (code points)."""
-    start = F.aggregate(
-        F.arrays_zip(matches.alias("m"), F.slice(gaps, F.lit(1), F.size(matches)).alias("g")),
-        F.struct(F.lit(0).alias("at"), F.array().cast(_SPANS).alias("out")),
-        lambda acc, x: F.struct(
-            (acc["at"] + F.length(x["g"]) + F.length(x["m"])).alias("at"),
-            F.array_append(acc["out"], F.struct((acc["at"] + F.length(x["g"])).alias("start"), F.lit(ord_).alias("ord"), F.lit(kind).alias("kind"), (acc["at"] + F.length(x["g"]) + F.length(x["m"])).alias("end"))).alias("out"),
-        ),
-        lambda acc: acc["out"],
-    )
-    return F.when(F.size(matches) > 0, start).otherwise(F.array().cast(_SPANS))
+    """Matches as structs start, ord, kind, end (code points).  An array that grows by one is
+    copied each time, so matches are placed ``CHUNK`` at a time and the chunks put together."""
+    part = lambda c, k: F.slice(c, k * CHUNK + 1, F.least(F.lit(CHUNK), F.size(matches) - k * CHUNK))
+    after = lambda at, x: at + F.length(x["g"]) + F.length(x["m"])
+
+    def chunk(k: Column, at: Column) -> Column:
+        return F.aggregate(
+            F.arrays_zip(part(matches, k).alias("m"), part(gaps, k).alias("g")), F.struct(at.alias("at"), F.array().cast(_SPANS).alias("out")),
+            lambda acc, x: F.struct(
+                after(acc["at"], x).alias("at"),
+                F.array_append(acc["out"], F.struct((acc["at"] + F.length(x["g"])).alias("start"), F.lit(ord_).alias("ord"), F.lit(kind).alias("kind"), after(acc["at"], x).alias("end"))).alias("out"),
+            ),
+        )
+
+    def joined(acc: Column, k: Column) -> Column:
+        # The chunk is an array of one, so that it is made once for both its uses.
+        both = lambda c: F.struct(c["at"].alias("at"), F.array_append(acc["outs"], c["out"]).alias("outs"))
+        return F.get(F.transform(F.array(chunk(k, acc["at"])), both), 0)
+
+    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{_SPANS}>").alias("outs"))
+    all_ = F.aggregate(F.sequence(F.lit(0), F.floor((F.greatest(F.size(matches), F.lit(1)) - 1) / CHUNK).cast("int")), start, joined, lambda acc: F.flatten(acc["outs"]))
+    return F.when(F.size(matches) > 0, all_).otherwise(F.array().cast(_SPANS))
 
 
 def _good(kind: str) -> Column:

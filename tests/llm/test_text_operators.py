@@ -1,4 +1,6 @@
+import hashlib
 import random
+import re
 import zlib
 
 import pytest
@@ -333,3 +335,30 @@ def test_words_are_looked_up_for_their_tokenizer_only(spark):
         for i, text in rows:
             ids = t.encode(text, add_special_tokens=False).ids + [1]
             assert got[i] == zlib.crc32(b"".join(x.to_bytes(4, "little") for x in ids))
+
+
+def test_many_numbers_in_one_text(spark):
+    """Matches over several chunks of a text stand where a plain loop finds them."""
+    rules = {
+        "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+        "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+    }
+
+    def luhn(digits):
+        twice = [int(c) * (1 + i % 2) for i, c in enumerate(reversed(digits))]
+        return sum(n - 9 * (n > 9) for n in twice) % 10 == 0
+
+    def plain(text):
+        out = []
+        for i, (kind, rx) in enumerate(rules.items()):
+            for m in re.finditer(rx, text):
+                d = re.sub("[^0-9]", "", m[0])
+                if kind == "email" or kind == "ip" and all(int(x) <= 255 for x in m[0].split(".")) or kind == "card" and 12 <= len(d) <= 19 and luhn(d) or kind == "phone" and 9 <= len(d) <= 15:
+                    out.append((m.start(), i, kind, m.end()))
+        return ",".join(f"{kind}:{a}:{b}" for a, _, kind, b in sorted(out))
+
+    rng = random.Random(1)
+    some = lambda: rng.choice([str(rng.randrange(10 ** rng.randrange(1, 17))), "a.b@c.de", f"10.2.33.{rng.randrange(300)}", f"+49 (30) 1234-{rng.randrange(10**6)}", "word é"])
+    texts = [" x ".join(some() for _ in range(n)) for n in (0, 1, 5, 511, 512, 513, 1500, 20_000)]
+    got = pii.digest(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r.doc_id: r.base_sha256 for r in got} == {i: hashlib.sha256(plain(t).encode()).hexdigest() for i, t in enumerate(texts)}
