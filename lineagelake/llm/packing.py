@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import re
 import zlib
+from array import array
 from bisect import bisect_right
 from collections.abc import Iterator
 
@@ -93,74 +94,145 @@ def best_two_fit(counts: dict[int, int], capacity: int) -> list[Segment]:
     return plan
 
 
-#: Letters, then signs that no rule of the tokenizer joins to letters: two pieces for it.
-_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,%#*&$!?;:|/()-]*)")
-
-
-#: How a tokenizer must normalise and split texts so that words can be looked up
+#: How a tokenizer must normalise and split texts so that parts can be looked up
 #: by themselves.
 _SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _NORMAL = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
 
+#: Kinds of bytes: white space, ASCII letters, digits, other visible ASCII, all else.
+_SPACE, _LETTER, _DIGIT, _SIGN, _OTHER = range(5)
+_KIND = np.full(256, _OTHER, np.uint8)
+_KIND[33:127] = _SIGN
+_KIND[48:58] = _DIGIT
+_KIND[65:91] = _KIND[97:123] = _LETTER
+_KIND[[9, 10, 13, 32]] = _SPACE
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+
+
+def _parts(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The parts that ``_SPLIT`` makes of a normalised text which begins and ends with two white
+    spaces: their bytes, one after the other, their lengths, and where they stand in the text.
+
+    ASCII and the letters U+00C0 to U+00FF are lower-cased and split here.  A white-space
+    separated word with any other character, or with what may be a special token, stays one
+    part as it is.
+    """
+    raw = np.frombuffer(text, np.uint8)
+    kind, low = _KIND[raw], _LOWER[raw]
+    lead = np.flatnonzero(raw == 0xC3)
+    lead = lead[~np.isin(raw[lead + 1], (0x97, 0xB7))]  # the signs of multiplication and division
+    kind[lead] = kind[lead + 1] = _LETTER
+    low[lead[raw[lead + 1] < 0x9F] + 1] += 32
+    kind[np.flatnonzero((raw[:-1] == ord("<")) & (raw[1:] == ord("|")))] = _OTHER
+    other = np.flatnonzero(kind == _OTHER)
+    if len(other):
+        gaps = np.flatnonzero(kind == _SPACE)
+        word = np.unique(np.searchsorted(gaps, other))
+        edge = np.zeros(len(raw), np.int8)
+        edge[gaps[word - 1] + 1], edge[gaps[word]] = 1, -1
+        whole = np.cumsum(edge, dtype=np.int8) == 1
+        kind[whole] = _OTHER
+        low[whole] = raw[whole]
+    begins = np.ones(len(raw), bool)
+    begins[1:] = (kind[1:] != kind[:-1]) | (kind[1:] == _DIGIT)
+    at = np.flatnonzero((raw == ord("'")) & (kind == _SIGN))
+    at = at[kind[at - 1] != _SIGN]
+    one, two = low[at + 1], low[at + 2]
+    short = np.isin(one, list(b"stmd"))
+    long = np.isin(one, list(b"rv")) & (two == ord("e")) | (one == ord("l")) & (two == ord("l"))
+    begins[at[short | long] + 1] = False
+    begins[at[short] + 2] = begins[at[long] + 3] = True
+    first = np.flatnonzero(begins)
+    size = np.diff(first, append=len(raw))
+    seen = kind[first] != _SPACE
+    return low[kind != _SPACE], size[seen], first[seen]
+
 
 class _Words:
-    """Ids of white-space separated words, as little-endian 32-bit bytes, remembered by word
-    and by piece.  Both memories are emptied once they are large.  A tokenizer of another kind
-    than ``_SPLIT`` and ``_NORMAL`` say encodes whole texts, without any memory."""
+    """Ids of texts, the distinct parts of many texts looked up at once in a memory of ids (as
+    little-endian 32-bit bytes).  The memory has two halves: once the newer one is large, it
+    becomes the older one and that is forgotten, so common parts stay.  A tokenizer of another
+    kind than ``_SPLIT`` and ``_NORMAL`` say encodes whole texts, without any memory."""
 
-    MOST, MARK = 250_000, "<|startoftext|>"
+    MOST, LONGEST, AT_ONCE, MARK = 200_000, 100, 4_000_000, "<|startoftext|>"
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.mark = self.tokenizer.token_to_id(self.MARK)
         told = json.loads(self.tokenizer.to_str())
         splits = (told["pre_tokenizer"] or {}).get("pretokenizers") or [{}]
-        self.by_word = (told["normalizer"] or {}).get("normalizers") == _NORMAL and splits[0].get("pattern") == {"Regex": _SPLIT} and splits[0].get("behavior") == "Removed"
-        self.words: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {"": b""}
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of whole texts."""
+        self.by_word = (
+            (told["normalizer"] or {}).get("normalizers") == _NORMAL
+            and len(splits) == 2
+            and splits[0].get("pattern") == {"Regex": _SPLIT}
+            and splits[0].get("behavior") == "Removed"
+            and splits[1].get("type") == "ByteLevel"
+            and not splits[1].get("add_prefix_space")
+            and not splits[1].get("use_regex")
+            and all(t["content"].startswith("<|") and not re.search(r"\s", t["content"]) and not t["lstrip"] and not t["rstrip"] for t in told["added_tokens"])
+        )
+        self.newer: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of whole texts, one after the other, and how many each text has."""
         if not self.by_word:
-            return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        if len(self.words) > self.MOST:
-            self.words.clear()
-        found = [list(map(self.words.get, parts)) for parts in split]
-        if new := {w for ids, parts in zip(found, split, strict=True) if None in ids for w, x in zip(parts, ids, strict=True) if x is None}:
-            self._learn(new)
-            found = [list(map(self.words.get, parts)) if None in ids else ids for ids, parts in zip(found, split, strict=True)]
-        return [b"".join(ids) for ids in found]
-
-    def _learn(self, words: set[str]) -> None:
-        if len(self.pieces) > self.MOST:
-            self.pieces = {"": b""}
-        cut = {}
-        for w in words:
-            m = _PLAIN.fullmatch(w)
-            if m:
-                letters = m[1].lower() if m[1].isascii() else m[1]
-                cut[w] = letters, m[2]
-            else:
-                cut[w] = w, ""
-        new = {p for pair in cut.values() for p in pair} - self.pieces.keys()
-        rest = []
-        for p in new:
-            if p.isascii() and p.isalpha():  # lower case already: nothing to normalise or to split
-                self.pieces[p] = np.array([t.id for t in self.tokenizer.model.tokenize(p)], "<u4").tobytes()
-            elif self.mark is None or "<|" in p:
-                self.pieces[p] = np.array(self.tokenizer.encode(p, add_special_tokens=False).ids, "<u4").tobytes()
+            found = [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+            return np.concatenate([np.empty(0, "<u4"), *found]), np.array([len(x) for x in found], np.int64)
+        own = [t.encode() for t in texts]
+        starts = np.cumsum([0, *(len(t) + 1 for t in own)])[:-1]
+        joined = b"\n".join(own)
+        ids, counts, a = [np.empty(0, "<u4")], np.zeros(len(texts), np.int64), 0
+        while a < len(joined):  # cut at white space, so that long texts need no more memory
+            b = len(joined)
+            if b - a > self.AT_ONCE:
+                b = a + self.AT_ONCE
+                b = max(joined.rfind(x, a, b) for x in (b" ", b"\n")) + 1 or min((k + 1 for x in (b" ", b"\n") if (k := joined.find(x, b)) >= 0), default=len(joined))
+            data, size, at = _parts(b"  " + joined[a:b] + b"  ")
+            offsets = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
+            parts = pa.Array.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(offsets), pa.py_buffer(data)]).dictionary_encode()
+            known = self._look_up(parts.dictionary.to_pylist())
+            n = np.fromiter(map(len, known), np.int64, len(known)) // 4
+            flat, which = np.frombuffer(b"".join(known), "<u4"), parts.indices.to_numpy()
+            each = n[which]
+            ends = np.cumsum(each)
+            ids.append(flat[np.repeat((np.cumsum(n) - n)[which] - (ends - each), each) + np.arange(each.sum())])
+            counts += np.bincount(np.searchsorted(starts, at + (a - 2), "right") - 1, each, len(texts)).astype(np.int64)
+            a = b
+        return np.concatenate(ids), counts
+
+    def _look_up(self, parts: list[bytes]) -> list[bytes]:
+        found = list(map(self.newer.get, parts))
+        new = [p for p, ids in zip(parts, found, strict=True) if ids is None]
+        if new:
+            own = {p: ids for p in new if (ids := self.older.get(p)) is not None}
+            own |= self._learn([p for p in new if p not in own])
+            found = [own[p] if ids is None else ids for p, ids in zip(parts, found, strict=True)]
+            if len(self.newer) > self.MOST:
+                self.newer, self.older = {}, self.newer
+            self.newer.update((p, ids) for p, ids in own.items() if len(p) <= self.LONGEST)
+        return found
+
+    def _learn(self, parts: list[bytes]) -> dict[bytes, bytes]:
+        out: dict[bytes, bytes] = {}
+        rest: list[bytes] = []
+        for p in parts:
+            if p.isalpha():  # lower-case ASCII: nothing to normalise or to split
+                out[p] = array("I", [t.id for t in self.model.tokenize(p.decode())]).tobytes()
+            elif self.mark is None or b"<|" in p:
+                out[p] = np.array(self.tokenizer.encode(p.decode(), add_special_tokens=False).ids, "<u4").tobytes()
             else:
                 rest.append(p)
         for i in range(0, len(rest), 4000):  # together, a special token between them
             some = rest[i : i + 4000]
-            ids = np.array(self.tokenizer.encode_batch_fast([self.MARK.join(some)], add_special_tokens=False)[0].ids, "<u4")
+            ids = np.array(self.tokenizer.encode_batch_fast([self.MARK.join(p.decode() for p in some)], add_special_tokens=False)[0].ids, "<u4")
             for p, own in zip(some, np.split(ids, np.flatnonzero(ids == self.mark)), strict=True):
-                self.pieces[p] = (own[1:] if len(own) and own[0] == self.mark else own).tobytes()
-        for w, (a, b) in cut.items():
-            self.words[w] = self.pieces[a] + self.pieces[b]
+                out[p] = (own[1:] if len(own) and own[0] == self.mark else own).tobytes()
+        return out
 
 
 _words: dict[str, _Words] = {}
@@ -169,8 +241,8 @@ _words: dict[str, _Words] = {}
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 1) -> DataFrame:
     """``(doc_id, piece, start, length, ids_crc32)`` of every document cut at ``capacity``.
 
-    Where the tokenizer drops white space and never joins what it separates, each white-space
-    separated part is looked up by itself; its ids are those of the whole text.  The file
+    Where the tokenizer drops white space and never joins what it separates, each part that it
+    splits a text into is looked up by itself; its ids are those of the whole text.  The file
     must lie at ``tokenizer`` on every machine.  Null and empty texts are the end id alone.
     """
 
@@ -179,15 +251,17 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int =
             _words[tokenizer] = _Words(tokenizer)
         words = _words[tokenizer]
         for b in batches_of(rows, 500):
-            out = []
-            for doc, ids in zip(b.column(0).to_pylist(), words.encode([t or "" for t in b.column(1).to_pylist()]), strict=True):
-                tokens = np.append(np.frombuffer(ids, "<u4"), np.uint32(end_id)).astype("<u4")
-                for k, start in enumerate(range(0, len(tokens), capacity)):
-                    cut = tokens[start : start + capacity]
-                    out.append((doc, k, start, len(cut), zlib.crc32(cut.tobytes())))
-            columns = list(zip(*out, strict=True)) or [[]] * 5
-            types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+            ids, counts = words.encode([t or "" for t in b.column(1).to_pylist()])
+            ids = np.insert(ids, np.cumsum(counts), end_id).astype("<u4", copy=False)
+            counts = counts + 1
+            of = -(-counts // capacity)  # pieces of each document
+            piece = np.arange(of.sum()) - np.repeat(np.cumsum(of) - of, of)
+            start = piece * capacity
+            length = np.minimum(np.repeat(counts, of) - start, capacity)
+            at = np.repeat(np.cumsum(counts) - counts, of) + start
+            crc = [zlib.crc32(ids[i : i + n]) for i, n in zip(at.tolist(), length.tolist(), strict=True)]
+            columns = [b.column(0).take(pa.array(np.repeat(np.arange(b.num_rows), of))), pa.array(piece, pa.int32()), pa.array(start), pa.array(length), pa.array(crc, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
     return texts_of(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 

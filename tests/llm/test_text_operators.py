@@ -337,6 +337,52 @@ def test_words_are_looked_up_for_their_tokenizer_only(spark):
             assert got[i] == zlib.crc32(b"".join(x.to_bytes(4, "little") for x in ids))
 
 
+def test_common_words_are_tokenized_once():
+    """Rare words and other spellings do not push a common word out of the memory of ids."""
+    from lineagelake.llm.packing import _Words
+
+    class Counting:
+        def __init__(self, inner, asked):
+            self.inner, self.asked = inner, asked
+
+        def __getattr__(self, name):
+            return Counting(self.inner.model, self.asked) if name == "model" else getattr(self.inner, name)
+
+        def tokenize(self, part):
+            self.asked.append(part)
+            return self.inner.tokenize(part)
+
+    w, asked, rng = _Words(tokenizer_path()), [], random.Random(6)
+    w.tokenizer = Counting(w.tokenizer, asked)
+    w.model = w.tokenizer.model
+    w.MOST = 100
+    for _ in range(12):
+        rare = ["".join(rng.choice("abcdefgh") for _ in range(12)) for _ in range(90)]
+        w.encode([" ".join(["common", "Common,", "(COMMON)", *rare])])
+    assert asked.count("common") == 1
+
+
+def test_parts_looked_up_are_the_tokenizers():
+    from tokenizers import Tokenizer
+
+    from lineagelake.llm.packing import _Words
+
+    some = [
+        "'s", "'S", "'re", "'VE", "'ll", "'L", "'d", "''", "'", "s", "t", "re", "A", "Bc", "É", "ß", "Ÿ", "×", "÷", "ö", "µ", "²", "e\u0301", "\u0301", "Σ", "İ", "K", "中文",
+        "😀", " ", "  ", "\n", "\t", "\r", "\x0b", "\x1c", "\x85", "\xa0", "\x00", "\x7f", "<|", "<|endoftext|>", "<|startoftext|>", "<", "|", "0", "12", "٣", "Ⅷ", "-", "...", "_",
+    ]
+    t, w, rng = Tokenizer.from_file(tokenizer_path()), _Words(tokenizer_path()), random.Random(7)
+    assert w.by_word
+    for at_once in (5, 60, 10**6):
+        w.AT_ONCE = at_once
+        texts = ["", "x" * 300, *("".join(rng.choices(some, k=rng.choice([1, 2, 3, 8, 50]))) for _ in range(500))]
+        ids, counts = w.encode(texts)
+        want = [t.encode(x, add_special_tokens=False).ids for x in texts]
+        assert counts.tolist() == [len(x) for x in want]
+        assert ids.tolist() == [i for x in want for i in x]
+    assert w.encode([])[1].tolist() == []
+
+
 def test_many_numbers_in_one_text(spark):
     """Matches over several chunks of a text stand where a plain loop finds them."""
     rules = {
